@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, media, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, media, packing, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_media_columns": op5_media_columns,
     "op6_token_counts": op6_token_counts,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLE_SQL = {
