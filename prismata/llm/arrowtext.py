@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 _shipped: set[str] = set()
 
@@ -116,7 +116,7 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Memo:
     """Values of byte strings seen before, emptied when it holds too many."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 1_000_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 250_000, longest: int = 64):
         self.compute, self.limit, self.longest, self.known = compute, limit, longest, {}
 
     def __call__(self, keys: list[bytes]) -> list:
