@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, media, packing, token_counts, toxicity
+from . import byte_bpe, exact_dedup, line_dedup, media, packing, secrets, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "threshold", "rejected")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "secrets")
+    kind = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +87,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE_SQL = {
