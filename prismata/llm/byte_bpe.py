@@ -104,11 +104,12 @@ def _whole(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           with_offsets: bool = False) -> DataFrame:
+           with_offsets: bool = False, with_decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit, as binary) for each row of ``docs``.
 
     With ``with_offsets``, also ``starts`` and ``ends``: the code points of each
-    token. Null texts count as empty and give no ids; ids of rows may repeat or
+    token. With ``with_decoded``, also ``decoded``: what ``decode`` makes of the
+    ids, in the same pass and by the same workers. Null texts count as empty and give no ids; ids of rows may repeat or
     be null; other columns are ignored.
     """
     def work(batches):
@@ -120,9 +121,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             if with_offsets:
                 spans = [codec.offsets(x) for x in own]
                 columns += [pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts", "ends"][: len(columns)])
+            if with_decoded:
+                columns.append(pa.array([codec.decode(x) for x in own], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, ids binary" + ", starts array<long>, ends array<long>" * with_offsets
+    names = ["doc_id", "ids", *["starts", "ends"] * with_offsets, *["decoded"] * with_decoded]
+    schema = (f"doc_id {dict(docs.dtypes)[id_col]}, ids binary" + ", starts array<long>, ends array<long>" * with_offsets
+              + ", decoded binary" * with_decoded)
     return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work, schema)
 
 

@@ -34,8 +34,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     settings = _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(documents(spark, sf_dir), *settings)
-    return byte_bpe.decode(encoded, *settings).select(
+    return byte_bpe.encode(documents(spark, sf_dir), *settings, with_decoded=True).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
