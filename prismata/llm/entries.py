@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, media, packing, secrets, token_counts, toxicity
+from . import byte_bpe, exact_dedup, jaccard, line_dedup, media, packing, secrets, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "threshold", "rejected")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = jaccard.jaccard_components(documents(spark, sf_dir))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan(docs, secrets.train(docs)).select("doc_id", "secrets")
@@ -86,6 +91,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_secret_scans": op10_secret_scans,
 }
 
