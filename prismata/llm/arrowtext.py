@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+#: Rows of an Arrow batch, where the session has not set its own: texts are long.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 _shipped: set[str] = set()
 
@@ -22,6 +25,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     root = Path(__file__).resolve().parent.parent
     path = Path(tempfile.mkdtemp(prefix="prismata-code-")) / f"{root.name}.zip"
     with zipfile.ZipFile(path, "w") as z:
@@ -113,22 +118,43 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def cut_ids(rows: list[list[int]]) -> list[bytes]:
+    """Each row of ids as little-endian unsigned 32-bit numbers."""
+    flat = np.fromiter(chain.from_iterable(rows), "<u4").tobytes()
+    at = [0, *accumulate(map(len, rows))]
+    return [flat[4 * a : 4 * b] for a, b in pairwise(at)]
+
+
 class Memo:
-    """Values of byte strings seen before, emptied when it holds too many."""
+    """Values of byte strings seen before, in two generations.
+
+    When the younger one holds ``limit`` values it becomes the older, and what
+    was older is forgotten unless it was asked for since.
+    """
 
     def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 250_000, longest: int = 64):
-        self.compute, self.limit, self.longest, self.known = compute, limit, longest, {}
+        self.compute, self.limit, self.longest = compute, limit, longest
+        self.known: dict = {}
+        self.older: dict = {}
 
     def __call__(self, keys: list[bytes]) -> list:
-        known = self.known
-        found = list(map(known.get, keys))
+        found = list(map(self.known.get, keys))
         missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            fresh = self.compute([keys[i] for i in missing])
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-            for i, x in zip(missing, fresh, strict=True):
-                found[i] = x
-                if len(keys[i]) <= self.longest:
-                    known[keys[i]] = x
+        if not missing:
+            return found
+        if len(self.known) + len(missing) > self.limit:
+            self.known, self.older = {}, self.known
+        older, fresh = self.older, []
+        for i in missing:
+            value = older.get(keys[i])
+            if value is None:
+                fresh.append(i)
+            else:
+                found[i] = self.known[keys[i]] = value
+        if fresh:
+            named = [keys[i] for i in fresh]
+            values = self.compute(named)
+            for i, value in zip(fresh, values, strict=True):
+                found[i] = value
+            self.known.update((k, v) for k, v in zip(named, values, strict=True) if len(k) <= self.longest)
         return found

@@ -15,6 +15,7 @@ characters that any of its bytes belong to.
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Memo, blocks, distinct, gather, map_arrow, segments
+from .arrowtext import Memo, blocks, cut_ids, distinct, gather, map_arrow, segments
 
 #: White space beyond ASCII; a text that has any is not cut.
 _WIDE_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -42,6 +43,7 @@ def byte_characters() -> list[str]:
 
 class Codec:
     def __init__(self, path: str, pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(path, "rb") as f:
@@ -72,7 +74,7 @@ class Codec:
 
     def _encode(self, keys: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return cut_ids([x.ids for x in found])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts in them."""

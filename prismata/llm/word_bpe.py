@@ -11,10 +11,11 @@ library.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 
-from .arrowtext import Memo, blank, distinct, gather, segments, sums
+from .arrowtext import Memo, blank, cut_ids, distinct, gather, segments, sums
 
 #: Fixed value: the split pattern that the cuts below agree with.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -33,6 +34,7 @@ _loaded: dict[str, Encoder] = {}
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -51,8 +53,8 @@ class Encoder:
         return _loaded[path]
 
     def _encode(self, keys: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([x.decode() for x in keys], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        found = [x.ids for x in self.library.encode_batch_fast([x.decode() for x in keys], add_special_tokens=False)]
+        return cut_ids(found)
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray):
         """The text without white space, the starts of its pieces, and each text's first piece."""
@@ -72,15 +74,14 @@ class Encoder:
         lower[free & pair & (data <= 0x9E)] += 0x20
         kind = np.where(space, 0, _CLASS[data])
         mark = np.zeros(len(data), bool)
-        mark[1:] = free[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) | space[:-1]
+        mark[1:] = free[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
         mark[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         mark[starts[:-1]] = True
-        # a mark on white space moves to the next byte that stays
+        mark[1:] |= space[:-1]  # a mark on white space moves to the next byte that stays
         held = ~space
-        mark = mark[held] | np.isin(np.flatnonzero(held), np.flatnonzero(space[:-1] & held[1:]) + 1, assume_unique=True)
-        ends = np.concatenate([[0], np.cumsum(held)])[offsets]
-        first = np.flatnonzero(mark)
-        return lower[held], np.append(first, int(held.sum())), np.searchsorted(first, ends)
+        ends = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])[offsets]
+        first = np.flatnonzero(mark[held])
+        return lower[held], np.append(first, ends[-1]), np.searchsorted(first, ends)
 
     def _found(self, data, offsets):
         if not len(data):
