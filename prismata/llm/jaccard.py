@@ -26,6 +26,8 @@ All comparisons are exact, on the shingles of the whole texts.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -106,20 +108,25 @@ class Sizes:
 
     def __init__(self, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
-        self.begins = [1]
+        self.begins, self.cut = [1], []
 
     def block(self, n: int) -> int:
         while self.begins[-1] <= n:
-            b = self.begins[-1]
-            self.begins.append(max(b + 1, b * self.den // self.num))
-        return int(np.searchsorted(self.begins, n, "right")) - 1
+            self._grow()
+        return bisect.bisect_right(self.begins, n) - 1
+
+    def _grow(self) -> None:
+        b = self.begins[-1]
+        self.begins.append(max(b + 1, b * self.den // self.num))
 
-    def positions(self, block: int) -> int:
-        """The number of positions for pairs whose larger set is in the block."""
-        self.block(self.begins[-1])
-        while len(self.begins) <= block + 1:
-            self.block(self.begins[-1])
-        return most_different(2 * (self.begins[block + 1] - 1), self.num, self.den) + 1
+    def cuts(self, block: int) -> np.ndarray:
+        """Where the hash range is cut, for pairs whose larger set is in the block."""
+        while len(self.cut) <= block:
+            while len(self.begins) <= len(self.cut) + 1:
+                self._grow()
+            m = most_different(2 * (self.begins[len(self.cut) + 1] - 1), self.num, self.den) + 1
+            self.cut.append(np.array([(j << 64) // m for j in range(1, m)], np.uint64))
+        return self.cut[block]
 
 
 def list_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
@@ -129,11 +136,11 @@ def list_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _ODD[2]), dtype=np.uint64)])
         keys = []
         for c in (block, block + 1):
-            m = sizes.positions(c)
+            cuts = sizes.cuts(c)
+            m = len(cuts) + 1
             if m == 1:
                 continue  # only equal sets link, and those are one class
-            cuts = np.searchsorted(s, np.array([(j << 64) // m for j in range(1, m)], np.uint64))
-            at = np.concatenate([[0], cuts, [len(s)]])
+            at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
             parts = total[at[1:]] - total[at[:-1]]
             place = mixed(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
             keys.append(mixed(parts * _ODD[0] + place))
