@@ -86,7 +86,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         .where(_digest(F.col("text")) == F.col("content_digest"))
         .select("text", "content_digest")
     )
-    fresh = map_arrow(chosen, _encode(tokenizer_path), "content_digest binary, n_tokens long")
+    fresh = map_arrow(chosen, _encode(tokenizer_path), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])  # rows may repeat the id
     fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     was = known.withColumn("cached", F.lit(True))
     return (
