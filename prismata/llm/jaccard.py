@@ -274,10 +274,8 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, reps: DataFrame, num: int,
     return map_arrow(ordered, work, "a long, b long").distinct()
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(a, b, common, total)`` of each pair, from the shingles of the two texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
+def _listed_sets(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(id, shingles)`` of every set in a list: only these can be in a pair."""
     def sets(batches):
         for rows, data, offsets in blocks(batches):
             yield pa.RecordBatch.from_arrays(
@@ -285,8 +283,12 @@ def _compare(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                  pa.array([s.tobytes() for s in shingle_sets(data, offsets, width)], pa.binary())], ["id", "shingles"]
             )
 
-    held = materialize(map_arrow(docs.join(wanted, "doc_id"), sets, "id long, shingles binary").dropDuplicates(["id"]), "pair-sets")
+    wanted = lists.select(F.col("id").alias("doc_id")).distinct()
+    return map_arrow(docs.join(wanted, "doc_id"), sets, "id long, shingles binary").dropDuplicates(["id"])
 
+
+def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """``(a, b, common, total)`` of each pair, from the shingles of the two texts."""
     def count(batches):
         for rows in batches:
             found = []
@@ -331,7 +333,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     lists = materialize(_lists(reps), "jaccard-lists")
 
     pairs = materialize(_head_pairs(lists), "jaccard-pairs")
-    compared = materialize(_compare(pairs, texts, width), "jaccard-compared")
+    held = materialize(_listed_sets(lists, texts, width), "jaccard-listed-sets")
+    compared = materialize(_compare(pairs, held), "jaccard-compared")
     link = f"common * {den} >= total * {num}"
     links = compared.where(link)
     roots = components(links)
@@ -344,7 +347,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
             if closest:
                 continue
             break
-        compared = materialize(_compare(pairs, texts, width), "jaccard-compared")
+        compared = materialize(_compare(pairs, held), "jaccard-compared")
         links = links.unionByName(compared.where(link))
         roots = components(links)
         done = done.unionByName(pairs)
