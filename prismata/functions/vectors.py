@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -33,16 +38,16 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(l2_norm(v), F.lit(eps)))
+    return let(F.greatest(l2_norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def channel_normalize(v: Column, eps: float = 1e-10) -> Column:
     """Norm over the elements with ``eps`` added to the norm itself."""
-    return F.transform(v, lambda x: x / (l2_norm(v) + eps))
+    return let(l2_norm(v) + eps, lambda n: F.transform(v, lambda x: x / n))
 
 
 def rms_norm(v: Column, eps: float = 1e-6) -> Column:
-    return F.transform(v, lambda x: x / F.sqrt(dot(v, v) / F.size(v) + eps))
+    return let(F.sqrt(dot(v, v) / F.size(v) + eps), lambda n: F.transform(v, lambda x: x / n))
 
 
 def all_finite(v: Column) -> Column:
@@ -50,15 +55,17 @@ def all_finite(v: Column) -> Column:
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp((x - top) / temperature)), shares))
 
 
 def log_softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    s = F.ln(total(F.transform(v, lambda x: F.exp((x - top) / temperature))))
-    return F.transform(v, lambda x: (x - top) / temperature - s)
+    def shifted(z: Column) -> Column:
+        return let(F.ln(total(F.transform(z, lambda x: F.exp(x)))), lambda s: F.transform(z, lambda x: x - s))
+
+    return let(F.array_max(v), lambda top: let(F.transform(v, lambda x: (x - top) / temperature), shifted))
 
 
 def silu_gate(x: Column, y: Column) -> Column:
