@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import blank, blocks, distinct, map_arrow
-from .storage import materialize
 
 #: A cut needs the smallest hash within so many words to the left and right.
 REACH = 4
@@ -86,33 +86,41 @@ def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH):
     return text[first], starts[first], ends[last], last - first + 1, h1, h2
 
 
-def duplicate_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """``doc_id, row_key, nth, first_byte, end_byte, words`` of each unit that an earlier one equals.
+def kept_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    """``doc_id, row_key, kept``: the numbers of the units of each text that no earlier unit equals.
 
-    Earlier is by id, then position; a null id counts as the largest. Offsets
-    are bytes of the UTF-8 text, from the start of the text.
+    Earlier is by id, then position; a null id counts as the largest. A text all
+    of whose units are repeated has no row. Each digest keeps one unit, so the
+    earliest is found by an aggregation that combines before its shuffle: a
+    digest that all documents share is one row of each task.
     """
     def work(batches):
         for rows, data, offsets in blocks(batches):
-            text, a, b, n, h1, h2 = units(data, offsets, reach)
+            text, _, _, _, h1, h2 = units(data, offsets, reach)
             nth = np.arange(len(text)) - np.searchsorted(text, text)
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")).take(take), rows.column(rows.schema.get_field_index("row_key")).take(take),
-                 pa.array(nth, pa.int32()), pa.array(a - offsets[text], pa.int32()), pa.array(b - offsets[text], pa.int32()),
-                 pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                ["doc_id", "row_key", "nth", "first_byte", "end_byte", "words", "h1", "h2"],
+                 pa.array(nth, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                ["doc_id", "row_key", "nth", "h1", "h2"],
             )
 
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = materialize(
-        map_arrow(texts, work, f"doc_id {kind}, row_key long, nth int, first_byte int, end_byte int, words int, h1 long, h2 long"), "units"
-    )
+    found = map_arrow(texts, work, f"doc_id {kind}, row_key long, nth int, h1 long, h2 long")
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_key", "nth")
-    shared = found.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h1", "h2", "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("row_key") == F.col("kept.row_key")) & (F.col("nth") == F.col("kept.nth"))
-    return found.join(shared, ["h1", "h2"]).where(~same).select("doc_id", "row_key", "nth", "first_byte", "end_byte", "words")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_key", "first.nth")
+    return first.groupBy("doc_id", "row_key").agg(F.collect_list("nth").alias("kept"))
+
+
+def repeated_runs(fresh: np.ndarray, text: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last unit of the runs of units that are not ``fresh``, within one text and of ``min_words`` words or more."""
+    again = np.flatnonzero(~fresh)
+    if not len(again):
+        return again, again
+    begin = np.append(0, np.flatnonzero((np.diff(again) > 1) | (np.diff(text[again]) > 0)) + 1)
+    long = np.add.reduceat(words[again], begin) >= min_words
+    return again[begin][long], again[np.append(begin[1:], len(again)) - 1][long]
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
@@ -122,51 +130,41 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text, in order. Null texts stay null. Rows that repeat an id with another
     text are told apart by their text; rows that repeat id and text are one
     document and stay or go alike. A column named ``removed_spans`` is replaced.
+
+    The units are cut again where the spans are made: their places need not
+    travel with their digests.
     """
     docs = docs.drop("removed_spans")
     names, kinds = docs.columns, dict(docs.dtypes)
-    spans = duplicate_units(docs, id_col, text_col, reach).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(
-        F.array_sort(F.collect_set(F.struct("nth", "first_byte", "end_byte", "words"))).alias("_units")
-    )
-    spans = materialize(spans, "unit-spans")
+    kept = kept_units(docs, id_col, text_col, reach).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("kept").alias("_kept"))
     held = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(
-        spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left"
+        kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left"
     ).drop("_id", "_row", "_key")
-
-    def runs(found):
-        out, nth, words = [], -2, 0
-        for u in found or ():
-            if u["nth"] != nth + 1:
-                if out and words < min_words:
-                    out.pop()
-                out.append([u["first_byte"], u["end_byte"]])
-                words = 0
-            else:
-                out[-1][1] = u["end_byte"]
-            nth, words = u["nth"], words + u["words"]
-        if out and words < min_words:
-            out.pop()
-        return out
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches):
-        for rows in batches:
-            at = rows.schema.get_field_index(text_col)
-            texts, removed = [], []
-            for text, found in zip(rows.column(at).to_pylist(), rows.column(rows.schema.get_field_index("_units")).to_pylist(), strict=True):
-                ranges = runs(found) if text is not None else []
-                listed, parts, end, points = [], [], 0, 0
-                raw = text.encode() if ranges else b""
-                for a, b in ranges:
-                    before, gone = raw[end:a].decode(), raw[a:b].decode()
-                    parts.append(before)
-                    listed.append({"start": points + len(before), "end": points + len(before) + len(gone)})
-                    points += len(before) + len(gone)
-                    end = b
-                texts.append("".join([*parts, raw[end:].decode()]) if ranges else text)
-                removed.append(listed)
+        for rows, data, offsets in blocks(batches, text_col):
+            text, a, b, n, _, _ = units(data, offsets, reach)
+            numbers = rows.column(rows.schema.get_field_index("_kept"))
+            counts = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(text, np.arange(rows.num_rows))
+            fresh = np.zeros(len(text), bool)
+            fresh[numbers.flatten().to_numpy(zero_copy_only=False) + np.repeat(at, counts)] = True
+            first, last = repeated_runs(fresh, text, n, min_words)
+            column = rows.column(rows.schema.get_field_index(text_col))
+            texts = column.to_pylist()
+            removed: list[list] = [[] for _ in texts]
+            parts: dict[int, list] = {}
+            for i, start, end in zip(text[first].tolist(), a[first].tolist(), b[last].tolist(), strict=True):
+                own = parts.setdefault(i, [int(offsets[i]), 0])  # the byte and the code point reached, then what stays
+                before, gone = data[own[0] : start].tobytes().decode(), data[start:end].tobytes().decode()
+                own.append(before)
+                removed[i].append({"start": own[1] + len(before), "end": own[1] + len(before) + len(gone)})
+                own[:2] = end, own[1] + len(before) + len(gone)
+            for i, (end, _, *stay) in parts.items():
+                texts[i] = "".join([*stay, data[end : offsets[i + 1]].tobytes().decode()])
             columns = [pa.array(texts, pa.string()) if c == text_col else rows.column(rows.schema.get_field_index(c)) for c in names]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], [*names, "removed_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, span)], [*names, "removed_spans"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", removed_spans array<struct<start:long,end:long>>"
     return map_arrow(held, work, schema)
