@@ -284,7 +284,7 @@ def _listed_sets(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             )
 
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    return map_arrow(docs.join(wanted, "doc_id"), sets, "id long, shingles binary").dropDuplicates(["id"])
+    return map_arrow(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), sets, "id long, shingles binary")
 
 
 def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -301,6 +301,8 @@ def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 ["a", "b", "common", "total"],
             )
 
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    held = held.join(ids, "id", "left_semi")  # later rounds have few pairs: other sets need not travel
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
         held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
     )
@@ -324,13 +326,15 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(_sets(texts, width, num, den), "jaccard-sets")
     classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    of_rep = sets.where("length(keys) > 0").withColumnRenamed("class", "of")
-    reps = materialize(
-        of_rep.join(classes, (F.col("doc_id") == F.col("rep")) & (F.col("of") == F.col("class")))
-        .select(F.col("doc_id").alias("id"), "n", "keys", "bits").dropDuplicates(["id", "keys"]),
-        "jaccard-representatives",
-    )
-    lists = materialize(_lists(reps), "jaccard-lists")
+
+    def representatives(*columns: str) -> DataFrame:
+        """``id`` and ``columns`` of one row for each set of a representative; the join's partitions serve for both steps."""
+        own = sets.where("length(keys) > 0").select("doc_id", "class", *columns)
+        found = own.join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
+        return found.select(F.col("doc_id").alias("id"), *columns)
+
+    lists = materialize(_lists(representatives("keys")), "jaccard-lists")
+    reps = materialize(representatives("n", "bits"), "jaccard-representatives")
 
     pairs = materialize(_head_pairs(lists), "jaccard-pairs")
     held = materialize(_listed_sets(lists, texts, width), "jaccard-listed-sets")

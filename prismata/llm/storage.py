@@ -29,11 +29,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The lineage ends at files that survive the loss of any executor, and what
-    was computed is not computed again by each later reader.
+    was computed is not computed again by each later reader. The driver then
+    collects its garbage, so that Spark deletes the shuffle files of finished
+    jobs now, not after its half hour.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
