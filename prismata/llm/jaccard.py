@@ -5,8 +5,8 @@ form a class with one representative, the smallest id.
 
 *Index lists by position.* Two sets that link differ in at most H shingles,
 where H follows from the threshold and the size. The hash range is cut into
-H + 1 positions; the part of the set at one of them at least is then the same
-in both. A list of the index holds the sets with one content at one position
+H + 1 positions or some more; the part of the set at one of them at least is
+then the same in both. A list of the index holds the sets with one content at one position
 and one block of sizes, so that a set skips, block by block, all sets that
 differ from it there. Whole parts of about nine shingles serve as entries
 instead of single shingles, so a frequent passage makes no long lists between
@@ -41,6 +41,8 @@ from .storage import materialize
 SHINGLE = 3
 #: Links have ``DEN * intersection >= NUM * union``.
 NUM, DEN = 90, 100
+#: One part more for so many, and cuts of a set at most, so that few sets need their empty parts as keys.
+SPARE, LEVELS = 16, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,25 +127,40 @@ class Sizes:
             while len(self.begins) <= len(self.cut) + 1:
                 self._grow()
             m = most_different(2 * (self.begins[len(self.cut) + 1] - 1), self.num, self.den) + 1
+            m += m // SPARE
             self.cut.append(np.array([(j << 64) // m for j in range(1, m)], np.uint64))
         return self.cut[block]
 
 
 def list_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """The keys of the lists a set is in: its parts, for its own block of sizes and the next."""
+    """The keys of the lists a set is in: its parts, for its own block of sizes and the next.
+
+    Empty parts are no keys, or sets that have nothing in common would share long
+    lists. Of m parts a linked pair has m - H equal ones at least; if these are
+    all empty, both sets have so many empty parts, and such sets are cut again
+    by another hash. The last cut keeps the empty parts as well.
+    """
     block = sizes.block(len(s))
+    keys = []
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s + _ODD[2]), dtype=np.uint64)])
-        keys = []
         for c in (block, block + 1):
             cuts = sizes.cuts(c)
             m = len(cuts) + 1
             if m == 1:
                 continue  # only equal sets link, and those are one class
-            at = np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])
-            parts = total[at[1:]] - total[at[:-1]]
-            place = mixed(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
-            keys.append(mixed(parts * _ODD[0] + place))
+            partner = min(len(s) * sizes.den // sizes.num, sizes.begins[c + 1] - 1)
+            enough = m - most_different(len(s) + partner, sizes.num, sizes.den)
+            for level in range(LEVELS):
+                own = np.sort(mixed(s ^ mixed(_ODD[1] + np.uint64(level)))) if level else s
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own + _ODD[2]), dtype=np.uint64)])
+                at = np.concatenate([[0], np.searchsorted(own, cuts), [len(own)]])
+                parts = total[at[1:]] - total[at[:-1]]
+                place = mixed(np.arange(m, dtype=np.uint64) + np.uint64((level << 56) + (c << 32)))
+                empty = at[1:] == at[:-1]
+                last = level == LEVELS - 1 or int(empty.sum()) < enough
+                keys.append(mixed(parts * _ODD[0] + place)[~empty | (level == LEVELS - 1)])
+                if last:
+                    break
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
