@@ -1,14 +1,15 @@
 """Substring deduplication by hashing lines, and parts of long lines.
 
-A *unit* is a line, or a part of a line of many words. Long lines are cut where
-their own words say so: before a word whose hash is the smallest within
-``REACH`` words on both sides. The cuts move with the text, so a passage inside
-another line has the same units as on a line of its own, but for its first and
-last. Units are normalised (A-Z in lower case, white space between words as one
+A *unit* is a whole line, or a part of one. Lines are cut into parts where the
+words say so: before a word whose hash is the smallest within ``REACH`` words on
+both sides, whatever line these are on. The cuts move with the text, so a
+passage inside another line has the same parts as on a line of its own, but for
+its first and last. Units are normalised (A-Z in lower case, white space between words as one
 space), digests are grouped over all documents, and the earliest unit by
-document and position is kept. The others are duplicates; where duplicates that
-follow each other have ``MIN_WORDS`` words or more together, their range of the
-original text is removed.
+document and position is kept. The others are duplicates. A line that is one is
+removed from ``MIN_CHARS`` characters on; where parts that are duplicates, or
+stand in such lines, follow each other and have ``MIN_WORDS`` words or more
+together, their range of the original text is removed.
 
 Passages of over 50 words that repeat are found wherever they stand: at most
 ``2 * REACH`` words at either end can fall into units that differ.
@@ -29,6 +30,10 @@ from .arrowtext import blank, blocks, distinct, map_arrow
 REACH = 4
 #: Repeated words in a row that are removed.
 MIN_WORDS = 25
+#: Characters of a normalised line from which it is a unit, as in ``line_dedup``.
+MIN_CHARS = 10
+#: Added to the numbers of lines, to tell them from those of parts.
+LINE = 1 << 30
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -43,10 +48,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH):
-    """Text, first byte, end byte, words and digest of every unit of all texts, in order."""
+    """Text, first byte, end byte, words and digest of every part of all texts, in order; the same of every line, with the
+    characters of its normalised form last."""
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     if not len(data):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing, (*nothing, none)
     space = blank(data)
     mark = ~space
     mark[1:] &= space[:-1]
@@ -55,7 +62,7 @@ def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH):
     mark[begins] = ~space[begins]
     starts = np.flatnonzero(mark)
     if not len(starts):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing, (*nothing, none)
     stop = space.copy()
     stop[1:] &= ~space[:-1]
     stop[begins] = False
@@ -73,22 +80,30 @@ def units(data: np.ndarray, offsets: np.ndarray, reach: int = REACH):
     spread = np.full(place[-1] + reach + 1, np.iinfo(np.uint64).max, np.uint64)
     spread[place] = w
     anchor = w == np.lib.stride_tricks.sliding_window_view(spread, 2 * reach + 1).min(1)[place - reach]
-    cut = line_first | anchor
-    first = np.flatnonzero(cut)
-    last = np.append(first[1:], len(w)) - 1
-    with np.errstate(over="ignore"):
-        place = np.arange(len(w)) - np.repeat(first, last - first + 1)
-        powers = _mixed(place.astype(np.uint64) + _MIX)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w * _MIX + powers), dtype=np.uint64)])
-        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w + powers * _MIX), dtype=np.uint64)])
-        h1 = _mixed(sums[last + 1] - sums[first])
-        h2 = _mixed(other[last + 1] - other[first])
-    return text[first], starts[first], ends[last], last - first + 1, h1, h2
-
-
-def kept_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+    chars = np.concatenate([[0], np.cumsum(held & (data & 0xC0 != 0x80))])
+
+    def grouped(first: np.ndarray, salt: int):
+        """The units that begin at the words ``first``."""
+        last = np.append(first[1:], len(w)) - 1
+        with np.errstate(over="ignore"):
+            place = np.arange(len(w)) - np.repeat(first, last - first + 1)
+            powers = _mixed(place.astype(np.uint64) + _MIX)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w * _MIX + powers), dtype=np.uint64)])
+            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w + powers * _MIX), dtype=np.uint64)])
+            h1 = _mixed((sums[last + 1] - sums[first]) ^ np.uint64(salt))
+            h2 = _mixed(other[last + 1] - other[first])
+        return text[first], starts[first], ends[last], last - first + 1, h1, h2
+
+    lines = grouped(np.flatnonzero(line_first), LINE)
+    return grouped(np.flatnonzero(line_first | anchor), 0), (*lines, chars[lines[2]] - chars[lines[1]] + lines[3] - 1)
+
+
+def kept_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH,
+               min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, row_key, kept``: the numbers of the units of each text that no earlier unit equals.
 
+    Parts are counted from 0, lines from ``LINE``; lines under ``min_chars`` are left out.
+
     Earlier is by id, then position; a null id counts as the largest. A text all
     of whose units are repeated has no row. Each digest keeps one unit, so the
     earliest is found by an aggregation that combines before its shuffle: a
@@ -96,8 +111,11 @@ def kept_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     def work(batches):
         for rows, data, offsets in blocks(batches):
-            text, _, _, _, h1, h2 = units(data, offsets, reach)
-            nth = np.arange(len(text)) - np.searchsorted(text, text)
+            parts, lines = units(data, offsets, reach)
+            long = lines[6] >= min_chars
+            nth = [np.arange(len(t)) - np.searchsorted(t, t) for t in (parts[0], lines[0])]
+            nth = np.concatenate([nth[0], nth[1][long] + LINE])
+            text, h1, h2 = (np.concatenate([parts[k], lines[k][long]]) for k in (0, 4, 5))
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")).take(take), rows.column(rows.schema.get_field_index("row_key")).take(take),
@@ -123,7 +141,8 @@ def repeated_runs(fresh: np.ndarray, text: np.ndarray, words: np.ndarray, min_wo
     return again[begin][long], again[np.append(begin[1:], len(again)) - 1][long]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, reach: int = REACH,
+                     min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated passages removed and ``removed_spans`` added.
 
     ``removed_spans`` is ``array<(start, end)>`` in code points of the original
@@ -136,7 +155,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = docs.drop("removed_spans")
     names, kinds = docs.columns, dict(docs.dtypes)
-    kept = kept_units(docs, id_col, text_col, reach).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("kept").alias("_kept"))
+    kept = kept_units(docs, id_col, text_col, reach, min_chars).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("kept").alias("_kept"))
     held = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(
         kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left"
     ).drop("_id", "_row", "_key")
@@ -144,13 +163,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def work(batches):
         for rows, data, offsets in blocks(batches, text_col):
-            text, a, b, n, _, _ = units(data, offsets, reach)
+            (text, a, b, n, _, _), (of, line_a, _, _, _, _, length) = units(data, offsets, reach)
             numbers = rows.column(rows.schema.get_field_index("_kept"))
             counts = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(text, np.arange(rows.num_rows))
-            fresh = np.zeros(len(text), bool)
-            fresh[numbers.flatten().to_numpy(zero_copy_only=False) + np.repeat(at, counts)] = True
-            first, last = repeated_runs(fresh, text, n, min_words)
+            number, row = numbers.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows.num_rows), counts)
+            is_line = number >= LINE
+            fresh, fresh_line = np.zeros(len(text), bool), length < min_chars
+            fresh[number[~is_line] + np.searchsorted(text, row[~is_line])] = True
+            fresh_line[number[is_line] - LINE + np.searchsorted(of, row[is_line])] = True
+            in_line = ~fresh_line[np.searchsorted(line_a, a, "right") - 1] if len(a) else fresh
+            stays = ~in_line
+            for i, j in zip(*repeated_runs(fresh & stays, text, n, min_words), strict=True):
+                stays[i : j + 1] = False
+            first, last = repeated_runs(stays, text, n, 0)
             column = rows.column(rows.schema.get_field_index(text_col))
             texts = column.to_pylist()
             removed: list[list] = [[] for _ in texts]
