@@ -294,13 +294,24 @@ def d5(spark, sf_dir):
 @entry("j9_attention", E + """, t AS (SELECT vec_id, label, v FROM e WHERE vec_id < 200), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (label))
 SELECT vec_id, round(sum(w * bv[1]) / sum(w), 6) + 0.0 AS y0, round(sum(w * bv[2]) / sum(w), 6) + 0.0 AS y1 FROM s GROUP BY vec_id""")
 def j9(spark, sf_dir):
-    """Softmax-weighted sums within a label, over the first 200 tokens: an image's tokens, not a table's rows."""
-    t = rows(spark, sf_dir).where("vec_id < 200")
-    s = t.select("vec_id", "label", F.col("v").alias("q")).join(t.select("label", F.col("v").alias("kv")), "label")
+    """The form over the first 200 tokens only; ``j9_image_attention`` has all rows."""
+    return _attention(rows(spark, sf_dir).where("vec_id < 200"), "label")
+
+
+def _attention(tokens, *group):
+    """Softmax-weighted sums over the tokens of a group."""
+    s = tokens.select("vec_id", *group, F.col("v").alias("q")).join(tokens.select(*group, F.col("v").alias("kv")), list(group))
     w = F.exp(V.dot(F.col("q"), F.col("kv")) / 8)
     return s.groupBy("vec_id").agg(*[r6(F.sum(w * F.get("kv", i)) / F.sum(w)).alias(f"y{i}") for i in (0, 1)])
 
 
+@entry("j9_image_attention", E + """, t AS (SELECT vec_id, label, vec_id // 256 AS image, v FROM e), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (label, image))
+SELECT vec_id, round(sum(w * bv[1]) / sum(w), 6) + 0.0 AS y0, round(sum(w * bv[2]) / sum(w), 6) + 0.0 AS y1 FROM s GROUP BY vec_id""")
+def j9_image(spark, sf_dir):
+    """All rows are tokens; those of one label among 256 ids are an image, so the join grows with the table only."""
+    return _attention(rows(spark, sf_dir).withColumn("image", F.expr("vec_id div 256")), "label", "image")
+
+
 @entry("p3_finite_batches", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 97 = 5 THEN list_append(list_transform(embedding, lambda x: x::DOUBLE), 'NaN'::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS v FROM embeddings),
 b AS (SELECT vec_id, vec_id // 8 AS batch, bool_or(list_aggregate(list_transform(v, lambda x: isnan(x) OR isinf(x)), 'bool_or')) OVER (PARTITION BY vec_id // 8) AS bad FROM e)
 SELECT batch, count(*) AS n FROM b WHERE NOT bad GROUP BY batch""")
