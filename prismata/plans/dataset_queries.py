@@ -48,21 +48,23 @@ def a5(spark, sf_dir):
 NAMES = "WITH f AS (SELECT CASE WHEN doc_id % 3 = 1 THEN printf('%06d_edit.jpg', doc_id // 3) WHEN doc_id % 7 = 0 THEN printf('%06d.png', doc_id // 3) ELSE printf('%06d.jpg', doc_id // 3) END AS name FROM documents WHERE doc_id % 3 <> 2)"
 
 
-def names(spark, sf_dir):
+def names(documents):
+    """A file name for every document; masks have no edited sibling."""
     i = F.expr("cast(doc_id div 3 as bigint)")
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 2")
-    return d.select(F.when(F.col("doc_id") % 3 == 1, F.format_string("%06d_edit.jpg", i)).when(F.col("doc_id") % 7 == 0, F.format_string("%06d.png", i)).otherwise(F.format_string("%06d.jpg", i)).alias("name"))
+    kind = F.col("doc_id") % 3
+    return documents.select(F.when(kind == 1, F.format_string("%06d_edit.jpg", i)).when(kind == 2, F.format_string("%06d_mask.jpg", i)).when(F.col("doc_id") % 7 == 0, F.format_string("%06d.png", i)).otherwise(F.format_string("%06d.jpg", i)).alias("name"))
 
 
 @entry("j2_edit_pairs", NAMES + " SELECT a.name AS source, b.name AS edited FROM f a JOIN f b ON b.name = replace(a.name, '.jpg', '_edit.jpg') WHERE a.name LIKE '%.jpg' AND NOT ends_with(a.name, '_edit.jpg')")
 def j2(spark, sf_dir):
     """Sources with their edited sibling."""
-    return M.edit_pairs(names(spark, sf_dir))
+    return M.edit_pairs(names(table(spark, sf_dir, "documents")))
 
 
 @entry("x1_names", NAMES + " SELECT name, split_part(name, '.', 1) AS prefix, ends_with(name, '.jpg') AND NOT ends_with(name, '_edit.jpg') AS is_source FROM f")
 def x1(spark, sf_dir):
-    return names(spark, sf_dir).select("name", M.prefix(F.col("name")).alias("prefix"), M.is_source(F.col("name")).alias("is_source"))
+    """Names without the masks, as in the SQL."""
+    return names(table(spark, sf_dir, "documents").where("doc_id % 3 <> 2")).select("name", M.prefix(F.col("name")).alias("prefix"), M.is_source(F.col("name")).alias("is_source"))
 
 
 @entry("x1_url_parts", "SELECT page_id, string_split(url, '/')[-1] AS base, string_split(url, '/')[-2] AS parent FROM pages")
