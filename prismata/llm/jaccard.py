@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrowtext import blank, blocks, distinct, map_arrow
 from .components import components
@@ -292,7 +293,7 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, reps: DataFrame, num: int,
 
 
 def _listed_sets(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(id, shingles)`` of every set in a list: only these can be in a pair."""
+    """``(id, shingles)`` of every set in a list: only these can be in a pair. An id has one row for each of its texts."""
     def sets(batches):
         for rows, data, offsets in blocks(batches):
             yield pa.RecordBatch.from_arrays(
@@ -301,17 +302,17 @@ def _listed_sets(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             )
 
     wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    return map_arrow(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]), sets, "id long, shingles binary")
+    return map_arrow(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).where("text is not null"), sets, "id long, shingles binary")
 
 
 def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """``(a, b, common, total)`` of each pair, from the shingles of the two texts."""
+    """``(a, b, common, total)`` of each pair, from the shingles of the two texts; of each two texts, if an id has several."""
     def count(batches):
         for rows in batches:
             found = []
             for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
                 found.append((common, len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())],
@@ -334,7 +335,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     ``class_id`` is the smallest id with the same set, ``component_id`` the
     smallest id reachable by links. The second has ``a, b, common, total`` for the
     compared pairs of representatives that link; it connects each component but
-    leaves out pairs that are already connected.
+    leaves out pairs that are already connected, so it is a spanning part of all
+    links and gives no number of links of a document.
 
     Ids are whole numbers; rows with one id are one document, linked by what any
     of them links to. Null or empty texts have no shingles and link with nothing.
@@ -358,7 +360,11 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     compared = materialize(_compare(pairs, held), "jaccard-compared")
     link = f"common * {den} >= total * {num}"
     links = compared.where(link)
-    roots = components(links)
+    # an id with texts of several classes joins these
+    own = sets.where("n > 0 and doc_id is not null").join(classes, "class").select("doc_id", F.col("rep").alias("b"))
+    own = own.select(F.min("b").over(Window.partitionBy("doc_id")).alias("a"), "b").where("a <> b").distinct()
+    shared = materialize(own, "jaccard-shared-ids")
+    roots = components(links.select("a", "b").unionByName(shared))
     done = pairs
     for closest in (True, False):
         pairs = materialize(
@@ -370,7 +376,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
             break
         compared = materialize(_compare(pairs, held), "jaccard-compared")
         links = links.unionByName(compared.where(link))
-        roots = components(links)
+        roots = components(links.select("a", "b").unionByName(shared))
         done = done.unionByName(pairs)
 
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rep", F.coalesce("root", "rep").alias("root"))

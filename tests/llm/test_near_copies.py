@@ -57,3 +57,18 @@ def test_linked_sets_share_a_key_and_empty_parts_are_rare_keys():
         assert np.intersect1d(jaccard.list_keys(x, sizes), jaccard.list_keys(y, sizes)).size
     keys = np.concatenate([jaccard.list_keys(np.unique(number(60)), sizes) for _ in range(1000)])
     assert np.unique(keys, return_counts=True)[1].max() < 5
+
+
+def test_an_id_with_two_texts_links_by_both(spark):
+    r = random.Random(9)
+    rows, want = [], {}
+    for k in range(12):
+        a, b = ([f"w{r.randrange(10**6)}" for _ in range(100)] for _ in range(2))
+        i = 10 * k + 5
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (i + 1, " ".join([*a, "more"])), (i + 2, " ".join([*b, "more"]))]
+        want |= {i: i, i + 1: i, i + 2: i}
+    rows += [(1, rows[0][1]), (201, "a b c d"), (202, "e f g h"), (202, "a b c d"), (202, None), (203, "e f g h")]
+    want |= {1: 1, 5: 1, 6: 1, 7: 1, 201: 201, 202: 201, 203: 201}
+    found, _ = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = found.where("n_shingles > 0").collect()
+    assert {(x["doc_id"], x["component_id"]) for x in held} == set(want.items())
