@@ -4,18 +4,23 @@ Piece lengths are whole numbers up to the sequence length, so a table of any
 size has at most that many different lengths. The search works on the counts
 of the lengths, which is of fixed size, and gives *patterns*: fillings of a
 sequence with the number of times each is used. Pieces then find their place by
-their rank among the pieces of their length. Nothing but the counts reaches the
-driver, and nothing but the patterns, as bounded, goes back.
-
-The search takes the longest piece left, enumerates the undominated fillings of
-the room beside it, and recurses; a branch ends when the waste so far shows that
-it cannot beat the incumbent. The first incumbent is best-fit decreasing.
+their rank among the pieces of their length. Only the counts reach the driver,
+and only the patterns go back, as a table that the pieces are joined with.
+
+The search is a branch and bound. The first incumbent is best-fit decreasing.
+If it uses more sequences than the lower bound, the search takes the longest
+piece left, enumerates the undominated fillings of the room beside it, and goes
+on with each in turn; a branch ends when the waste so far shows that it cannot
+beat the incumbent.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +33,26 @@ from .storage import materialize
 from .word_bpe import Encoder
 
 CAPACITY = 4096
-#: Fillings looked at for one longest piece, and branches tried in all.
+#: Steps of the enumeration for one longest piece, and fillings tried in all. A
+#: search that reaches neither is complete; one that does keeps its incumbent,
+#: and ``Packing.bound`` tells how far that can be from the least number.
 FILL_NODES = 4000
-BRANCH_NODES = 2000
+BRANCH_NODES = 4000
+#: Ranks of one length that are joined with the patterns in one group.
+RANK_BLOCK = 1 << 16
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), repeats
 
 
+class Packing(NamedTuple):
+    """Patterns, their number of sequences, a number below which none can be, and whether the search ended by itself."""
+
+    patterns: list[Pattern]
+    sequences: int
+    bound: int
+    complete: bool
+
+
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Longest first, each into the fullest bin that takes it; equal bins are handled together."""
     bins: dict[int, Counter] = {}  # room left -> contents -> number of bins
@@ -65,131 +83,179 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(contents, n) for held in bins.values() for contents, n in held.items()]
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], nodes: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, fullest first.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: by the total, by pieces of which k fit at most, and by pieces over half a bin.
 
-    ``lengths`` are those with counts, longest first. A filling is dominated if
-    a longer piece that is left would fit in the place of one of its pieces, or
-    another piece would still fit; equal sums with fewer, longer pieces come
-    first. The search stops at an exact filling, which dominates all others with
-    the same longest pieces.
+    The last is the bound of Martello and Toth: beside pieces over ``capacity - a``
+    nothing of length ``a`` fits, so the pieces from ``a`` to half a bin go
+    beside the other large ones or into new bins.
+    """
+    n = np.zeros(capacity + 1, np.int64)
+    for length, times in counts.items():
+        n[length] = times
+    size = n * np.arange(capacity + 1)
+    below, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])  # of lengths under i
+    bound = int(-(-total[-1] // capacity))
+    for k in range(1, capacity + 1):
+        bound = max(bound, int(-(-(below[-1] - below[capacity // (k + 1) + 1]) // k)))
+    half = capacity // 2 + 1
+    a = np.arange(1, half)
+    large = below[-1] - below[capacity - a + 1]
+    middle = below[capacity - a + 1] - below[half]
+    room = middle * capacity - (total[capacity - a + 1] - total[half])
+    over = np.maximum(0, -(-(total[half] - total[a] - room) // capacity))
+    return max(bound, int((large + middle + over).max(initial=0)))
+
+
+def dominated(filling: dict[int, int], waste: int, free: list[int]) -> bool:
+    """Whether a length left over, of ``free`` (ascending), could stand for one piece or two of the filling, and fill it better.
+
+    The pieces put out fit wherever that length would have gone, so some best
+    packing has the other filling.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    left = nodes
-    shortest = lengths[-1] if lengths else room + 1
-
-    def descend(room: int, at: int, chosen: tuple[int, ...], used: dict[int, int]) -> bool:
-        nonlocal left
-        left -= 1
-        if room < shortest:
-            found.append((room, chosen))
-            return room == 0 or left <= 0
-        # first length that fits; lengths run downwards
-        lo = int(np.searchsorted(-keys, -room))
-        grown = False
-        for i in range(max(at, lo), len(lengths)):
-            length = lengths[i]
-            if used.get(length, 0) >= counts[length]:
+    lengths = list(filling)
+    for i, a in enumerate(lengths):
+        at = bisect_left(free, a + 1)
+        if at < len(free) and free[at] <= a + waste:
+            return True
+        for b in lengths[i:]:
+            if a == b and filling[a] < 2:
                 continue
-            grown = True
-            used[length] = used.get(length, 0) + 1
-            done = descend(room - length, i, (*chosen, length), used)
-            used[length] -= 1
-            if done or left <= 0:
+            at = bisect_left(free, a + b)
+            if at < len(free) and free[at] <= a + b + waste:
                 return True
-        if not grown:
-            found.append((room, chosen))
-        return left <= 0
-
-    keys = np.array(lengths or [0])
-    descend(room, 0, (), {})
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste, pieces in found:
-        if not any(len(other) == len(pieces) and all(a >= b for a, b in zip(other, pieces, strict=True)) for _, other in kept):
-            kept.append((waste, pieces))
-        if len(kept) >= 8:
-            break
-    return [pieces for _, pieces in kept]
+    return bool(free) and free[0] <= waste
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, branch_nodes: int = BRANCH_NODES,
-                fill_nodes: int = FILL_NODES) -> list[Pattern]:
+def fillings(room: int, counts: dict[int, int], most_waste: int, nodes: int = FILL_NODES) -> tuple[list[dict[int, int]], bool]:
+    """Undominated ways to fill ``room`` with at most ``most_waste`` left, fullest first, and whether these are all.
+
+    A depth-first enumeration over pairs of a length and its times, longest and
+    most first, with its own stack. It takes ``nodes`` steps at most.
+    """
+    lengths = sorted((k for k in counts if k <= room), reverse=True)
+    ascending = [-k for k in lengths]  # for bisection: lengths from the first that fits on
+    rest = np.append(np.cumsum([k * counts[k] for k in lengths][::-1])[::-1], 0).tolist() if lengths else [0]
+    found: list[tuple[int, int, dict[int, int]]] = []
+
+    def steps(at: int, left: int) -> Iterator[tuple[int, int]]:
+        for i in range(max(at, bisect_left(ascending, -left)), len(lengths)):
+            if rest[i] < left - most_waste:  # what is shorter cannot fill enough
+                return
+            for times in range(min(counts[lengths[i]], left // lengths[i]), 0, -1):
+                yield i, times
+
+    chosen: list[tuple[int, int]] = []
+    stack, rooms = [steps(0, room)], [room]
+    if room <= most_waste and not (lengths and lengths[-1] <= room):
+        found.append((room, 0, {}))
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            rooms.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        nodes -= 1
+        if nodes < 0:
+            break
+        i, times = step
+        left = rooms[-1] - times * lengths[i]
+        filling = {lengths[j]: t for j, t in (*chosen, step)}
+        if left <= most_waste:
+            free = sorted(k for k in lengths if counts[k] > filling.get(k, 0)) if len(lengths) else []
+            if not dominated(filling, left, free):
+                found.append((left, sum(filling.values()), filling))
+        chosen.append(step)
+        stack.append(steps(i + 1, left))
+        rooms.append(left)
+    found.sort(key=lambda x: x[:2])
+    return [f for _, _, f in found], nodes >= 0
+
+
+def search(counts: dict[int, int], capacity: int, allowed: int, budget: int, fill_nodes: int) -> tuple[list[Pattern] | None, int, bool]:
+    """A packing that wastes at most ``allowed``, the budget left, and whether the search was complete.
+
+    Depth first with an explicit stack. Where many equal longest pieces are
+    left, a filling is first used as often as it can be, then once.
+    """
+    stack: list[list] = [[dict(counts), None, 0, None]]  # what is left, the pattern that led here, waste so far, options
+    whole = True
+    while stack and budget > 0:
+        left, _, waste, options = stack[-1]
+        if options is None:
+            if not left:
+                return [made for _, made, _, _ in stack[1:]], budget, whole
+            longest = max(left)
+            rest = {k: v - (k == longest) for k, v in left.items() if v > (k == longest)}
+            ways, all_ = fillings(capacity - longest, rest, allowed - waste, fill_nodes)
+            whole &= all_
+            if capacity - sum(k * v for k, v in left.items()) >= 0:  # the last bin: all that is left
+                ways = [rest]
+            options = []
+            for way in ways:
+                times = Counter(way)
+                times[longest] += 1
+                n = min(left[k] // t for k, t in times.items())
+                lost = capacity - sum(k * t for k, t in times.items())
+                if lost and not (n == 1 and len(ways) == 1 and ways[0] is rest):
+                    n = min(n, (allowed - waste) // lost)
+                options += [(times, m, lost) for m in dict.fromkeys((n, 1)) if m >= 1]
+            options.reverse()
+            stack[-1][3] = options
+        if not options:
+            stack.pop()
+            continue
+        times, n, lost = options.pop()
+        budget -= 1
+        rest = {k: v - n * times.get(k, 0) for k, v in left.items() if v > n * times.get(k, 0)}
+        if waste + lost * n > allowed and rest:
+            continue
+        stack.append([rest, (tuple(sorted(times.items(), reverse=True)), n), waste + lost * n, None])
+    return None, budget, whole and budget > 0
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, branch_nodes: int = BRANCH_NODES, fill_nodes: int = FILL_NODES) -> Packing:
     """Patterns that use each length as often as it occurs, with as few sequences as the search finds."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if any(k < 1 or k > capacity for k in counts):
         raise ValueError("a length lies outside 1 to the capacity")
     total = sum(k * v for k, v in counts.items())
-    least = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     n_best = sum(n for _, n in best)
-    budget = branch_nodes + 4 * len(counts)
-
-    def search(allowed: int) -> list[Pattern] | None:
-        """Depth first with an explicit stack; waste beyond ``allowed`` ends a branch."""
-        nonlocal budget
-        stack: list[tuple[dict[int, int], list[Pattern], int, list]] = [(dict(counts), [], 0, [])]
-        first = True
-        while stack and budget > 0:
-            left, made, waste, options = stack[-1]
-            if first:
-                if not left:
-                    return made
-                longest = max(left)
-                rest = {k: v - (k == longest) for k, v in left.items() if v - (k == longest)}
-                lengths = sorted((k for k in rest if k <= capacity - longest), reverse=True)
-                options = [(longest, *f) for f in fillings(capacity - longest, rest, lengths, fill_nodes)]
-                stack[-1] = (left, made, waste, options)
-            if not options:
-                stack.pop()
-                first = False
-                continue
-            pieces = options.pop(0)
-            budget -= 1
-            lost = capacity - sum(pieces)
-            times = Counter(pieces)
-            n = min(left[k] // t for k, t in times.items())
-            if lost:  # all repeats at once only while the waste bound and the room for a change of mind allow
-                n = min(n, max(1, (allowed - waste) // lost))
-            if waste + lost * n > allowed and sum(k * v for k, v in left.items()) > sum(pieces) * n:
-                first = False
-                continue
-            rest = dict(left)
-            for k, t in times.items():
-                rest[k] -= t * n
-                if not rest[k]:
-                    del rest[k]
-            stack.append((rest, [*made, (tuple(sorted(times.items(), reverse=True)), n)], waste + lost * n, []))
-            first = True
-        return None
-
-    while n_best > least and budget > 0:
-        found = search((n_best - 1) * capacity - total)
+    complete = True
+    while n_best > bound:
+        found, branch_nodes, complete = search(counts, capacity, (n_best - 1) * capacity - total, branch_nodes, fill_nodes)
         if found is None:
             break
-        n = sum(k for _, k in found)
-        if n >= n_best:
-            break
-        best, n_best = found, n
-    return best
+        best, n_best = found, sum(n for _, n in found)
+    return Packing(best, n_best, n_best if complete else bound, complete)
+
 
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    return solve(counts, capacity).patterns
 
-def placements(patterns: list[Pattern]) -> np.ndarray:
-    """Rows ``(length, first rank, times, first sequence, offset)`` by length and rank.
 
-    The piece with rank r of its length stands, by the last row whose first
-    rank is at most r, in sequence ``first + (r - rank) // times`` at ``offset +
-    (r - rank) % times * length``.
+def placements(patterns: list[Pattern], block: int = RANK_BLOCK) -> np.ndarray:
+    """Rows ``(length, block, first rank, times, first sequence, offset)`` by length and rank.
+
+    The piece with rank r of its length stands, by the last row of its length
+    and block whose first rank is at most r, in sequence ``first + (r - rank) //
+    times`` at ``offset + (r - rank) % times * length``. A row that reaches into
+    further blocks is repeated there.
     """
     rows, used, sequence = [], Counter(), 0
     for contents, n in patterns:
         offset = 0
         for length, times in contents:
-            rows.append((length, used[length], times, sequence, offset))
-            used[length] += times * n
+            first, end = used[length], used[length] + times * n
+            rows += [(length, b, first, times, sequence, offset) for b in range(first // block, (end - 1) // block + 1)]
+            used[length] = end
             offset += length * times
         sequence += n
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -242,35 +308,40 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, and ``n_sequences, least_sequences``.
+
+    The last two are the same in all rows: the sequences used, and a number
+    that no packing can go below; if they are equal, the packing is the best.
 
-    A null or empty text is the end id alone. Rows with equal or null ids are
-    packed each for itself. An empty table gives an empty result. Which of two
-    pieces of one length takes which place is not defined.
+    A null or empty text is the end id alone. A text of any length is cut into
+    pieces, and no id is lost. Rows with equal or null ids are packed each for
+    itself. Which of two pieces of one length takes which place is not defined.
+    An empty table gives an empty result. Columns of ``docs`` other than the two
+    named are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     pieces = materialize(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pack-pieces")
     sizes = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    places = placements(pack_counts(counts, capacity))
-    keys = places[:, 0] * (1 << 44) + places[:, 1]
+    packing = solve(counts, capacity)
+    names = ["length", "block", "first", "times", "sequence", "at"]
+    places = placements(packing.patterns)
+    places = spark.createDataFrame(pa.table([pa.array(places[:, k]) for k in range(len(names))], names))
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rank = F.col("base") + F.col("nth")
+    held = ["doc_id", "piece", "start", "ids_crc32"]
     ranked = pieces.join(bases, ["part", "length"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
+        "length", F.floor(rank / RANK_BLOCK).alias("block"), rank.alias("rank"), F.struct(*held).alias("held")
+    )
+    marks = places.select("length", "block", F.col("first").alias("rank"), F.struct("first", "times", "sequence", "at").alias("place"))
+    upto = Window.partitionBy("length", "block").orderBy("rank", F.col("held").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.unionByName(ranked, allowMissingColumns=True).withColumn("place", F.last("place", True).over(upto)).where("held is not null")
+    more = F.col("rank") - F.col("place.first")
+    return placed.select(
+        "held.doc_id", "held.piece", "held.start", "length", "held.ids_crc32",
+        (F.col("place.sequence") + F.floor(more / F.col("place.times"))).alias("sequence_id"),
+        (F.col("place.at") + more % F.col("place.times") * F.col("length")).alias("offset"),
+        F.lit(packing.sequences).cast("long").alias("n_sequences"), F.lit(packing.bound).cast("long").alias("least_sequences"),
     )
-
-    def place(batches):
-        for rows in batches:
-            column = lambda name: rows.column(rows.schema.get_field_index(name))
-            length, rank = column("length").to_numpy(), column("rank").to_numpy()
-            row = places[np.searchsorted(keys, length * (1 << 44) + rank, "right") - 1] if len(places) else np.zeros((0, 5), np.int64)
-            more = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays(
-                [column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                + [pa.array(row[:, 3] + more // row[:, 2]), pa.array(row[:, 4] + more % row[:, 2] * length)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return map_arrow(ranked, place, f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, "
-                                    "sequence_id long, offset long")
