@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -14,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once; a longer text is a block of its own.
 BLOCK_BYTES = 1_000_000
-#: Rows of an Arrow batch, where the session has not set its own: texts are long.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 _shipped: set[str] = set()
 
@@ -25,8 +26,6 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    if spark.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     root = Path(__file__).resolve().parent.parent
     path = Path(tempfile.mkdtemp(prefix="prismata-code-")) / f"{root.name}.zip"
     with zipfile.ZipFile(path, "w") as z:
@@ -36,9 +35,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on and serves later stages, as others beside it do."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow``, with this package on the executors and each worker's memory given back at the end of a task."""
+    def tidy(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -128,33 +142,40 @@ def cut_ids(rows: list[list[int]]) -> list[bytes]:
 class Memo:
     """Values of byte strings seen before, in two generations.
 
-    When the younger one holds ``limit`` values it becomes the older, and what
-    was older is forgotten unless it was asked for since.
+    When keys and values of the younger one take ``most`` bytes it becomes the
+    older, and what was older is forgotten unless it was asked for since.
+    Values are byte strings as well.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 250_000, longest: int = 64):
-        self.compute, self.limit, self.longest = compute, limit, longest
-        self.known: dict = {}
-        self.older: dict = {}
+    #: Bytes that a key and its value take in the dictionary beside their own, about.
+    ENTRY = 160
+
+    def __init__(self, compute: Callable[[list[bytes]], list[bytes]], most: int = 16_000_000, longest: int = 64):
+        self.compute, self.most, self.longest = compute, most, longest
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.taken = 0
 
-    def __call__(self, keys: list[bytes]) -> list:
+    def __call__(self, keys: list[bytes]) -> list[bytes]:
         found = list(map(self.known.get, keys))
         missing = [i for i, x in enumerate(found) if x is None]
         if not missing:
             return found
-        if len(self.known) + len(missing) > self.limit:
-            self.known, self.older = {}, self.known
-        older, fresh = self.older, []
+        if self.taken > self.most:
+            self.known, self.older, self.taken = {}, self.known, 0
+        fresh, again = [], {}
         for i in missing:
-            value = older.get(keys[i])
+            value = self.older.get(keys[i])
             if value is None:
                 fresh.append(i)
             else:
-                found[i] = self.known[keys[i]] = value
+                found[i] = again[keys[i]] = value
         if fresh:
             named = [keys[i] for i in fresh]
             values = self.compute(named)
             for i, value in zip(fresh, values, strict=True):
                 found[i] = value
-            self.known.update((k, v) for k, v in zip(named, values, strict=True) if len(k) <= self.longest)
+            again.update((k, v) for k, v in zip(named, values, strict=True) if len(k) <= self.longest)
+        self.known.update(again)
+        self.taken += sum(map(len, again)) + sum(map(len, again.values())) + self.ENTRY * len(again)
         return found

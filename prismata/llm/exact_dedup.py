@@ -11,12 +11,14 @@ folder:
   It starts as one bucket. A bucket with more than ``capacity`` entries is
   split on its next bit, and where such a bucket is as deep as the directory,
   the directory doubles. A bucket that need not split keeps its smaller local
-  depth and is named by several slots.
+  depth and is named by several slots. The directory is a table like any other
+  and may grow beyond what can be broadcast.
 * *buckets*: the entries dealt by key range to owner tasks, sorted by hash.
   Different texts with one hash form a chain and are told apart by digest.
 
 Each document then finds its bucket through the directory and its entry through
-the bucket's chain.
+the bucket's chain. Entries with many copies are sent to the documents instead,
+so that a group of copies does not meet in the task that owns its bucket.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize
+from .storage import discard, materialize
 
 #: Entries that a bucket holds before it is split.
 BUCKET_CAPACITY = 50_000
-#: The directory never has more than 2**16 slots, so it can be broadcast; a
-#: bucket still overfull at this depth keeps all its entries in longer chains.
-MAX_DEPTH = 16
-#: Levels kept below the expected depth, for buckets that hash unevenly.
-SPARE_LEVELS = 3
+#: Bits beyond the expected depth by which entries are counted, for buckets that hash unevenly.
+SPARE_BITS = 4
+#: An entry with so many copies, and with one in ``HOT_ENTRIES`` of all rows, is
+#: broadcast; there are at most ``HOT_ENTRIES`` such entries, whatever the table.
+HOT_COPIES, HOT_ENTRIES = 1000, 50_000
 
 
 def normalised(text):
@@ -50,23 +52,48 @@ def _slot(h, depth: int):
 def build_directory(entries: DataFrame, n_entries: int, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, int]:
     """The directory ``(slot, bucket, local_depth)`` over ``entries.h`` and its depth.
 
-    The counts of every prefix of every length up to the depth are summed in
-    one pass; a slot's bucket is its shortest prefix that is not overfull.
+    Each round splits the buckets that are overfull, after doubling the
+    directory if one of them is as deep as it. Only the largest size and the
+    largest depth of an overfull bucket reach the driver. Entries are counted by
+    leading bits once, and again by more bits should these not do; entries that
+    share all 64 bits stay together as one chain.
     """
-    expected = math.ceil(math.log2(max(1, n_entries) / capacity)) if n_entries > capacity else 0
-    depth = min(MAX_DEPTH, expected + SPARE_LEVELS)
-    cells = entries.groupBy(_slot(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    cells = entries.sparkSession.range(2**depth).select(F.col("id").alias("slot")).join(cells, "slot", "left")
-    levels = cells.select(
-        "slot", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
-    ).withColumn("prefix", F.expr(f"shiftright(slot, {depth} - d)"))
-    sums = levels.groupBy("d", "prefix").agg(F.sum("n").alias("size"))
-    fits = levels.join(sums, ["d", "prefix"]).where((F.col("size") <= capacity) | (F.col("d") == depth))
-    directory = fits.groupBy("slot").agg(F.min("d").alias("local_depth")).select(
-        "slot", F.expr(f"shiftleft(shiftright(slot, {depth} - local_depth), {depth} - local_depth)").alias("bucket"),
-        "local_depth",
-    )
-    return directory, depth
+    spark = entries.sparkSession
+    bits = min(64, SPARE_BITS + (math.ceil(math.log2(n_entries / capacity)) if n_entries > capacity else 0))
+
+    def counted(bits: int) -> DataFrame:
+        return materialize(entries.groupBy(_slot(F.col("h"), bits).alias("cell")).agg(F.count(F.lit(1)).alias("n")), "exact-cells")
+
+    cells, depth = counted(bits), 0
+    directory = materialize(spark.range(1).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("local_depth")), "exact-directory")
+    while True:
+        held = cells.select(F.shiftrightunsigned("cell", bits - depth).alias("slot") if depth else F.lit(0).cast("long").alias("slot"), "n")
+        sizes = held.join(directory, "slot").groupBy("bucket", "local_depth").agg(F.sum("n").alias("size"))
+        over = sizes.where(F.col("size") > capacity).where("local_depth < 64")
+        deepest = over.agg(F.max("local_depth")).first()[0]
+        if deepest is None:
+            return directory, depth
+        stale = [directory]
+        if deepest == bits:
+            bits = min(64, 2 * bits)
+            stale.append(cells)
+            cells = counted(bits)
+        grown = directory
+        if deepest == depth:
+            grown = directory.select(
+                F.explode(F.array(F.col("slot") * 2, F.col("slot") * 2 + 1)).alias("slot"), (F.col("bucket") * 2).alias("bucket"), "local_depth"
+            )
+            depth += 1
+            over = over.withColumn("bucket", F.col("bucket") * 2)
+        split = F.col("full") & F.expr(f"shiftright(slot, {depth - 1} - local_depth) % 2 = 1")
+        grown = grown.join(over.select("bucket", F.lit(True).alias("full")), "bucket", "left").select(
+            "slot",
+            F.when(split, F.expr(f"bucket + shiftleft(1L, {depth - 1} - local_depth)")).otherwise(F.col("bucket")).alias("bucket"),
+            F.when(F.col("full"), F.col("local_depth") + 1).otherwise(F.col("local_depth")).alias("local_depth"),
+        )
+        grown = materialize(grown, "exact-directory")
+        discard(*stale)
+        directory = grown
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
@@ -76,10 +103,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket_depth, chain``. Texts are equal when identical after each run of
     ASCII white space became one space. The smallest id of a group stays.
 
-    Null texts count as empty. Null ids never stay unless all ids of their
-    group are null (then ``keep_id`` is null and all rows are kept). Rows that
-    repeat the id that stays are kept too. Other columns are ignored. An empty
-    table gives an empty result.
+    Null texts count as empty; texts of any length are compared whole. Null ids
+    never stay unless all ids of their group are null (then ``keep_id`` is null
+    and all rows are kept). Rows that repeat the id that stays are kept too.
+    Other columns are ignored, whatever their names. An empty table gives an
+    empty result.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn(
         "h", F.xxhash64("norm")
@@ -91,7 +119,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "exact-entries",
     )
     directory, depth = build_directory(entries, entries.count(), capacity)
-    directory = F.broadcast(materialize(directory.coalesce(1), "exact-directory"))
     chain = Window.partitionBy("bucket", "h").orderBy("keep_id", "digest")
     buckets = materialize(
         entries.withColumn("slot", _slot(F.col("h"), depth))
@@ -101,17 +128,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("bucket", "local_depth", "h", "chain", "digest", "keep_id", "group_size"),
         "exact-buckets",
     )
-    probes = (
-        keyed.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("digest"))
-        .withColumn("slot", _slot(F.col("h"), depth))
-        .join(directory.select("slot", "bucket"), "slot")
-        .drop("slot")
-    )
-    return probes.join(buckets, ["bucket", "h", "digest"]).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+    n = entries.agg(F.sum("group_size")).first()[0] or 0
+    discard(entries)
+    hot = buckets.where(F.col("group_size") >= max(HOT_COPIES, -(-n // HOT_ENTRIES)))
+    entry = ["bucket", "local_depth", "chain", "keep_id", "group_size"]
+    probes = keyed.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    probes = probes.join(F.broadcast(hot.select("h", "digest", F.struct(*entry).alias("hot"))), ["h", "digest"], "left")
+    probes = probes.withColumn("slot", _slot(F.col("h"), depth)).join(directory.select("slot", F.col("bucket").alias("b")), "slot").drop("slot")
+    # a row that has its entry looks for none, and goes where its id says
+    cold = F.col("hot").isNull()
+    found = probes.withColumn("at", F.when(cold, F.col("h")).otherwise(F.xxhash64("doc_id"))).withColumn("key", F.when(cold, F.col("digest")))
+    found = found.join(
+        buckets.select(F.col("bucket").alias("b"), F.col("h").alias("at"), F.col("digest").alias("key"), F.struct(*entry).alias("cold")), ["b", "at", "key"], "left"
+    ).withColumn("entry", F.coalesce("hot", "cold"))
+    return found.select(
+        "doc_id", "entry.keep_id", "entry.group_size",
+        F.col("doc_id").eqNullSafe(F.col("entry.keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "bucket", F.col("local_depth").alias("bucket_depth"), "chain",
+        "entry.bucket", F.col("entry.local_depth").alias("bucket_depth"), "entry.chain",
     )
 
 
