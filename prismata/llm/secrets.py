@@ -3,18 +3,26 @@
 Three patterns give the *base* spans. A conditional random field then tags every
 token of every text as the beginning (B) of a secret, inside (I) or outside (O)
 one, from the token's shape, its neighbours and features of the whole text, and
-Viterbi decoding gives further spans. It is trained in numpy, by gradient
-descent on the likelihood of the base spans' tags in a bounded sample of
-documents.
+Viterbi decoding gives further spans.
+
+The field is trained in numpy, by gradient ascent on the likelihood of tags in
+windows of a bounded sample of documents. The tags are those of the secret
+values in base spans. Were that all, the field could only learn the patterns
+again; so windows are shown in variants too, with key words, separators, quotes
+and value formats that the patterns don't have, and with things that look alike
+and are no secrets (addresses, dates, versions, card numbers, prose after a key
+word), tagged O.
 
 Most tokens cannot be anything but outside: where O leads B and I by more than
 transitions on both sides can make up, every best path has O there. The texts
 fall into short islands between such tokens, and Viterbi on these gives the
-best path of the whole.
+best path of the whole. Only the tokens that a bound on their lead leaves open
+are scored in full.
 """
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -24,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import blocks, distinct, map_arrow
+from .arrowtext import Memo, blocks, distinct, map_arrow
 
 #: The patterns of the base spans, in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -37,13 +45,19 @@ _LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: A text without any of these has no base span.
 _HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 
-#: Documents looked at for training, windows taken of each, tokens of a window.
-SAMPLE_DOCS, WINDOWS, REACH = 3000, 4, 12
-STEPS, RATE, PENALTY = 80, 0.2, 1e-3
+#: Bounds of the training sample: documents with a base span and without one, and windows, each drawn by hash.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 4000
+#: Tokens on both sides of a window's centre.
+REACH = 12
+STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 WORD_BUCKETS = 32
-SHAPES = 24
+SHAPES = 28
 FEATURES = SHAPES + WORD_BUCKETS
+#: Features that are also looked at two and three tokens before.
+FAR = [19, 20, 21, 22, 23]
 FILE_FEATURES = 6
+#: Empty places between texts, so that neighbours are those of the same text.
+GAP = 3
 O, B, I = 0, 1, 2  # noqa: E741
 
 
@@ -64,8 +78,8 @@ _UPPER[65:91] = 1
 _LOWER_[97:123] = 1
 _DIGIT[48:58] = 1
 _HEXLETTER[97:103] = 1
-_KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_NEAR_KEYWORDS = (b"key", b"pwd", b"auth", b"cred", b"private", b"bearer")
+_KEYWORDS = (b"passw", b"passphrase", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+_NEAR_KEYWORDS = (b"key", b"pwd", b"auth", b"cred", b"private", b"bearer", b"sig")
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -87,7 +101,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 def features(values: list[bytes]) -> np.ndarray:
     """Shape and word features of each token value, as 0 and 1."""
     n = len(values)
-    out = np.zeros((n, FEATURES), np.float32)
+    out = np.zeros((n, FEATURES), np.uint8)
     if not n:
         return out
     length = np.fromiter(map(len, values), np.int64, n)
@@ -101,28 +115,37 @@ def features(values: list[bytes]) -> np.ndarray:
     out[:, 8] = digit > 0
     out[:, 9] = upper > 0
     out[:, 10] = lower > 0
-    out[:, 11] = word & (digit > 0) & (upper + lower > 0)
+    mixed = word & (digit > 0) & (upper + lower > 0)
+    out[:, 11] = mixed
     out[:, 12] = word & (digit + hexes == length) & (hexes > 0) & (digit > 0)
     out[:, 13] = word & (digit + upper == length) & (upper > 0)
     out[:, 14] = (digit == length) & word
     out[:, 15] = ~word
-    mixed = (digit > 0) & (upper + lower > 0) & word
     out[:, 16] = mixed & (length >= 12)
     out[:, 17] = mixed & (length >= 16) & (upper + digit == length)
     out[:, 18] = mixed & (length >= 16) & (lower + digit == length)
-    for i in np.flatnonzero(~word):
+    # changes between letters and digits, and between upper and lower case after the first letter
+    sort = _UPPER[joined] + 2 * _LOWER_[joined] + 4 * _DIGIT[joined]
+    turn = np.insert((sort[1:] != sort[:-1]) & (sort[1:] > 0) & (sort[:-1] > 0), 0, False).astype(np.int64)
+    turn[begin] = 0
+    turns = np.add.reduceat(turn, begin)
+    out[:, 24] = word & (turns >= 3)
+    out[:, 25] = word & (turns >= 6)
+    out[:, 26] = word & (upper >= 2) & (lower >= 2) & (turns >= 4)
+    out[:, 27] = word & (4 * digit >= length) & (length >= 8)
+    for i in np.flatnonzero(~word).tolist():
         v = values[i]
         out[i, 19] = b"=" in v or b":" in v
         out[i, 20] = b'"' in v or b"'" in v
-    for i in np.flatnonzero(word & (lower + upper >= 3) & (length <= 40)):
+    for i in np.flatnonzero(word & (lower + upper >= 3) & (length <= 40)).tolist():
         v = values[i].lower()
         if any(k in v for k in _KEYWORDS):
             out[i, 21] = 1
         elif any(k in v for k in _NEAR_KEYWORDS):
             out[i, 22] = 1
-        out[i, 23] = values[i].startswith(b"AKIA")
+    out[:, 23] = word & (digit == 0) & (upper > 0) & (lower == 0) & (length >= 3)
     plain = np.flatnonzero(word & (digit == 0) & (length <= 12))
-    bucket = np.fromiter((xxhash.xxh3_64_intdigest(values[i].lower()) % WORD_BUCKETS for i in plain), np.int64, len(plain))
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(values[i].lower()) % WORD_BUCKETS for i in plain.tolist()), np.int64, len(plain))
     out[plain, SHAPES + bucket] = 1
     return out
 
@@ -130,61 +153,71 @@ def features(values: list[bytes]) -> np.ndarray:
 def file_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Features of each whole text: its size, its share of digits and of signs, assignments."""
     n = np.diff(offsets)
-    total = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data] if len(data) else np.zeros(0, np.int64))])[offsets])
-    sign = np.zeros(256, np.int64)
-    sign[[34, 39, 58, 61, 95]] = 1
-    assign = np.zeros(256, np.int64)
-    assign[61] = 1
+    total = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])[offsets])
     size = np.maximum(n, 1)
-    digits, signs, equals = total(_DIGIT) / size, total(sign) / size, total(assign)
+    digits, signs, equals = total(_IS_DIGIT) / size, total(_IS_SIGN) / size, total(_IS_EQUAL)
     return np.stack([n < 500, n > 5000, digits > 0.02, digits > 0.1, signs > 0.01, equals > 0], 1).astype(np.float32)
 
 
+_IS_DIGIT, _IS_SIGN, _IS_EQUAL = (np.zeros(256, np.uint8) for _ in range(3))
+_IS_DIGIT[48:58] = 1
+_IS_SIGN[[34, 39, 58, 61, 95]] = 1
+_IS_EQUAL[61] = 1
+
+
+def glued(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 where no white space stands between a token and the one before, 2 where none follows, 3 for both."""
+    touch = starts[1:] == ends[:-1]
+    return np.append(False, touch) + 2 * np.append(touch, False)
+
+
 class Field:
-    """Weights of the random field: own, previous and next token, text, and transitions."""
+    """Weights of the random field: of the token, its neighbours, how it touches them, and the text; and transitions."""
+
+    #: Rows of ``weights``: own, previous and next token, far features two and three before, touch left and right, text, bias.
+    SIZES = (FEATURES, FEATURES, FEATURES, len(FAR), len(FAR), 2, FILE_FEATURES, 1)
 
     def __init__(self):
-        self.own, self.prev, self.next = (np.zeros((FEATURES, 3)) for _ in range(3))
-        self.text = np.zeros((FILE_FEATURES, 3))
-        self.bias = np.zeros(3)
+        self.weights = np.zeros((sum(self.SIZES), 3))
         self.move = np.zeros((3, 3))
         self.trained = False
 
-    def parts(self):
-        return [self.own, self.prev, self.next, self.text, self.bias, self.move]
+    def parts(self) -> list[np.ndarray]:
+        return np.split(self.weights, np.cumsum(self.SIZES)[:-1])
 
-    def fit(self, windows: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> None:
-        """``windows`` hold token values, file features and tags; gradient ascent with Adam."""
-        if not any((tags == B).any() for _, _, tags in windows):
+    def fit(self, windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """``windows`` hold features of the tokens, how these touch, file features and tags; gradient ascent with Adam."""
+        if not any((tags == B).any() for _, _, _, tags in windows):
             return
-        longest = max(len(v) for v, _, _ in windows)
-        values = sorted({v for w in windows for v in w[0]})
-        at = {v: i for i, v in enumerate(values)}
-        table = features(values)
-        n = len(windows)
-        index = np.full((n, longest), -1)
+        n, longest = len(windows), max(len(x[3]) for x in windows)
         tags = np.zeros((n, longest), np.int64)
-        for i, (v, _, t) in enumerate(windows):
-            index[i, : len(v)] = [at[x] for x in v]
-            tags[i, : len(t)] = t
-        real = index >= 0
-        own = table[index] * real[:, :, None]
-        pad = np.zeros((n, 1, FEATURES), np.float32)
-        near = np.concatenate([own, np.concatenate([pad, own[:, :-1]], 1), np.concatenate([own[:, 1:], pad], 1)], 2)[real]
-        text = np.stack([f for _, f, _ in windows])
+        real = np.zeros((n, longest), bool)
+        design = np.zeros((n, longest, len(self.weights)), np.float32)
+        at = np.cumsum([0, *self.SIZES])
+        for i, (shape, touch, file, tag) in enumerate(windows):
+            k = len(tag)
+            tags[i, :k], real[i, :k] = tag, True
+            row = design[i]
+            row[:k, at[0] : at[1]] = shape
+            row[1:k, at[1] : at[2]] = shape[:-1]
+            row[: k - 1, at[2] : at[3]] = shape[1:]
+            row[2:k, at[3] : at[4]] = shape[:-2, FAR]
+            row[3:k, at[4] : at[5]] = shape[:-3, FAR]
+            row[:k, at[5]], row[:k, at[5] + 1] = touch & 1, touch >> 1
+            row[:k, at[6] : at[7]] = file
+            row[:k, at[7]] = 1
+        design = design[real]
         gold = np.eye(3)[tags] * real[:, :, None]
         both = real[:, 1:] & real[:, :-1]
         gold_move = np.einsum("ntu,ntv->uv", gold[:, :-1] * both[:, :, None], gold[:, 1:])
-        first = [np.zeros_like(p) for p in self.parts()]
-        second = [np.zeros_like(p) for p in self.parts()]
+        held = [self.weights, self.move]
+        first, second = [np.zeros_like(p) for p in held], [np.zeros_like(p) for p in held]
         for step in range(1, STEPS + 1):
-            score = np.broadcast_to((text @ self.text)[:, None] + self.bias, gold.shape).copy()
-            score[real] += near @ np.concatenate([self.own, self.prev, self.next]).astype(np.float32)
+            score = np.zeros(gold.shape)
+            score[real] = design @ self.weights.astype(np.float32)
             marginal, pairs = self._expect(score, real)
-            off = (gold - marginal) * real[:, :, None]
-            by_token = np.split(near.T @ off[real].astype(np.float32), 3)
-            grads = [*by_token, text.T @ off.sum(1), off.sum((0, 1)), gold_move - pairs]
-            for p, g, a, b in zip(self.parts(), grads, first, second, strict=True):
+            off = ((gold - marginal) * real[:, :, None])[real]
+            for p, g, a, b in zip(held, [design.T @ off.astype(np.float32), gold_move - pairs], first, second, strict=True):
                 g = g / n - PENALTY * p
                 a *= 0.9
                 a += 0.1 * g
@@ -213,21 +246,6 @@ class Field:
             pairs += (p * real[:, t, None, None]).sum(0)
         return marginal, pairs
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, found) -> np.ndarray:
-        _, _, index, values, first = found
-        table = features(values)
-        own, prev, after = (table @ w for w in (self.own, self.prev, self.next))
-        score = own[index] + self.bias
-        score[1:] += prev[index[:-1]]
-        score[:-1] += after[index[1:]]
-        n = np.diff(first)
-        begin, end = first[:-1][n > 0], first[1:][n > 0] - 1
-        inner = begin[begin > 0]
-        score[inner] -= prev[index[inner - 1]]
-        inner = end[end < len(index) - 1]
-        score[inner] -= after[index[inner + 1]]
-        return score + np.repeat(file_features(data, offsets) @ self.text, n, axis=0)
-
     def viterbi(self, score: np.ndarray, left: bool, right: bool) -> np.ndarray:
         """The best tags of one island; ``left`` and ``right`` tell whether an O stands beside it."""
         n = len(score)
@@ -247,20 +265,69 @@ class Field:
     def tags(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best tags of all texts, decoded island by island."""
         tags = np.zeros(len(score), np.int64)
-        if not self.trained or not len(score):
-            return tags
-        slack = 2 * (self.move.max() - self.move.min())
-        open_ = np.flatnonzero(score[:, O] - score[:, 1:].max(1) <= slack)
-        if not len(open_):
+        if self.trained and len(score):
+            self._paths(tags, np.arange(len(score)), score, first)
+        return tags
+
+    def _slack(self) -> float:
+        return 2 * float(self.move.max() - self.move.min())
+
+    def _paths(self, tags: np.ndarray, at: np.ndarray, score: np.ndarray, first: np.ndarray) -> None:
+        """Put the best tags of the tokens ``at``, with their scores, into ``tags``; all others are outside."""
+        open_ = np.flatnonzero(score[:, O] - score[:, 1:].max(1) <= self._slack())
+        at, score = at[open_], score[open_]
+        if not len(at):
+            return
+        of = np.searchsorted(first, at, "right") - 1
+        cut = np.append(0, np.flatnonzero((np.diff(at) > 1) | (np.diff(of) > 0)) + 1)
+        for a, b, text in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), of[cut].tolist(), strict=True):
+            tags[at[a:b]] = self.viterbi(score[a:b], at[a] > first[text], at[b - 1] + 1 < first[text + 1])
+
+    def value_scores(self, values: list[bytes]) -> np.ndarray:
+        """For each token value, three scores as the token itself, as the one before, after, two and three before."""
+        shape = features(values).astype(np.float32)
+        own, prev, after, far2, far3 = (w.astype(np.float32) for w in self.parts()[:5])
+        return np.concatenate([shape @ own, shape @ prev, shape @ after, shape[:, FAR] @ far2, shape[:, FAR] @ far3], 1)
+
+    def decode(self, data: np.ndarray, offsets: np.ndarray, found, scores: Memo) -> np.ndarray:
+        """The best tags of all tokens; ``scores`` remembers ``value_scores``."""
+        starts, ends, index, values, first = found
+        tags = np.zeros(len(starts), np.int64)
+        if not self.trained or not len(starts):
             return tags
-        of = np.searchsorted(first, open_, "right") - 1
-        cut = np.flatnonzero((np.diff(open_) > 1) | (np.diff(of) > 0)) + 1
-        for part, text in zip(np.split(open_, cut), of[np.append(0, cut)], strict=True):
-            a, b = part[0], part[-1] + 1
-            tags[a:b] = self.viterbi(score[a:b], a > first[text], b < first[text + 1])
+        table = np.frombuffer(b"".join(scores(values)), np.float32).reshape(-1, 5, 3)
+        table = np.concatenate([table, np.zeros((1, 5, 3), np.float32)])
+        lead = np.ascontiguousarray((table[:, :, 1:].max(2) - table[:, :, O]).T)
+        _, _, _, _, _, touch, text, bias = self.parts()
+        touching = np.stack([np.zeros(3), touch[0], touch[1], touch[0] + touch[1]])
+        whole = file_features(data, offsets) @ text + bias
+        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        place = np.arange(len(index)) + GAP * (1 + of)
+        spread = np.full(len(index) + GAP * (len(first) + 1), len(values))
+        spread[place] = index
+        near = ((0, 0), (-1, 1), (1, 2), (-2, 3), (-3, 4))  # where the neighbour stands, and its part of the table
+        bound = lambda x: x[..., 1:].max(-1) - x[..., O]
+        most = bound(touching)[glued_in(starts, ends, first)] + bound(whole)[of] + self._slack()
+        for step, part in near:
+            most += lead[part][spread[place + step]]
+        at = np.flatnonzero(most >= -1e-3)
+        if len(at):
+            score = touching[glued_in(starts, ends, first)[at]] + whole[of[at]]
+            for step, part in near:
+                score += table[spread[place[at] + step], part]
+            self._paths(tags, at, score, first)
         return tags
 
 
+def glued_in(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``glued`` within each text: tokens of two texts never touch."""
+    touch = glued(starts, ends)
+    full = np.flatnonzero(np.diff(first))
+    touch[first[full]] &= 2
+    touch[first[full + 1] - 1] &= 1
+    return touch
+
+
 def tagged_spans(tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of the secrets in one text: a B with the I that follow, or a run of I."""
     spans: list[tuple[int, int]] = []
@@ -272,69 +339,156 @@ def tagged_spans(tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
     return spans
 
 
-def _windows(text: str, data: np.ndarray) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Training windows of one text: around its base spans, or one from its middle."""
+def outside(span: tuple[int, int], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``span`` that no other span covers."""
+    parts = [span]
+    for x, y in others:
+        parts = [p for a, b in parts for p in ((a, min(b, x)), (max(a, y), b)) if p[0] < p[1]]
+    return parts
+
+
+#: Training variants: words before a value, what stands between, and what else has digits and signs.
+_NAMES = ("password", "passwd", "secret", "token", "api_key", "pwd", "user_pwd", "auth_token", "private_key", "credential", "db_secret",
+          "Authorization", "AUTH_KEY", "signing_key")
+_BETWEEN = ("=", " = ", ": ", ":", " := ", '="', ' = "', ': "', '":"', "='", " '", " is ", " ")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_ALPHABETS = ("0123456789abcdef", _LETTERS + "0123456789", _LETTERS.upper() + "0123456789", _LETTERS + _LETTERS.upper() + "0123456789",
+              _LETTERS + _LETTERS.upper() + "0123456789+/", _LETTERS + _LETTERS.upper() + "0123456789-_", _LETTERS + _LETTERS.upper() + "0123456789!#$%&*?")
+
+
+def _made_secret(r: random.Random) -> tuple[str, int, int]:
+    """A key word, what stands between, a value in quotes or not; and where the value is."""
+    bare = r.random() < 0.25  # nothing but the value
+    before = "" if bare else r.choice(_NAMES) + r.choice(_BETWEEN)
+    value = ""
+    while not (any(map(str.isdigit, value)) and any(map(str.isalpha, value))):
+        value = "".join(r.choices(r.choice(_ALPHABETS[:4] if bare else _ALPHABETS), k=r.randint(24, 64) if bare else r.randint(8, 44)))
+    if r.random() < 0.2:
+        value = r.choice(("pk_", "live-", "v1.", "key-", "T0")) + value
+    close = next((q for q in "\"'" if before.endswith(q)), "")
+    return before + value + close, len(before), len(before) + len(value)
+
+
+def _made_plain(r: random.Random, words: list[str]) -> str:
+    """Something with digits, signs or a key word that is no secret; ``words`` are some of the text."""
+    d = lambda k: "".join(r.choices("0123456789", k=k))
+    word = lambda: r.choice(words)
+    return r.choice((
+        lambda: f"{word()}.{d(2)}@{word()}{d(1)}.example.com", lambda: f"https://{word()}.org/{word()}/{d(4)}?id={d(5)}", lambda: f"{d(4)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}Z",
+        lambda: d(16), lambda: f"+{d(2)} {d(3)} {d(7)}", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"{word()}_{word()}_{d(2)} = {word()}", lambda: f"{word()} = {d(3)}", lambda: f"{word().title()}{word().title()}{d(1)}",
+        lambda: f"{r.choice(_NAMES)} {word()} {word()}", lambda: f"the {r.choice(_NAMES)} is {word()}", lambda: f"ISBN {d(3)}-{d(10)}", lambda: f"{word()}-{d(2)}.jpg", lambda: f"{word().upper()}{d(3)}",
+    ))()
+
+
+def _window(text: str, spans: list[tuple[int, int]], centre: int, file: np.ndarray) -> tuple | None:
+    """Features, touch, file features and tags of the tokens about the character ``centre``."""
+    low = max(0, centre - 1500)
+    while low and not text[low].isspace():
+        low -= 1
+    cut = text[low : centre + 1500]
+    data = np.frombuffer(cut.encode(), np.uint8)
     starts, ends, index, values, _ = tokens(data, np.array([0, len(data)]))
     if not len(starts):
-        return []
+        return None
     tags = np.zeros(len(starts), np.int64)
-    centres = []
-    for a, b, _ in base_spans(text):
-        a, b = len(text[:a].encode()), len(text[:b].encode())
+    for a, b in spans:
+        if b <= low or a >= low + len(cut):
+            continue
+        a, b = len(cut[: max(0, a - low)].encode()), len(cut[: b - low].encode())
         inside = np.flatnonzero((starts < b) & (ends > a))
-        fresh = inside[tags[inside] == O]
-        if len(fresh):
-            tags[fresh] = I
-            if len(fresh) == len(inside):
-                tags[fresh[0]] = B
-            centres.append(int(fresh[0]))
-    file = file_features(data, np.array([0, len(data)]))[0]
-    out = []
-    for c in (centres or [len(starts) // 2])[:WINDOWS]:
-        a, b = max(0, c - REACH), min(len(starts), c + REACH)
-        out.append(([values[i] for i in index[a:b]], file, tags[a:b]))
-    return out
+        tags[inside] = I
+        if len(inside):
+            tags[inside[0]] = B
+    at = int(np.searchsorted(starts, len(cut[: centre - low].encode())))
+    own = slice(max(0, at - REACH), min(len(starts), at + REACH))
+    held = [values[i] for i in index[own]]
+    return features(held), glued(starts, ends)[own], file, tags[own]
+
 
+def _values(text: str) -> list[tuple[int, int]]:
+    """Where the values of the base spans are: without key word, sign and quote."""
+    found = [m.span(2) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= _LEAST["assign"]]
+    return found + [(a, b) for a, b, k in base_spans(text) if k != "assign" and not any(x < b and a < y for x, y in found)]
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field fitted to the base spans in ``sample_docs`` documents, those with the smallest hash of their id.
 
-    Without a base span among them it stays untrained and adds no spans.
+def _windows(text: str) -> list[tuple]:
+    """Training windows of one text: its base spans, each also in two variants, or lookalikes and a secret of its own."""
+    r = random.Random(xxhash.xxh3_64_intdigest(text.encode()))
+    data = np.frombuffer(text.encode(), np.uint8)
+    file = file_features(data, np.array([0, len(data)]))[0]
+    values = _values(text)
+    words = [x.group() for x in re.finditer(r"[^\W\d_]{2,12}", text[:20_000])] or ["word"]
+    out = []
+    for a, b, _ in base_spans(text):
+        out.append(_window(text, values, a, file))
+    places = [(a, b) for a, b, _ in base_spans(text)] + [(k, k) for k in (r.randrange(len(text) + 1) for _ in range(2))]
+    for a, b in places:
+        while a and not text[a - 1].isspace() and a == b:
+            a = b = a - 1
+        made, x, y = _made_secret(r)
+        around = text[max(0, a - 1000) : a], text[b : b + 1000]
+        out.append(_window(f"{around[0]}{made} {around[1]}", [(len(around[0]) + x, len(around[0]) + y), *_values(around[0])], len(around[0]), file))
+        plain = _made_plain(r, words)
+        out.append(_window(f"{around[0]}{plain} {around[1]}", _values(around[0]), len(around[0]), file))
+    odd = [m.start() for m in re.finditer(r"\S*\d\S*", text)]
+    for c in r.sample(odd, min(len(odd), 2)) + [r.randrange(len(text) + 1)]:
+        out.append(_window(text, values, c, file))
+    return [w for w in out if w is not None]
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id",
+          text_col: str = "text") -> Field:
+    """A field fitted to at most ``sample_windows`` windows of ``sample_docs`` documents with a base span and as many without.
+
+    Those with the smallest hashes are taken; a window has ``2 * REACH`` tokens
+    and only their features travel, so the driver's share has a fixed bound.
+    Without a base span in any document the field stays untrained and adds no
+    spans.
     """
     import pickle
 
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct()
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), text.rlike(_HINT).alias("hit")).where("doc_id is not null")
+    picked = [rows.where(cond).select("doc_id", "hash").distinct().orderBy("hash", "doc_id").limit(sample_docs) for cond in ("hit", "not hit")]
+    chosen = picked[0].unionByName(picked[1])  # 2 * sample_docs rows at most
+    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(chosen), ["doc_id", "hash"], "left_semi")
 
     def work(batches):
-        for rows, data, offsets in blocks(batches):
-            text = rows.column(rows.schema.get_field_index("text")).to_pylist()
-            found = [_windows(t or "", data[a:b]) for t, a, b in zip(text, offsets[:-1], offsets[1:], strict=True)]
-            kept = [i for i, w in enumerate(found) if w]
+        for rows in batches:
+            found = [(t, w) for t in rows.column(rows.schema.get_field_index("text")).to_pylist() for w in _windows(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_64_hexdigest((text[i] or "").encode()) for i in kept], pa.string()),
-                 pa.array([pickle.dumps(found[i]) for i in kept], pa.binary())], ["k", "w"]
+                [pa.array([xxhash.xxh3_64_intdigest(t.encode(), k) >> 1 for k, (t, _) in enumerate(found)], pa.int64()),
+                 pa.array([len(_HITS.findall(t)) for t, _ in found], pa.int64()), pa.array([pickle.dumps(w) for _, w in found], pa.binary())], ["k", "hits", "w"]
             )
 
-    rows = map_arrow(held, work, "k string, w binary").toArrow().to_pylist()
+    windows = map_arrow(held.select("text"), work, "k long, hits long, w binary").orderBy("k", "w").limit(sample_windows).toArrow().to_pylist()
     field = Field()
-    field.fit([w for r in sorted(rows, key=lambda r: (r["k"], r["w"])) for w in pickle.loads(r["w"])])
+    if any(r["hits"] for r in windows):
+        field.fit([pickle.loads(r["w"]) for r in windows])
     return field
 
 
-def scan(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+_HITS = re.compile(_HINT, re.ASCII)
+
+
+def scan(docs: DataFrame, field: Field, text_col: str = "text", mark: str | None = None) -> DataFrame:
     """``docs`` with ``secrets`` added: ``array<(kind, start, end)>`` in code points.
 
-    All base spans, and of the field's spans (kind ``crf``) those that meet no
-    base span; by start, then kind. Null and empty texts have none. A column of
-    ``docs`` named ``secrets`` is replaced.
+    All base spans, and of the field's spans (kind ``crf``) those parts that lie
+    outside base spans; by start, then kind. With ``mark``, each secret of the
+    text is replaced by it in the same pass.
+
+    Null and empty texts have none, and stay as they are. Texts of any length
+    are scanned whole, and repeated rows each for itself. A column of ``docs``
+    named ``secrets`` is replaced; all others are kept. An empty table gives an
+    empty result.
     """
     docs = docs.drop("secrets")
     names, kinds = docs.columns, dict(docs.dtypes)
     rank = {k: i for i, k in enumerate((*KINDS, "crf"))}
 
     def work(batches):
+        scores = Memo(lambda values: [x.tobytes() for x in field.value_scores(values)])
         for rows, data, offsets in blocks(batches, text_col):
             column = rows.column(rows.schema.get_field_index(text_col))
             hint = pc.fill_null(pc.match_substring_regex(column, _HINT), False).to_numpy(zero_copy_only=False)
@@ -343,19 +497,24 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                 spans[i] = [(a, b, k) for a, b, k in base_spans(column[int(i)].as_py())]
             if field.trained:
                 found = starts, ends, _, _, first = tokens(data, offsets)
-                tags = field.tags(field.scores(data, offsets, found), first) if len(starts) else np.zeros(0, np.int64)
+                tags = field.decode(data, offsets, found, scores)
                 some = np.unique(np.searchsorted(first, np.flatnonzero(tags), "right") - 1)
                 for i in some.tolist():
                     own = slice(first[i], first[i + 1])
-                    at = offsets[i]
+                    base = [(x, y) for x, y, _ in spans[i]]
+                    at, chars = int(offsets[i]), 0  # the byte and the code point reached
                     for a, b in tagged_spans(tags[own], starts[own], ends[own]):
-                        a = len(data[at:a].tobytes().decode())
-                        b = a + len(data[at:b].tobytes().decode()[a:])
-                        if not any(a < y and x < b for x, y, k in spans[i] if k != "crf"):
-                            spans[i].append((a, b, "crf"))
-            listed = [[{"kind": k, "start": a, "end": b} for a, b, k in sorted(s, key=lambda s: (s[0], rank[s[2]], s[1]))] for s in spans]
+                        begin = chars + len(data[at:a].tobytes().decode())
+                        at, chars = b, begin + len(data[a:b].tobytes().decode())
+                        spans[i] += [(x, y, "crf") for x, y in outside((begin, chars), base)]
+            spans = [sorted(s, key=lambda s: (s[0], rank[s[2]], s[1])) for s in spans]
+            listed = [[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in spans]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(listed, kind)], [*names, "secrets"])
+            columns = list(rows.columns)
+            if mark is not None:
+                texts = [t if t is None or not s else redacted(t, [x[:2] for x in s], mark) for t, s in zip(column.to_pylist(), spans, strict=True)]
+                columns[rows.schema.get_field_index(text_col)] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(listed, kind)], [*names, "secrets"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
     return map_arrow(docs, work, f"{schema}, secrets array<struct<kind:string,start:long,end:long>>")
