@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,9 +24,13 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         step = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         step = materialize(step, "step")
+        discard(roots)
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
         new = materialize(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")), "roots")
         changed = new.where("root <> was").limit(1).count()
-        roots = new.select("id", "root")
+        discard(step)
         if not changed:
+            roots = materialize(new.select("id", "root"), "roots")
+            discard(new, both)
             return roots
+        roots = new

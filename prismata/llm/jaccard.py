@@ -1,49 +1,53 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 Documents are sets of word shingles, held as sorted 64-bit hashes. Equal sets
-form a class with one representative, the smallest id.
-
-*Index lists by position.* Two sets that link differ in at most H shingles,
-where H follows from the threshold and the size. The hash range is cut into
-H + 1 positions or some more; the part of the set at one of them at least is
-then the same in both. A list of the index holds the sets with one content at one position
-and one block of sizes, so that a set skips, block by block, all sets that
-differ from it there. Whole parts of about nine shingles serve as entries
-instead of single shingles, so a frequent passage makes no long lists between
-texts that are otherwise different.
-
-*Answers from answers.* Within a list the sets are close to each other. The one
-in most and longest lists is its head; the others are first compared with
-heads only. What links to the same head is in one component, and pairs within
-a component need no comparison: they are skipped. Pairs of a list that are in
-different components after that are compared in two rounds, first the closest
-for each component, then all that are left. A pair is passed over without
-reading the sets if the parity bitmaps of the sets alone prove it to differ in
-more than H shingles.
+form a class, named by a digest of the set; only classes are joined.
+
+*Index lists by position.* All shingles have one order, rarest first by a sketch
+of their frequencies over all documents, so that passages which many documents
+share come last. Sets that link have a shingle in common among the first few of
+both (their prefixes). A list of the index holds the sets with one shingle in
+their prefix, each with the shingle's position and its size. If a shingle is the
+first that two sets share, all shingles before it are differences: sets whose
+positions add up to more differences than a link allows need not be looked at.
+Lists are cut in blocks by position, and a block skips all blocks beyond the
+positions and sizes that it can link with. Block pairs are also what long lists
+are dealt out by.
+
+*Answers from answers.* Of each list, the set with the most companions in all
+its lists is the head, and the others are first compared with heads only. This
+leaves a computed answer for every set: its difference from a very similar one.
+Further answers are derived from these. Sets that link with the same head are
+in one component, and blocks within a component are skipped. Two sets whose
+differences from one head are ``d`` and ``e`` differ in ``|d - e|`` to ``d + e``
+shingles, which decides most pairs without the sets; parity bitmaps decide more.
+What is left is compared in two rounds: first the closest pair for each set and
+component, then, unless the components have met, all others.
 
 All comparisons are exact, on the shingles of the whole texts.
 """
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .arrowtext import blank, blocks, distinct, map_arrow
+from .arrowtext import blank, blocks, distinct, give_back, map_arrow
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize
 
 SHINGLE = 3
 #: Links have ``DEN * intersection >= NUM * union``.
 NUM, DEN = 90, 100
-#: One part more for so many, and cuts of a set at most, so that few sets need their empty parts as keys.
-SPARE, LEVELS = 16, 8
+#: Counters of the frequency sketch, whatever the table, and of one of its rows.
+SKETCH_BITS, CHUNK_BITS = 20, 16
+#: Steps of frequency per factor of two, up to 255 in all.
+LEVELS = 8
+#: Rows of a block, about, and of a part of a list that is put together in one task.
+BLOCK, PART = 512, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,63 +110,29 @@ def most_different(total: int, num: int = NUM, den: int = DEN) -> int:
     return total * (den - num) // (den + num)
 
 
-class Sizes:
-    """Blocks of sizes: a set's partners are in its block or the one below or above."""
-
-    def __init__(self, num: int = NUM, den: int = DEN):
-        self.num, self.den = num, den
-        self.begins, self.cut = [1], []
-
-    def block(self, n: int) -> int:
-        while self.begins[-1] <= n:
-            self._grow()
-        return bisect.bisect_right(self.begins, n) - 1
+def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
+    """How many of the first shingles of a set one of those is among that it shares with any set it links with.
 
-    def _grow(self) -> None:
-        b = self.begins[-1]
-        self.begins.append(max(b + 1, b * self.den // self.num))
+    0 for a set that links with equal sets only.
+    """
+    if not most_different(n + n * den // num, num, den):
+        return 0
+    return n - -(-n * num // den) + 1
 
-    def cuts(self, block: int) -> np.ndarray:
-        """Where the hash range is cut, for pairs whose larger set is in the block."""
-        while len(self.cut) <= block:
-            while len(self.begins) <= len(self.cut) + 1:
-                self._grow()
-            m = most_different(2 * (self.begins[len(self.cut) + 1] - 1), self.num, self.den) + 1
-            m += m // SPARE
-            self.cut.append(np.array([(j << 64) // m for j in range(1, m)], np.uint64))
-        return self.cut[block]
 
+class Order:
+    """The order of shingles: by level of frequency, then by hash."""
 
-def list_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """The keys of the lists a set is in: its parts, for its own block of sizes and the next.
+    def __init__(self, counts: np.ndarray):
+        self.levels = np.minimum(255, np.round(LEVELS * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
+        # a counter is shared by other shingles: only what goes far beyond the mean is a frequency
+        expected = np.exp2(np.arange(256) / LEVELS) - 8 * counts.mean() if len(counts) else np.zeros(256)
+        self.parts = np.maximum(1, np.ceil(expected / PART)).astype(np.uint64)
 
-    Empty parts are no keys, or sets that have nothing in common would share long
-    lists. Of m parts a linked pair has m - H equal ones at least; if these are
-    all empty, both sets have so many empty parts, and such sets are cut again
-    by another hash. The last cut keeps the empty parts as well.
-    """
-    block = sizes.block(len(s))
-    keys = []
-    with np.errstate(over="ignore"):
-        for c in (block, block + 1):
-            cuts = sizes.cuts(c)
-            m = len(cuts) + 1
-            if m == 1:
-                continue  # only equal sets link, and those are one class
-            partner = min(len(s) * sizes.den // sizes.num, sizes.begins[c + 1] - 1)
-            enough = m - most_different(len(s) + partner, sizes.num, sizes.den)
-            for level in range(LEVELS):
-                own = np.sort(mixed(s ^ mixed(_ODD[1] + np.uint64(level)))) if level else s
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own + _ODD[2]), dtype=np.uint64)])
-                at = np.concatenate([[0], np.searchsorted(own, cuts), [len(own)]])
-                parts = total[at[1:]] - total[at[:-1]]
-                place = mixed(np.arange(m, dtype=np.uint64) + np.uint64((level << 56) + (c << 32)))
-                empty = at[1:] == at[:-1]
-                last = level == LEVELS - 1 or int(empty.sum()) < enough
-                keys.append(mixed(parts * _ODD[0] + place)[~empty | (level == LEVELS - 1)])
-                if last:
-                    break
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """A number for each shingle that sorts as the order does; its top byte is the level."""
+        level = self.levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+        return level << np.uint64(56) | mixed(s) >> np.uint64(8)
 
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
@@ -178,155 +148,275 @@ def parity_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8), bitorder="little")
 
 
-def _sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def set_name(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n, id`` of each row: its set's size and name; and, with ``chunk``, parts of the frequency sketch."""
     def work(batches):
-        sizes = Sizes(num, den)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for rows, data, offsets in blocks(batches):
             found = shingle_sets(data, offsets, width)
+            flat = np.concatenate(found)
+            counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            n = len(found)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")), pa.array(map(len, found), pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
-                 pa.array([list_keys(s, sizes).tobytes() if len(s) else None for s in found], pa.binary()),
-                 pa.array([parity_bits(s).tobytes() if len(s) else None for s in found], pa.binary())],
-                ["doc_id", "n", "class", "keys", "bits"],
+                 pa.array([set_name(s) if len(s) else None for s in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
             )
+        for k, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names
+                )
 
-    return map_arrow(docs, work, "doc_id long, n long, class binary, keys binary, bits binary")
+    names = ["doc_id", "n", "id", "chunk", "counts"]
+    return map_arrow(docs, work, "doc_id long, n long, id long, chunk int, counts binary")
 
 
-def _lists(reps: DataFrame) -> DataFrame:
-    """``(key, id)`` of the lists with two members or more."""
-    def unfold(batches):
+def _order(sets: DataFrame) -> Order:
+    """The order by the counts of all documents; ``2**SKETCH_BITS`` counters reach the driver."""
+    def work(batches):
+        held: dict[int, np.ndarray] = {}
         for rows in batches:
-            keys = rows.column(1)
-            n = np.diff(np.frombuffer(keys.cast(pa.large_binary()).buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]) // 8
-            flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
-            ids = np.repeat(rows.column(0).to_numpy(), n)
-            for a in range(0, len(flat), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + 500_000]), pa.array(ids[a : a + 500_000])], ["key", "id"])
+            for k, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["chunk", "counts"])
+
+    parts = sets.where("chunk is not null").select("chunk", "counts").repartition("chunk")
+    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
+    for r in map_arrow(parts, work, "chunk int, counts binary").toLocalIterator():
+        at = r["chunk"] << CHUNK_BITS
+        counts[at : at + (1 << CHUNK_BITS)] += np.frombuffer(r["counts"], np.uint64)
+    return Order(counts)
+
+
+def _lists(docs: DataFrame, order: Order, width: int, num: int, den: int) -> DataFrame:
+    """``key, id, n, pos`` of the lists with two sets or more.
+
+    A list that the sketch says may be long is put together in parts, by the
+    names of its sets; a part is kept even if it has one set.
+    """
+    def entries(batches):
+        for rows, data, offsets in blocks(batches):
+            done: set[int] = set()
+            keys, names, n, pos = [], [], [], []
+            for s in shingle_sets(data, offsets, width):
+                k = prefix_length(len(s), num, den) if len(s) else 0
+                name = set_name(s) if k else 0
+                if not k or name in done:
+                    continue
+                done.add(name)
+                own = order.keys(s)
+                own = np.sort(np.partition(own, k - 1)[:k] if k < len(own) else own)
+                keys.append(own)
+                names.append(np.full(k, name))
+                n.append(np.full(k, len(s), np.int32))
+                pos.append(np.arange(k, dtype=np.int32))
+            if not keys:
+                continue
+            key, name = np.concatenate(keys), np.concatenate(names)
+            parts = order.parts[(key >> np.uint64(56)).astype(np.int64)]
+            part = (mixed(name.view(np.uint64)) % parts).astype(np.int32)
+            part[parts == 1] = -1  # a whole list
+            for a in range(0, len(key), 500_000):
+                own = slice(a, a + 500_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[own].view(np.int64)), pa.array(part[own]), pa.array(name[own]), pa.array(np.concatenate(n)[own]), pa.array(np.concatenate(pos)[own])],
+                    ["key", "part", "id", "n", "pos"],
+                )
 
     def shared(batches):
-        waiting: tuple[int, int] | None = None  # a first row of a list that may go on
-        going: int | None = None  # the key of a list whose rows are already given
+        before = None  # the last row, if it may begin a list
+        going = last = None  # the list whose rows are given, and the last row's key and id
         for rows in batches:
-            key, ids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            key, part, name, n, pos = (rows.column(c).to_numpy() for c in range(5))
             if not len(key):
                 continue
-            if waiting:
-                key, ids = np.insert(key, 0, waiting[0]), np.insert(ids, 0, waiting[1])
-                waiting = None
+            fresh = np.insert((key[1:] != key[:-1]) | (name[1:] != name[:-1]), 0, last != (key[0], name[0]))
+            last = key[-1], name[-1]
+            held = [x[fresh] for x in (key, part, name, n, pos)]
+            if before is not None:
+                held = [np.insert(x, 0, y) for x, y in zip(held, before, strict=True)]
+                before = None
+            if not len(held[0]):
+                continue
+            key, part = held[:2]
             same = key[1:] == key[:-1]
-            kept = np.append(same, False) | np.insert(same, 0, False) | (key == going if going is not None else np.zeros(len(key), bool))
+            kept = np.append(same, False) | np.insert(same, 0, False) | (part >= 0)
+            if going is not None:
+                kept |= key == going
             if not kept[-1]:
-                waiting = int(key[-1]), int(ids[-1])
-            going = int(key[-1]) if kept[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(ids[kept])], ["key", "id"])
+                before = [x[-1] for x in held]
+            going = key[-1] if kept[-1] else None
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (held[0], *held[2:])], ["key", "id", "n", "pos"])
 
-    entries = map_arrow(reps.select("id", "keys"), unfold, "key long, id long")
-    return map_arrow(entries.repartition("key").sortWithinPartitions("key", "id"), shared, "key long, id long")
+    rows = map_arrow(docs, entries, "key long, part int, id long, n int, pos int")
+    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "id"), shared, "key long, id long, n int, pos int")
 
 
-def _head_pairs(lists: DataFrame) -> DataFrame:
-    """Each list's members with its head, the set with the most companions in all its lists."""
-    k = lists.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    weight = lists.join(k, "key").groupBy("id").agg(F.sum("k").alias("weight"))
-    heads = lists.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
-    pairs = lists.join(heads.select("key", (-F.col("top.minus")).alias("head")), "key").where("id <> head")
-    return pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+def _may_link(a: str, b: str, num: int, den: int) -> str:
+    """Whether sizes and positions allow a link of two rows of a list."""
+    low, high = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)"
+    return f"{low} * {den}L >= {high} * {num}L and ({a}.pos + {b}.pos) * {den + num}L <= ({a}.n + {b}.n) * {den - num}L"
 
 
-def _cross_pairs(lists: DataFrame, roots: DataFrame, reps: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
-    """Pairs of one list in different components that the bitmaps do not rule out.
+def _head_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: each set with the heads of its lists.
 
-    With ``closest``, only the closest partner of a set in each other component.
+    A list has a head for each span of sizes: sets are paired with that of their
+    own and of the next smaller ones.
     """
-    rooted = lists.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = rooted.join(open_, "key").join(reps.select("id", "n", "bits"), "id")
-
-    def pairs(held):
-        ids, roots_, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-        bits = [b for h in held for b in h[3]]
-        least = min(map(len, bits))
-        table = np.empty((len(bits), least), np.uint8)
-        for i, b in enumerate(bits):
-            x = np.frombuffer(b, np.uint8)
-            while len(x) > least:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            table[i] = x
-        table = table.view(np.uint64)
-        a_out, b_out = [], []
-        for i in range(1, len(ids)):
-            lo, hi = np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i])
-            fit = np.flatnonzero((roots_[:i] != roots_[i]) & (lo * den >= hi * num) & (ids[:i] != ids[i]))
-            if not len(fit):
-                continue
-            off = np.bitwise_count(table[fit] ^ table[i]).sum(1, dtype=np.int64)
-            ok = off <= (n[fit] + n[i]) * (den - num) // (den + num)
-            fit, off = fit[ok], off[ok]
-            if closest and len(fit) > 1:
-                order = np.argsort(off, kind="stable")
-                _, one = np.unique(roots_[fit[order]], return_index=True)
-                fit = fit[order[one]]
-            a_out.append(np.minimum(ids[fit], ids[i]))
-            b_out.append(np.maximum(ids[fit], ids[i]))
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
-    def work(batches):
-        key, held = None, []
-        for rows in batches:
-            keys, ids, roots_, n = (rows.column(c).to_numpy() for c in range(4))
-            bits = rows.column(4)
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if keys[a] != key:
-                    if held:
-                        yield from pairs(held)
-                    key, held = keys[a], []
-                held.append((ids[a:b], roots_[a:b], n[a:b], bits.slice(a, b - a).to_pylist()))
-        if held:
-            yield from pairs(held)
-
-    ordered = rows.select("key", "id", "root", "n", "bits").repartition("key").sortWithinPartitions("key", "id")
-    return map_arrow(ordered, work, "a long, b long").distinct()
-
-
-def _listed_sets(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``(id, shingles)`` of every set in a list: only these can be in a pair. An id has one row for each of its texts."""
+    span = f"cast(floor(ln(n) / ln({den / num!r})) as int)"
+    lists = lists.withColumn("span", F.expr(span))
+    k = lists.groupBy("key", "span").agg(F.count(F.lit(1)).alias("k"))
+    weight = lists.join(k, ["key", "span"]).groupBy("id").agg(F.sum("k").alias("weight"))
+    heads = lists.join(weight, "id").groupBy("key", "span").agg(F.max(F.struct("weight", "id", "n", "pos")).alias("top"))
+    heads = heads.select("key", "span", F.col("top.id").alias("id"), F.col("top.n").alias("n"), F.col("top.pos").alias("pos"))
+    near = heads.select("key", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("span"), "id", "n", "pos").alias("h")
+    pairs = lists.alias("x").join(near, ["key", "span"]).where(f"x.id <> h.id and {_may_link('x', 'h', num, den)}")
+    return pairs.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct()
+
+
+def _listed_sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, n, shingles, bits`` of every set in a list: only these can be in a pair."""
     def sets(batches):
         for rows, data, offsets in blocks(batches):
+            want = rows.column(rows.schema.get_field_index("id")).to_numpy()
+            found = [(i, s) for i, s in zip(want.tolist(), shingle_sets(data, offsets, width), strict=True) if len(s) and set_name(s) == i]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("doc_id")),
-                 pa.array([s.tobytes() for s in shingle_sets(data, offsets, width)], pa.binary())], ["id", "shingles"]
+                [pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
+                 pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([parity_bits(s).tobytes() for _, s in found], pa.binary())],
+                ["id", "n", "shingles", "bits"],
             )
 
-    wanted = lists.select(F.col("id").alias("doc_id")).distinct()
-    return map_arrow(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"]).where("text is not null"), sets, "id long, shingles binary")
+    wanted = classes.join(lists.select("id").distinct(), "id").select(F.col("rep").alias("doc_id"), "id")
+    own = docs.where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])  # rows may repeat
+    return map_arrow(own, sets, "id long, n long, shingles binary, bits binary")
 
 
 def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """``(a, b, common, total)`` of each pair, from the shingles of the two texts; of each two texts, if an id has several."""
+    """``a, b, common, total`` of each pair, from the shingles of the two texts."""
     def count(batches):
         for rows in batches:
             found = []
             for x, y in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 found.append((common, len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())],
                 ["a", "b", "common", "total"],
             )
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    held = held.join(ids, "id", "left_semi")  # later rounds have few pairs: other sets need not travel
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
+    x, y = (held.select(F.col("id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    both = pairs.join(x.join(pairs.select("a").distinct(), "a", "left_semi"), "a").join(y.join(pairs.select("b").distinct(), "b", "left_semi"), "b")
     return map_arrow(both.select("a", "b", "x", "y"), count, "a long, b long, common long, total long")
 
 
+def _folded(bits: list[bytes], least: int) -> np.ndarray:
+    """Bitmaps as rows of one size, that of the shortest."""
+    table = np.empty((len(bits), least), np.uint8)
+    for i, b in enumerate(bits):
+        x = np.frombuffer(b, np.uint8)
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        table[i] = x
+    return table.view(np.uint64)
+
+
+def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks of a list that nothing known rules out, by their names.
+
+    Blocks have arrays ``id, root, n, pos, ref, diff`` and a list ``bits``, by
+    position; ``ref`` is a set compared with before, and ``diff`` the difference
+    from it. ``same`` tells that both are one block.
+    """
+    least = min(map(len, (*left["bits"], *right["bits"])))
+    ours, theirs = _folded(left["bits"], least), _folded(right["bits"], least)
+    a_out, b_out = [], []
+    for i in range(len(left["id"])):
+        low = np.minimum(right["n"], left["n"][i])
+        total = right["n"] + left["n"][i]
+        most = total * (den - num) // (den + num)
+        fit = (right["root"] != left["root"][i]) & (low * den >= (total - low) * num) & (right["pos"] + left["pos"][i] <= most)
+        fit &= ~((right["ref"] == left["ref"][i]) & (np.abs(right["diff"] - left["diff"][i]) > most))
+        if same:
+            fit[: i + 1] = False
+        fit = np.flatnonzero(fit)
+        if not len(fit):
+            continue
+        off = np.bitwise_count(theirs[fit] ^ ours[i]).sum(1, dtype=np.int64)
+        ok = off <= most[fit]
+        fit, off = fit[ok], off[ok]
+        if closest and len(fit) > 1:
+            order = np.argsort(off, kind="stable")
+            _, one = np.unique(right["root"][fit[order]], return_index=True)
+            fit = fit[order[one]]
+        a_out.append(np.minimum(right["id"][fit], left["id"][i]))
+        b_out.append(np.maximum(right["id"][fit], left["id"][i]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
+
+
+def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, held: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
+    """Pairs of one list in different components that positions, sizes, known answers and bitmaps do not rule out.
+
+    With ``closest``, only the closest partner of a set in each other component.
+    """
+    rooted = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    rows = rooted.join(open_.select("key", "k"), "key")
+    # a block: positions of one power of two, one of 16 groups of roots, and as many groups of sets as the list's size asks for
+    place = F.floor(F.log2(F.col("pos") + 1)) * 16 + F.pmod(F.xxhash64("root"), F.lit(16))
+    parts = F.ceil(F.col("k") / BLOCK)
+    rows = rows.withColumn("block", (place * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts)).cast("long")).drop("k")
+    edge = rows.groupBy("key", "block").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    x, y = edge.alias("x"), edge.alias("y")
+    linked = x.join(y, "key").where(
+        f"x.block <= y.block and not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo) and (x.pos + y.pos) * {den + num}L <= (x.n + y.n) * {den - num}L "
+        f"and x.n * {den}L >= y.least * {num}L and y.n * {den}L >= x.least * {num}L"
+    ).select("key", F.col("x.block").alias("left"), F.col("y.block").alias("right"))
+    sides = linked.select("key", "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array("left")).otherwise(F.array("left", "right"))).alias("block"))
+    nearest = answers.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((F.col("total") - F.col("common")).alias("diff"), F.col("b").alias("ref"))).alias("known"))
+    full = rows.join(sides, ["key", "block"]).join(nearest, "id", "left").join(held.select("id", "bits"), "id")
+    full = full.select("key", "left", "right", "block", "id", "root", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"),
+                       F.coalesce("known.ref", "id").alias("ref"), F.coalesce("known.diff", F.lit(0)).alias("diff"), "bits")
+
+    def work(batches):
+        names = ["id", "root", "n", "pos", "ref", "diff"]
+        group, sides = None, {}
+
+        def pairs():
+            if not sides:
+                return
+            _, left, right = group
+            blocks_ = {k: {c: np.concatenate([h[c] for h in v]) for c in names} | {"bits": [b for h in v for b in h["bits"]]} for k, v in sides.items()}
+            if left in blocks_ and right in blocks_:
+                a, b = linked_candidates(blocks_[left], blocks_[right], left == right, num, den, closest)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            by = np.stack([rows.column(c).to_numpy() for c in range(4)], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((by[1:] != by[:-1]).any(1)) + 1, [len(by)]]).tolist()
+            columns = {c: rows.column(4 + k).to_numpy() for k, c in enumerate(names)}
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = tuple(by[a, :3].tolist())
+                if own != group:
+                    yield from pairs()
+                    group, sides = own, {}
+                part = {c: v[a:b] for c, v in columns.items()} | {"bits": rows.column(10).slice(a, b - a).to_pylist()}
+                sides.setdefault(int(by[a, 3]), []).append(part)
+        yield from pairs()
+
+    ordered = full.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "block")
+    return map_arrow(ordered, work, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN,
                        id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Components of the documents by links of Jaccard similarity ``num / den`` or more, and compared pairs.
@@ -334,52 +424,60 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     The first table has ``doc_id, n_shingles, class_id, component_id`` for each row:
     ``class_id`` is the smallest id with the same set, ``component_id`` the
     smallest id reachable by links. The second has ``a, b, common, total`` for the
-    compared pairs of representatives that link; it connects each component but
-    leaves out pairs that are already connected, so it is a spanning part of all
-    links and gives no number of links of a document.
+    compared pairs of sets that link, by the smallest ids that have them; it
+    connects each component but leaves out pairs that are already connected, so
+    it is a spanning part of all links and gives no number of links of a document.
 
     Ids are whole numbers; rows with one id are one document, linked by what any
-    of them links to. Null or empty texts have no shingles and link with nothing.
-    Rows with a null id have a null class and component.
+    of them links to, whatever the order of the rows. Null or empty texts have
+    no shingles and link with nothing. Texts of any length are read whole. Rows
+    with a null id have a null class and component. Columns other than the two
+    named are ignored. An empty table gives two empty results.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(texts, width, num, den), "jaccard-sets")
-    classes = materialize(sets.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-
-    def representatives(*columns: str) -> DataFrame:
-        """``id`` and ``columns`` of one row for each set of a representative; the join's partitions serve for both steps."""
-        own = sets.where("length(keys) > 0").select("doc_id", "class", *columns)
-        found = own.join(classes.select("class", F.col("rep").alias("doc_id")), ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
-        return found.select(F.col("doc_id").alias("id"), *columns)
-
-    lists = materialize(_lists(representatives("keys")), "jaccard-lists")
-    reps = materialize(representatives("n", "bits"), "jaccard-representatives")
+    found = materialize(_sets(texts, width), "jaccard-sets")
+    sets = found.where("chunk is null").select("doc_id", "n", "id")
+    named = sets.where("n > 0 and doc_id is not null")
+    classes = materialize(named.groupBy("id").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    order = _order(found)
+    lists = materialize(_lists(texts, order, width, num, den), "jaccard-lists")
+    give_back()
+
+    held = materialize(_listed_sets(lists, classes, texts, width), "jaccard-listed-sets")
+    # an id with texts of several classes joins these
+    first = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").select("doc_id", "a")
+    shared = materialize(named.join(first, "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct(), "jaccard-shared-ids")
 
-    pairs = materialize(_head_pairs(lists), "jaccard-pairs")
-    held = materialize(_listed_sets(lists, texts, width), "jaccard-listed-sets")
-    compared = materialize(_compare(pairs, held), "jaccard-compared")
     link = f"common * {den} >= total * {num}"
-    links = compared.where(link)
-    # an id with texts of several classes joins these
-    own = sets.where("n > 0 and doc_id is not null").join(classes, "class").select("doc_id", F.col("rep").alias("b"))
-    own = own.select(F.min("b").over(Window.partitionBy("doc_id")).alias("a"), "b").where("a <> b").distinct()
-    shared = materialize(own, "jaccard-shared-ids")
-    roots = components(links.select("a", "b").unionByName(shared))
-    done = pairs
+    pairs = materialize(_head_pairs(lists, num, den), "jaccard-head-pairs")
+    compared = [materialize(_compare(pairs, held), "jaccard-compared")]
+    roots = components(compared[0].where(link).select("a", "b").unionByName(shared))
     for closest in (True, False):
-        pairs = materialize(
-            _cross_pairs(lists, roots, reps, num, den, closest).join(done, ["a", "b"], "left_anti"), "jaccard-cross"
-        )
+        done = compared[0].select("a", "b")
+        for more in compared[1:]:
+            done = done.unionByName(more.select("a", "b"))
+        done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = materialize(_cross_pairs(lists, roots, compared[0], held, num, den, closest).join(done, ["a", "b"], "left_anti"), "jaccard-cross")
         if pairs.isEmpty():
-            if closest:
-                continue
-            break
-        compared = materialize(_compare(pairs, held), "jaccard-compared")
-        links = links.unionByName(compared.where(link))
-        roots = components(links.select("a", "b").unionByName(shared))
-        done = done.unionByName(pairs)
-
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rep", F.coalesce("root", "rep").alias("root"))
-    out = sets.select("doc_id", "n", "class").join(named, "class", "left")
+            continue
+        compared.append(materialize(_compare(pairs, held), "jaccard-compared"))
+        links = shared
+        for more in compared:
+            links = links.unionByName(more.where(link).select("a", "b"))
+        discard(roots)
+        roots = components(links)
+    discard(lists, held)
+
+    links = compared[0].where(link)
+    for more in compared[1:]:
+        links = links.unionByName(more.where(link))
+    rep = lambda k: classes.select(F.col("id").alias(k), F.col("rep").alias(f"{k}_rep"))
+    links = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "common", "total")
+
+    rooted = classes.join(roots, "id").select("id", "root", "rep")
+    lowest = rooted.groupBy("root").agg(F.min("rep").alias("lowest"))
+    known = rooted.join(lowest, "root").select("id", "lowest")
+    known = classes.join(known, "id", "left").select("id", "rep", F.coalesce("lowest", "rep").alias("lowest"))
+    out = sets.join(known, "id", "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own("rep").alias("class_id"), own("root").alias("component_id")), links
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("rep").alias("class_id"), own("lowest").alias("component_id")), links

@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +34,11 @@ from .storage import materialize
 from .word_bpe import Encoder
 
 CAPACITY = 4096
-#: Steps of the enumeration for one longest piece, and fillings tried in all. A
+#: Steps of the enumeration for one longest piece, and of the whole search. A
 #: search that reaches neither is complete; one that does keeps its incumbent,
 #: and ``Packing.bound`` tells how far that can be from the least number.
-FILL_NODES = 4000
-BRANCH_NODES = 4000
+FILL_NODES = 500
+SEARCH_NODES = 300_000
 #: Ranks of one length that are joined with the patterns in one group.
 RANK_BLOCK = 1 << 16
 
@@ -107,49 +108,54 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(bound, int((large + middle + over).max(initial=0)))
 
 
-def dominated(filling: dict[int, int], waste: int, free: list[int]) -> bool:
-    """Whether a length left over, of ``free`` (ascending), could stand for one piece or two of the filling, and fill it better.
+def dominated(filling: dict[int, int], waste: int, counts: dict[int, int], ascending: list[int]) -> bool:
+    """Whether a length left over could stand for one piece or two of the filling, or beside them, and fill it better.
 
-    The pieces put out fit wherever that length would have gone, so some best
-    packing has the other filling.
+    ``ascending`` are the lengths of ``counts``. The pieces put out fit wherever
+    that length would have gone, so some best packing has the other filling.
     """
+    def left_over(low: int, high: int) -> bool:
+        at = bisect_left(ascending, low)
+        while at < len(ascending) and ascending[at] <= high:
+            if counts[ascending[at]] > filling.get(ascending[at], 0):
+                return True
+            at += 1
+        return False
+
     lengths = list(filling)
     for i, a in enumerate(lengths):
-        at = bisect_left(free, a + 1)
-        if at < len(free) and free[at] <= a + waste:
+        if waste and left_over(a + 1, a + waste):
             return True
         for b in lengths[i:]:
-            if a == b and filling[a] < 2:
-                continue
-            at = bisect_left(free, a + b)
-            if at < len(free) and free[at] <= a + b + waste:
+            if (a != b or filling[a] > 1) and left_over(a + b, a + b + waste):
                 return True
-    return bool(free) and free[0] <= waste
+    return left_over(1, waste)
 
 
-def fillings(room: int, counts: dict[int, int], most_waste: int, nodes: int = FILL_NODES) -> tuple[list[dict[int, int]], bool]:
-    """Undominated ways to fill ``room`` with at most ``most_waste`` left, fullest first, and whether these are all.
+def fillings(room: int, counts: dict[int, int], most_waste: int, nodes: int = FILL_NODES) -> tuple[list[dict[int, int]], int, bool]:
+    """Undominated ways to fill ``room`` with at most ``most_waste`` left, fullest first; the steps taken; whether these are all.
 
     A depth-first enumeration over pairs of a length and its times, longest and
     most first, with its own stack. It takes ``nodes`` steps at most.
     """
-    lengths = sorted((k for k in counts if k <= room), reverse=True)
-    ascending = [-k for k in lengths]  # for bisection: lengths from the first that fits on
-    rest = np.append(np.cumsum([k * counts[k] for k in lengths][::-1])[::-1], 0).tolist() if lengths else [0]
+    ascending = sorted(k for k, v in counts.items() if v and k <= room)
+    lengths = ascending[::-1]
+    negative = [-k for k in lengths]  # for bisection: lengths from the first that fits on
+    rest = [0, *accumulate(k * counts[k] for k in ascending)][::-1]  # of all lengths from the i-th on
     found: list[tuple[int, int, dict[int, int]]] = []
 
     def steps(at: int, left: int) -> Iterator[tuple[int, int]]:
-        for i in range(max(at, bisect_left(ascending, -left)), len(lengths)):
+        for i in range(max(at, bisect_left(negative, -left)), len(lengths)):
             if rest[i] < left - most_waste:  # what is shorter cannot fill enough
                 return
             for times in range(min(counts[lengths[i]], left // lengths[i]), 0, -1):
                 yield i, times
 
     chosen: list[tuple[int, int]] = []
-    stack, rooms = [steps(0, room)], [room]
-    if room <= most_waste and not (lengths and lengths[-1] <= room):
+    stack, rooms, taken = [steps(0, room)], [room], 0
+    if room <= most_waste and not lengths:
         found.append((room, 0, {}))
-    while stack:
+    while stack and taken <= nodes:
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
@@ -157,66 +163,79 @@ def fillings(room: int, counts: dict[int, int], most_waste: int, nodes: int = FI
             if chosen:
                 chosen.pop()
             continue
-        nodes -= 1
-        if nodes < 0:
-            break
+        taken += 1
         i, times = step
         left = rooms[-1] - times * lengths[i]
-        filling = {lengths[j]: t for j, t in (*chosen, step)}
         if left <= most_waste:
-            free = sorted(k for k in lengths if counts[k] > filling.get(k, 0)) if len(lengths) else []
-            if not dominated(filling, left, free):
+            filling = {lengths[j]: t for j, t in (*chosen, step)}
+            if not dominated(filling, left, counts, ascending):
                 found.append((left, sum(filling.values()), filling))
         chosen.append(step)
         stack.append(steps(i + 1, left))
         rooms.append(left)
     found.sort(key=lambda x: x[:2])
-    return [f for _, _, f in found], nodes >= 0
+    return [f for _, _, f in found], taken, not stack
 
 
 def search(counts: dict[int, int], capacity: int, allowed: int, budget: int, fill_nodes: int) -> tuple[list[Pattern] | None, int, bool]:
     """A packing that wastes at most ``allowed``, the budget left, and whether the search was complete.
 
-    Depth first with an explicit stack. Where many equal longest pieces are
-    left, a filling is first used as often as it can be, then once.
+    Depth first with an explicit stack; what is left is one table that each
+    step changes and its end restores. Where many equal longest pieces are left,
+    a filling is first used as often as it can be, then once.
     """
-    stack: list[list] = [[dict(counts), None, 0, None]]  # what is left, the pattern that led here, waste so far, options
+    left, total, waste = dict(counts), sum(k * v for k, v in counts.items()), 0
+    made: list[tuple[dict[int, int], int, int]] = []
+    stack: list[list[tuple[dict[int, int], int, int]]] = []
     whole = True
-    while stack and budget > 0:
-        left, _, waste, options = stack[-1]
-        if options is None:
-            if not left:
-                return [made for _, made, _, _ in stack[1:]], budget, whole
-            longest = max(left)
-            rest = {k: v - (k == longest) for k, v in left.items() if v > (k == longest)}
-            ways, all_ = fillings(capacity - longest, rest, allowed - waste, fill_nodes)
+
+    def put(step: tuple[dict[int, int], int, int], sign: int) -> None:
+        nonlocal total, waste
+        times, n, lost = step
+        for k, t in times.items():
+            left[k] -= sign * n * t
+        total -= sign * n * (capacity - lost)
+        waste += sign * n * lost
+
+    def options() -> list[tuple[dict[int, int], int, int]]:
+        nonlocal budget, whole
+        longest = max(k for k, v in left.items() if v)
+        left[longest] -= 1
+        if total <= capacity:  # the last bin: all that is left, whatever its waste
+            ways = [{k: v for k, v in left.items() if v}]
+        else:
+            ways, taken, all_ = fillings(capacity - longest, left, allowed - waste, min(fill_nodes, budget))
+            budget -= taken
             whole &= all_
-            if capacity - sum(k * v for k, v in left.items()) >= 0:  # the last bin: all that is left
-                ways = [rest]
-            options = []
-            for way in ways:
-                times = Counter(way)
-                times[longest] += 1
-                n = min(left[k] // t for k, t in times.items())
-                lost = capacity - sum(k * t for k, t in times.items())
-                if lost and not (n == 1 and len(ways) == 1 and ways[0] is rest):
-                    n = min(n, (allowed - waste) // lost)
-                options += [(times, m, lost) for m in dict.fromkeys((n, 1)) if m >= 1]
-            options.reverse()
-            stack[-1][3] = options
-        if not options:
+        left[longest] += 1
+        out = []
+        for way in ways:
+            times = {**way, longest: way.get(longest, 0) + 1}
+            n = min(left[k] // t for k, t in times.items())
+            lost = capacity - sum(k * t for k, t in times.items())
+            if lost and total > capacity:
+                n = min(n, (allowed - waste) // lost)
+            out += [(times, m, lost) for m in dict.fromkeys((n, 1)) if m >= 1]
+        return out[::-1]
+
+    stack.append(options() if total else [])
+    while stack and budget > 0:
+        if not stack[-1]:
             stack.pop()
+            if made:
+                put(made.pop(), -1)
             continue
-        times, n, lost = options.pop()
+        step = stack[-1].pop()
         budget -= 1
-        rest = {k: v - n * times.get(k, 0) for k, v in left.items() if v > n * times.get(k, 0)}
-        if waste + lost * n > allowed and rest:
-            continue
-        stack.append([rest, (tuple(sorted(times.items(), reverse=True)), n), waste + lost * n, None])
+        put(step, 1)
+        made.append(step)
+        if not total:
+            return [(tuple(sorted(times.items(), reverse=True)), n) for times, n, _ in made], budget, whole
+        stack.append(options() if waste <= allowed else [])
     return None, budget, whole and budget > 0
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, branch_nodes: int = BRANCH_NODES, fill_nodes: int = FILL_NODES) -> Packing:
+def solve(counts: dict[int, int], capacity: int = CAPACITY, search_nodes: int = SEARCH_NODES, fill_nodes: int = FILL_NODES) -> Packing:
     """Patterns that use each length as often as it occurs, with as few sequences as the search finds."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if any(k < 1 or k > capacity for k in counts):
@@ -227,7 +246,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, branch_nodes: int =
     n_best = sum(n for _, n in best)
     complete = True
     while n_best > bound:
-        found, branch_nodes, complete = search(counts, capacity, (n_best - 1) * capacity - total, branch_nodes, fill_nodes)
+        found, search_nodes, complete = search(counts, capacity, (n_best - 1) * capacity - total, search_nodes, fill_nodes)
         if found is None:
             break
         best, n_best = found, sum(n for _, n in found)

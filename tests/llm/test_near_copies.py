@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from prismata.llm import jaccard
 
@@ -42,9 +43,9 @@ def test_pipeline_drops_copies_with_text_appended(spark, sf):
     assert kept == brute_kept(rows, 5, 80, 100) and len(kept) < len(brute_kept(rows, 3, 90, 100))
 
 
-def test_linked_sets_share_a_key_and_empty_parts_are_rare_keys():
+def test_linked_sets_share_a_prefix_key_at_positions_that_allow_a_link():
     r = np.random.default_rng(5)
-    sizes = jaccard.Sizes(80, 100)
+    order = jaccard.Order(r.integers(0, 1000, 1 << jaccard.SKETCH_BITS))
     number = lambda n: r.integers(0, 2**64, n, np.uint64)
     for n in [*range(4, 40), 60, 100, 250] * 40:
         low = int(r.integers(-(-n * 8 // 10), n + 1))
@@ -54,9 +55,63 @@ def test_linked_sets_share_a_key_and_empty_parts_are_rare_keys():
         x, y = (np.unique(np.concatenate([common, number(k)])) for k in (a, most - a))
         if len(x) + len(y) - low == low:
             continue
-        assert np.intersect1d(jaccard.list_keys(x, sizes), jaccard.list_keys(y, sizes)).size
-    keys = np.concatenate([jaccard.list_keys(np.unique(number(60)), sizes) for _ in range(1000)])
-    assert np.unique(keys, return_counts=True)[1].max() < 5
+        heads = [np.sort(order.keys(s))[: jaccard.prefix_length(len(s), 80, 100)] for s in (x, y)]
+        both, i, j = np.intersect1d(*heads, return_indices=True)
+        assert both.size and (i + j).min() <= jaccard.most_different(len(x) + len(y), 80, 100)
+
+
+def brute_roots(rows, width, num, den):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) or frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if num * len(sets[b]) > den * len(sets[a]):
+                break
+            x, y = find(a), find(b)
+            if x != y:
+                both = len(sets[a] & sets[b])
+                if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                    root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("settings", [(3, 90, 100), (5, 80, 100)])
+def test_whole_table_against_brute_force(spark, settings, monkeypatch):
+    """Also with blocks and parts of lists so small that every list has many."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_roots([(r["doc_id"], r["text"]) for r in docs.collect()], *settings)
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(jaccard, "BLOCK", 2)
+            monkeypatch.setattr(jaccard, "PART", 1)
+        got, _ = jaccard.jaccard_components(docs, *settings)
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == want
+
+
+def test_chains_whose_ends_do_not_link(spark):
+    """Texts that change word by word: heads and known differences must not hide the links between neighbours."""
+    r = random.Random(11)
+    rows = []
+    for chain in range(3):
+        words = [f"c{chain}w{k}" for k in range(120)]
+        for step in range(40):
+            rows.append((1000 * chain + step, " ".join(words)))
+            for _ in range(r.choice([1, 2, 3])):
+                words[r.randrange(len(words))] = f"x{r.randrange(10**9)}"
+    r.shuffle(rows)
+    got, links = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == brute_roots(rows, 3, 90, 100)
+    assert links.where("100 * common < 90 * total").count() == 0
 
 
 def test_an_id_with_two_texts_links_by_both(spark):
