@@ -8,60 +8,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dealt import dealt, fresh, running
 
-def _upto(group: str | list[str], order: list[str]):
-    return Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def _listed(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else group
 
-def running_mean(rows: DataFrame, value: str, group: str, order: list[str], scale: int = 2) -> DataFrame:
+
+def _added(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def running_mean(rows: DataFrame, value: str, group: str | list[str], order: list[str], scale: int = 2) -> DataFrame:
     """Sums exactly, as decimals, and divides once."""
-    w = _upto(group, order)
-    total = F.sum(F.col(value).cast(f"decimal(18,{scale})")).over(w).cast("double")
-    return rows.withColumn("running_mean", total / F.count(value).over(w))
+    total, n = fresh(rows, "total", "n")
+    held = F.col(value).cast(f"decimal(18,{scale})")
+    found = running(rows, _listed(group), order, {total: (held, F.sum, _added), n: (F.col(value).isNotNull().cast("long"), F.sum, _added)})
+    mean = F.when(F.col(n) > 0, F.col(total).cast("double") / F.col(n))
+    return found.withColumn("running_mean", mean).drop(total, n)
 
 
-def best_so_far(rows: DataFrame, loss: str, group: str, order: list[str], initial: float = 1e9) -> DataFrame:
+def best_so_far(rows: DataFrame, loss: str, group: str | list[str], order: list[str], initial: float = 1e9) -> DataFrame:
     """Whether a row is strictly below all before it, and below ``initial``."""
-    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("is_best", F.col(loss) < F.coalesce(F.min(loss).over(before), F.lit(initial)))
+    (low,) = fresh(rows, "low")
+    found = running(rows, _listed(group), order, {low: (F.col(loss), F.min, F.least)}, before=True)
+    return found.withColumn("is_best", F.col(loss) < F.coalesce(low, F.lit(initial))).drop(low)
 
 
-def cumulative_usage(rows: DataFrame, code: str, group: str, order: list[str], size: int) -> DataFrame:
-    """Share of ``size`` codes seen up to each row, from the first row of each code."""
-    first = Window.partitionBy(group, code).orderBy(*order)
-    fresh = rows.withColumn("_new", (F.row_number().over(first) == 1).cast("int"))
-    used = F.sum("_new").over(_upto(group, order))
-    return fresh.withColumn("used", used).withColumn("usage", used / F.lit(float(size))).drop("_new")
+def cumulative_usage(rows: DataFrame, code: str, group: str | list[str], order: list[str], size: int) -> DataFrame:
+    """Share of ``size`` codes seen up to each row, from the first row of each code; ``order`` tells all rows of a group apart."""
+    group = _listed(group)
+    (new,) = fresh(rows, "new")
+    first = rows.groupBy(*group, code).agg(F.min(F.struct(*order)).alias(new)).select(*group, code, *[F.col(f"{new}.{c}").alias(c) for c in order], F.lit(1).alias(new))
+    flagged = rows.join(first, [*group, code, *order], "left").withColumn(new, F.coalesce(new, F.lit(0)))
+    found = running(flagged, group, order, {"used": (F.col(new), F.sum, _added)})
+    return found.withColumn("usage", F.col("used") / F.lit(float(size))).select(*rows.columns, "used", "usage")
 
 
-def moving_average(rows: DataFrame, value: str, group: str, order: list[str], decay: float = 0.9999, tau: float = 2000.0) -> DataFrame:
+def moving_average(rows: DataFrame, value: str, group: str | list[str], order: list[str], decay: float = 0.9999, tau: float = 2000.0) -> DataFrame:
     """The moving average of each group with a decay that ramps up, started at its first value.
 
-    The recurrence is a fold over the group's ordered history, which is held in
-    one row: groups are the histories of single parameters.
+    Each step maps the average to ``a * average + b``. The steps of one range of
+    a group are put together to one such map, and those of all its ranges are
+    applied in turn, so that no row holds a group's whole history.
     """
-    history = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
-    start = F.struct(F.lit(0).alias("k"), F.get("_h", 0)["_v"].alias("ema"))
+    group = _listed(group)
+    part, nth, k, base, h = fresh(rows, "part", "nth", "k", "base", "h")
+    d = dealt(rows.select(*group, *order, F.col(value).cast("double").alias(value)), [*group, *order], part, nth)
+    counts = d.groupBy(*group, part).agg(F.count(F.lit(1)).alias(k), F.min(nth).alias(base))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, part, (F.coalesce(F.sum(k).over(earlier), F.lit(0)) - F.col(base) + 1).alias(base))
+    steps = d.join(counts, [*group, part]).withColumn(k, F.col(base) + F.col(nth))
 
     def step(acc: Column, x: Column) -> Column:
-        k = acc["k"] + 1
-        d = decay * (1 - F.exp(-k / F.lit(tau)))
-        return F.struct(k.alias("k"), (acc["ema"] * d + (1 - d) * x["_v"]).alias("ema"))
+        e = decay * (1 - F.exp(-x["k"] / F.lit(tau)))
+        return F.struct((acc["a"] * e).alias("a"), (acc["b"] * e + (1 - e) * x["v"]).alias("b"))
 
-    held = rows.groupBy(group).agg(history.alias("_h"))
-    return held.select(group, F.size("_h").alias("updates"), F.aggregate("_h", start, step)["ema"].alias("ema"))
+    history = F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(value).alias("v"))))
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    maps = steps.groupBy(*group, part).agg(history.alias(h)).select(
+        *group, part, F.get(h, 0)["v"].alias("v"), F.size(h).cast("int").alias("n"), F.aggregate(h, one, step).alias("map")
+    )
+    held = maps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(part, "v", "n", "map"))).alias(h))
+    ema = F.aggregate(h, F.get(h, 0)["v"], lambda acc, x: acc * x["map"]["a"] + x["map"]["b"])
+    return held.select(*group, F.aggregate(h, F.lit(0), lambda acc, x: acc + x["n"]).alias("updates"), ema.alias("ema"))
 
 
-def accumulation(rows: DataFrame, group: str, order: list[str], every: int) -> DataFrame:
+def accumulation(rows: DataFrame, group: str | list[str], order: list[str], every: int) -> DataFrame:
     """Position, step of the optimiser, and whether a row completes a step."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("iter", n).withColumn("step", F.ceil(n / F.lit(every)).cast("long")).withColumn("acts", n % every == 0)
+    found = running(rows, _listed(group), order, {"iter": (F.lit(1), F.sum, _added)})
+    n = F.col("iter").cast("int")
+    return found.withColumn("iter", n).withColumn("step", F.ceil(n / F.lit(every)).cast("long")).withColumn("acts", n % every == 0)
 
 
 def fractional_epoch(rows: DataFrame, epoch: str, order: list[str]) -> DataFrame:
-    w = Window.partitionBy(epoch)
-    n = F.row_number().over(w.orderBy(*order))
-    return rows.withColumn("progress", n / F.count(F.lit(1)).over(w) + F.col(epoch) - 1)
+    """The epochs done at each row, with its place in its own as a fraction."""
+    n, total = fresh(rows, "n", "total")
+    found = running(rows, [epoch], order, {n: (F.lit(1), F.sum, _added)})
+    counts = rows.groupBy(epoch).agg(F.count(F.lit(1)).alias(total))
+    return found.join(counts, epoch).withColumn("progress", F.col(n) / F.col(total) + F.col(epoch) - 1).select(*rows.columns, "progress")
 
 
 def class_index(rows: DataFrame, name: str) -> DataFrame:

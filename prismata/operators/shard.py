@@ -6,39 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dealt import dealt, fresh
 
-def numbered(rows: DataFrame, order: list[str], name: str = "rn", buckets: int = 64) -> DataFrame:
+
+def _numbered(rows: DataFrame, order: list[str], name: str, ranges: int | None) -> tuple[DataFrame, int]:
+    part, nth, base = fresh(rows, "part", "nth", "base")
+    d = dealt(rows, order, part, nth, ranges)
+    counts = d.groupBy(part).agg(F.count(F.lit(1)).alias(base))
+    total = counts.agg(F.sum(base)).first()[0] or 0
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(part, F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))  # a row for each range
+    return d.join(bases, part).withColumn(name, F.col(base) + F.col(nth)).select(*rows.columns, name), total
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "rn", ranges: int | None = None) -> DataFrame:
     """Row numbers from 0 over the whole table without a single-partition window.
 
-    Rows are dealt by range, numbered within each range, and each range starts
+    Rows are dealt by range and counted within each range, and each range starts
     where the ones before it end; only the counts of ranges meet in one place.
+    The dealt rows are kept, so that counts and numbers are those of the same
+    ranges. Rows equal in the order are numbered in any sequence.
     """
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(bases), "_p").withColumn(name, F.col("_b") + F.col("_n") - 1).drop("_p", "_n", "_b")  # buckets rows
+    return _numbered(rows, order, name, ranges)[0]
 
 
-def shards(rows: DataFrame, order: list[str], ranks: int, total: int, seed: int | None = None) -> DataFrame:
+def shards(rows: DataFrame, order: list[str], ranks: int, total: int | None = None, seed: int | None = None) -> DataFrame:
     """``rank, slot`` of each row, round robin, padded from the start so that all ranks have as many.
 
-    With a seed the order is that of a hash of the key and the seed.
+    With a seed the order is that of a hash of the key and the seed. The padding
+    is fewer rows than ranks; a table of fewer rows than ranks is repeated.
     """
     key = [F.xxhash64(*order, F.lit(seed)), *map(F.col, order)] if seed is not None else [F.col(c) for c in order]
-    n = rows.withColumns({f"_k{i}": k for i, k in enumerate(key)})
-    n = numbered(n, [f"_k{i}" for i in range(len(key))]).drop(*[f"_k{i}" for i in range(len(key))])
+    names = fresh(rows, *[f"key{i}" for i in range(len(key))])
+    rn, again = fresh(rows, "rn", "again")
+    n, found = _numbered(rows.withColumns(dict(zip(names, key, strict=True))), names, rn, None)
+    total = found if total is None else total
     missing = -total % ranks
-    wrapped = n.where(F.col("rn") < missing).withColumn("rn", F.col("rn") + total)
-    return n.unionByName(wrapped).withColumns({"rank": F.col("rn") % ranks, "slot": F.floor(F.col("rn") / ranks)}).drop("rn")
+    if total:
+        times = F.floor((F.lit(missing - 1) - F.col(rn)) / F.lit(total)) + 1  # of each row in the padding
+        n = n.withColumn(again, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(times, F.lit(0)))))
+        n = n.withColumn(rn, F.col(rn) + F.col(again) * total)
+    return n.withColumns({"rank": F.col(rn) % ranks, "slot": F.floor(F.col(rn) / ranks)}).select(*rows.columns, "rank", "slot")
 
 
 def batches(rows: DataFrame, order: list[str], size: int, drop_last: bool) -> DataFrame:
-    n = numbered(rows, order).withColumn("batch_id", F.expr(f"rn div {size}"))
-    if drop_last:
-        n = n.where(F.col("batch_id") < F.lit(rows.count() // size))
-    return n
+    """``rn`` and ``batch_id`` of each row; with ``drop_last``, without a last batch that is not full."""
+    n, total = _numbered(rows, order, "rn", None)
+    n = n.withColumn("batch_id", F.expr(f"rn div {size}"))
+    return n.where(F.col("batch_id") < F.lit(total // size)) if drop_last else n
 
 
 def per_rank_batch(total: int, ranks: int) -> int:

@@ -45,7 +45,7 @@ def a5(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_images"), F.count_distinct("source").alias("n_classes"))
 
 
-NAMES = "WITH f AS (SELECT CASE WHEN doc_id % 3 = 1 THEN printf('%06d_edit.jpg', doc_id // 3) WHEN doc_id % 7 = 0 THEN printf('%06d.png', doc_id // 3) ELSE printf('%06d.jpg', doc_id // 3) END AS name FROM documents WHERE doc_id % 3 <> 2)"
+NAMES = "WITH f AS (SELECT CASE WHEN doc_id % 3 = 1 THEN printf('%06d_edit.jpg', doc_id // 3) WHEN doc_id % 3 = 2 THEN printf('%06d_mask.jpg', doc_id // 3) WHEN doc_id % 7 = 0 THEN printf('%06d.png', doc_id // 3) ELSE printf('%06d.jpg', doc_id // 3) END AS name FROM documents)"
 
 
 def names(documents):
@@ -63,8 +63,8 @@ def j2(spark, sf_dir):
 
 @entry("x1_names", NAMES + " SELECT name, split_part(name, '.', 1) AS prefix, ends_with(name, '.jpg') AND NOT ends_with(name, '_edit.jpg') AS is_source FROM f")
 def x1(spark, sf_dir):
-    """Names without the masks, as in the SQL."""
-    return names(table(spark, sf_dir, "documents").where("doc_id % 3 <> 2")).select("name", M.prefix(F.col("name")).alias("prefix"), M.is_source(F.col("name")).alias("is_source"))
+    """File names, what stands before their first dot, and whether they are sources."""
+    return names(table(spark, sf_dir, "documents")).select("name", M.prefix(F.col("name")).alias("prefix"), M.is_source(F.col("name")).alias("is_source"))
 
 
 @entry("x1_url_parts", "SELECT page_id, string_split(url, '/')[-1] AS base, string_split(url, '/')[-2] AS parent FROM pages")
@@ -110,15 +110,20 @@ N = "(SELECT count(*) FROM documents)"
 SELECT doc_id, rn % 7 AS rank, rn // 7 AS slot FROM p""")
 def b1(spark, sf_dir):
     """Seven shards of one size, filled up from the start (B1)."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return H.shards(d, ["doc_id"], 7, d.count()).select("doc_id", "rank", "slot")
+    return H.shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 7)
+
+
+@entry("b1_shards_of_rows", f"""WITH n AS (SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents), p AS (SELECT doc_id, lang, n_chars, rn FROM n UNION ALL SELECT doc_id, lang, n_chars, rn + {N} FROM n WHERE rn < (5 - {N} % 5) % 5)
+SELECT doc_id, lang, n_chars, rn % 5 AS rank, rn // 5 AS slot FROM p""")
+def b1_rows(spark, sf_dir):
+    """Five shards of rows with more columns than the order has."""
+    return H.shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"], 5)
 
 
 @entry("b1_shuffled_shards", None)
 def b1_shuffled(spark, sf_dir):
     """The same in the order of a seeded hash: the rows of each shard change with the seed, their number does not."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return H.shards(d, ["doc_id"], 7, d.count(), seed=3).select("doc_id", "rank", "slot")
+    return H.shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 7, seed=3)
 
 
 @entry("b3_batches", "WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rn, count(*) OVER () AS c FROM lineitem) SELECT rn // 64 AS batch_id, count(*) AS n, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key FROM n WHERE rn // 64 < c // 64 GROUP BY 1")
@@ -129,6 +134,14 @@ def b3(spark, sf_dir):
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key"))
 
 
+@entry("b3_batches_of_rows", "WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rn FROM lineitem) SELECT rn // 32 AS batch_id, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, count(DISTINCT flag) AS flags FROM (SELECT *, l_returnflag || l_linestatus AS flag FROM n) GROUP BY 1")
+def b3_rows(spark, sf_dir):
+    """Batches of 32 with the last, of whole rows."""
+    b = H.batches(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 32, drop_last=False)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
+                                     F.count_distinct(F.concat("l_returnflag", "l_linestatus")).alias("flags"))
+
+
 @entry("a18_parameter_groups", "SELECT p_brand AS decay, p_size AS rate, list(p_name ORDER BY p_name) AS names, count(*) AS n FROM part GROUP BY 1, 2")
 def a18(spark, sf_dir):
     """Names of each pair of settings."""
@@ -191,25 +204,46 @@ def a21(spark, sf_dir):
     return t.agg((F.round(F.sum(L.parameter_count(F.col("shape"))) / F.lit(1e9), 9) + 0.0).alias("billions"))
 
 
-KEYS = [
-    "encoder.down_blocks.{i}.resnets.{j}.norm1.weight", "encoder.down_blocks.{i}.resnets.{j}.conv_shortcut.bias",
-    "encoder.down_blocks.{i}.downsamplers.0.conv.weight", "encoder.mid_block.resnets.{j}.conv1.weight", "encoder.mid_block.attentions.0.to_q.weight",
-    "encoder.mid_block.attentions.0.to_out.0.bias", "encoder.conv_norm_out.weight", "decoder.up_blocks.{i}.resnets.{j}.conv2.weight",
-    "decoder.up_blocks.{i}.upsamplers.0.conv.bias", "decoder.conv_in.weight", "quant_conv.weight", "post_quant_conv.bias", "bn.running_mean",
-]
-_VALUES = sorted({k.format(i=i, j=j) for k in KEYS for i in range(4) for j in range(2)})
-_SQL = "k"
-for _old, _new in L.RENAMES:
-    _SQL = f"replace({_SQL}, '{_old}', '{_new}')"
-_SQL = f"replace({_SQL}, 'encoder.down_blocks.', 'encoder.down.')"
+#: Tensor names and what they become, written out by hand.
+RENAMED = {
+    "encoder.down_blocks.0.resnets.0.norm1.weight": "encoder.down.0.block.0.norm1.weight",
+    "encoder.down_blocks.3.resnets.1.norm1.weight": "encoder.down.3.block.1.norm1.weight",
+    "encoder.down_blocks.2.resnets.0.conv_shortcut.bias": "encoder.down.2.block.0.nin_shortcut.bias",
+    "encoder.down_blocks.1.downsamplers.0.conv.weight": "encoder.down.1.downsample.conv.weight",
+    "encoder.mid_block.resnets.0.conv1.weight": "encoder.mid.block_1.conv1.weight",
+    "encoder.mid_block.resnets.1.conv1.weight": "encoder.mid.block_2.conv1.weight",
+    "encoder.mid_block.attentions.0.group_norm.weight": "encoder.mid.attn_1.norm.weight",
+    "encoder.mid_block.attentions.0.to_q.weight": "encoder.mid.attn_1.q.weight",
+    "encoder.mid_block.attentions.0.to_k.bias": "encoder.mid.attn_1.k.bias",
+    "encoder.mid_block.attentions.0.to_v.weight": "encoder.mid.attn_1.v.weight",
+    "encoder.mid_block.attentions.0.to_out.0.bias": "encoder.mid.attn_1.proj_out.bias",
+    "encoder.conv_norm_out.weight": "encoder.norm_out.weight",
+    "decoder.mid_block.resnets.1.norm2.bias": "decoder.mid.block_2.norm2.bias",
+    "decoder.up_blocks.0.resnets.0.conv2.weight": "decoder.up.3.block.0.conv2.weight",
+    "decoder.up_blocks.1.resnets.2.conv2.weight": "decoder.up.2.block.2.conv2.weight",
+    "decoder.up_blocks.2.upsamplers.0.conv.bias": "decoder.up.1.upsample.conv.bias",
+    "decoder.up_blocks.3.resnets.0.conv_shortcut.weight": "decoder.up.0.block.0.nin_shortcut.weight",
+    "decoder.conv_in.weight": "decoder.conv_in.weight",
+    "bn.running_mean": "bn.running_mean",
+}
+_PLAIN = {"quant_conv.weight": "quant_conv.weight", "post_quant_conv.bias": "post_quant_conv.bias"}
+_CODERS = {"quant_conv.weight": "encoder.quant_conv.weight", "post_quant_conv.bias": "decoder.post_quant_conv.bias"}
+
+
+def _values(pairs):
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs.items()) + ") t(name, renamed)"
+
+
+@entry("x3_renamed_keys", _values(RENAMED | _CODERS))
+def x3(spark, sf_dir):
+    """Tensor names in the other layout, stages counted from the other end."""
+    return spark.createDataFrame([(v,) for v in RENAMED | _CODERS], "name string").select("name", L.renamed(F.col("name")).alias("renamed"))
 
 
-@entry("x3_renamed_keys", "WITH k AS (SELECT unnest([" + ", ".join(f"'{v}'" for v in _VALUES) + f"]) AS k), r AS (SELECT k, {_SQL} AS r FROM k)"
-       """ SELECT k AS name, CASE WHEN starts_with(r, 'decoder.up_blocks.') THEN 'decoder.up.' || (3 - split_part(r, '.', 3)::INT) || '.' || regexp_replace(r, '^decoder\\.up_blocks\\.\\d+\\.', '')
-WHEN starts_with(r, 'quant_conv.') THEN 'encoder.' || r WHEN starts_with(r, 'post_quant_conv.') THEN 'decoder.' || r ELSE r END AS renamed FROM r""")
-def x3(spark, sf_dir):
-    """Tensor names in the other layout, stages counted from the other end."""
-    return spark.createDataFrame([(v,) for v in _VALUES], "name string").select("name", L.renamed(F.col("name")).alias("renamed"))
+@entry("x4_renamed_keys_beside_coders", _values(RENAMED | _PLAIN))
+def x4(spark, sf_dir):
+    """The same for a layout that has the outer convolutions beside the coders."""
+    return spark.createDataFrame([(v,) for v in RENAMED | _PLAIN], "name string").select("name", L.renamed(F.col("name"), quant_under_coders=False).alias("renamed"))
 
 
 @entry("x5_convolution_shapes", "SELECT * FROM (VALUES ('encoder.mid_block.attentions.0.to_q.weight', [512, 512, 1, 1]), ('encoder.mid_block.attentions.0.to_q.bias', [512]), ('encoder.conv_in.weight', [128, 3])) t(name, shape)")

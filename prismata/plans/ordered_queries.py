@@ -113,9 +113,11 @@ def x9(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@entry("p11_config_echo", "SELECT event_id, 'k' AS keys FROM events")
+@entry("p11_config_echo", """WITH m AS (SELECT event_id, unnest(['kind_' || event_type, 'user_' || (user_id % 5), '__doc__', 'model', 'value']) AS k FROM events)
+SELECT event_id, string_agg(k, ',' ORDER BY k) AS keys FROM m WHERE NOT starts_with(k, '__') AND k <> 'model' GROUP BY event_id""")
 def p11(spark, sf_dir):
-    """The keys of a map but for excluded ones and those with double underscores."""
-    m = F.create_map(F.lit("k"), F.col("value"), F.lit("__doc__"), F.col("value"), F.lit("model"), F.col("value"))
+    """The keys of each row's map but for excluded ones and those with double underscores."""
+    v = F.col("value")
+    m = F.create_map(F.concat(F.lit("kind_"), "event_type"), v, F.concat(F.lit("user_"), (F.col("user_id") % 5).cast("string")), v, F.lit("__doc__"), v, F.lit("model"), v, F.lit("value"), v)
     kept = F.map_filter(m, lambda k, v: ~F.startswith(k, F.lit("__")) & ~k.isin("model"))
-    return events(spark, sf_dir).select("event_id", F.array_join(F.map_keys(kept), ",").alias("keys"))
+    return events(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))

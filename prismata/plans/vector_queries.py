@@ -64,7 +64,7 @@ SELECT count(*) AS n_rows, round(avg(mse), 6) + 0.0 AS mean_mse,
 def e2_codebook_evaluation(spark, sf_dir):
     """Scan, drop what is not finite, quantize, look up, measure, average; exact rows are counted apart."""
     near, book = nearest(spark, sf_dir)
-    m = Q.lookup(near, book).withColumn("mse", F.when(F.col("vec_id") == F.col("code"), 0.0).otherwise(V.mse(F.col("v"), F.col("quantized"))))
+    m = Q.lookup(near, book).withColumn("mse", V.mse(F.col("v"), F.col("quantized")))
     psnr = V.psnr(F.col("mse"))
     return m.agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.avg("mse")).alias("mean_mse"),
@@ -109,13 +109,13 @@ p AS (SELECT vec_id, code, e / sum(e) OVER w AS p, z - ln(sum(e) OVER w) AS lp F
 a AS (SELECT code, avg(p) AS q FROM p GROUP BY code)
 SELECT round((SELECT -sum(p * lp) / count(DISTINCT vec_id) FROM p) - (SELECT -sum(q * ln(q + 1e-5)) FROM a), 6) + 0.0 AS entropy_loss""")
 def a12(spark, sf_dir):
+    """Mean entropy of the rows' distributions over codes, less the entropy of their mean; both sums come from one pass."""
     e = rows(spark, sf_dir)
-    d = Q.with_codebook(unit(e), codebook(e)).select("vec_id", F.transform(Q.distances(F.col("v")), lambda x: -x["dist"]).alias("a"))
-    p = d.select(V.softmax(F.col("a"), 0.01).alias("p"), V.log_softmax(F.col("a"), 0.01).alias("lp"))
-    per_row = p.agg(F.avg(-V.dot(F.col("p"), F.col("lp"))).alias("sample"))
-    per_code = p.select(F.posexplode("p").alias("code", "q")).groupBy("code").agg(F.avg("q").alias("q"))
-    mean = per_code.agg(F.sum(-F.col("q") * F.ln(F.col("q") + 1e-5)).alias("mean"))
-    return per_row.join(F.broadcast(mean)).select(r6(F.col("sample") - F.col("mean")).alias("entropy_loss"))  # one row each
+    d = Q.with_codebook(unit(e), codebook(e)).select(F.transform(Q.distances(F.col("v")), lambda x: -x["dist"]).alias("a"))
+    p = d.select(F.posexplode(F.arrays_zip(V.softmax(F.col("a"), 0.01).alias("p"), V.log_softmax(F.col("a"), 0.01).alias("lp"))).alias("code", "x"))
+    per_code = p.groupBy("code").agg(F.avg("x.p").alias("q"), F.sum(-F.col("x.p") * F.col("x.lp")).alias("own"), F.count(F.lit(1)).alias("n"))
+    sample = F.sum("own") / F.max("n")
+    return per_code.agg(r6(sample + F.sum(F.col("q") * F.ln(F.col("q") + 1e-5))).alias("entropy_loss"))
 
 
 def _fsq_sql(levels):
@@ -139,12 +139,16 @@ for _name, _levels in Q.FSQ_LEVELS.items():
         return Q.usage(rows(spark, sf_dir).select(Q.fsq_index(F.col("v"), levels, 10.0).alias("code")), math.prod(levels))
 
 
-@entry("q5_fsq_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, {n}, {b})" for k, v in Q.FSQ_LEVELS.items() for i, (n, b) in enumerate(zip(v, Q.fsq_basis(v), strict=True))) + ") t(preset, dim, level, basis)")
+@entry("q5_fsq_presets", """SELECT * FROM (VALUES
+('4K', 0, 7, 1), ('4K', 1, 5, 7), ('4K', 2, 5, 35), ('4K', 3, 5, 175), ('4K', 4, 5, 875),
+('16K', 0, 8, 1), ('16K', 1, 8, 8), ('16K', 2, 8, 64), ('16K', 3, 6, 512), ('16K', 4, 5, 3072),
+('64K', 0, 8, 1), ('64K', 1, 8, 8), ('64K', 2, 8, 64), ('64K', 3, 5, 512), ('64K', 4, 5, 2560), ('64K', 5, 5, 12800)) t(preset, dim, level, basis)""")
 def q5(spark, sf_dir):
     return spark.createDataFrame([(k, i, n, b) for k, v in Q.FSQ_LEVELS.items() for i, (n, b) in enumerate(zip(v, Q.fsq_basis(v), strict=True))], "preset string, dim int, level int, basis int")
 
 
-@entry("q9_vq_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in Q.VQ_PRESETS.items()) + ") t(preset, codebook_size, stride)")
+@entry("q9_vq_presets", """SELECT * FROM (VALUES ('VQ_8_4096', 4096, 8), ('VQ_8_16384', 16384, 8), ('VQ_8_65536', 65536, 8),
+('VQ_16_4096', 4096, 16), ('VQ_16_16384', 16384, 16), ('VQ_16_65536', 65536, 16)) t(preset, codebook_size, stride)""")
 def q9(spark, sf_dir):
     return spark.createDataFrame([(k, *v) for k, v in Q.VQ_PRESETS.items()], "preset string, codebook_size int, stride int")
 
@@ -291,11 +295,11 @@ def d5(spark, sf_dir):
     return p.select("vec_id", "k", (F.round(y0, 5) + 0.0).alias("y0"), (F.round(y1, 5) + 0.0).alias("y1"))
 
 
-@entry("j9_attention", E + """, t AS (SELECT vec_id, label, v FROM e WHERE vec_id < 200), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (label))
+@entry("j9_attention", E + """, t AS (SELECT vec_id, vec_id // 64 AS sequence, v FROM e), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (sequence))
 SELECT vec_id, round(sum(w * bv[1]) / sum(w), 6) + 0.0 AS y0, round(sum(w * bv[2]) / sum(w), 6) + 0.0 AS y1 FROM s GROUP BY vec_id""")
 def j9(spark, sf_dir):
-    """The form over the first 200 tokens only; ``j9_image_attention`` has all rows."""
-    return _attention(rows(spark, sf_dir).where("vec_id < 200"), "label")
+    """All rows are tokens, 64 ids a sequence; the join grows with the table only."""
+    return _attention(rows(spark, sf_dir).withColumn("sequence", F.expr("vec_id div 64")), "sequence")
 
 
 def _attention(tokens, *group):
