@@ -153,7 +153,7 @@ def set_name(s: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, id`` of each row: its set's size and name; and, with ``chunk``, parts of the frequency sketch."""
+    """``doc_id, n, id, bits`` of each row: its set's size, name and bitmap; and, with ``chunk``, parts of the frequency sketch."""
     def work(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for rows, data, offsets in blocks(batches):
@@ -163,16 +163,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             n = len(found)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(rows.schema.get_field_index("doc_id")), pa.array(map(len, found), pa.int64()),
-                 pa.array([set_name(s) if len(s) else None for s in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+                 pa.array([set_name(s) if len(s) else None for s in found], pa.int64()),
+                 pa.array([parity_bits(s).tobytes() if len(s) else None for s in found], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
             )
         for k, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(1, pa.int64())] * 3, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names
+                    [*[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names
                 )
 
-    names = ["doc_id", "n", "id", "chunk", "counts"]
-    return map_arrow(docs, work, "doc_id long, n long, id long, chunk int, counts binary")
+    names = ["doc_id", "n", "id", "bits", "chunk", "counts"]
+    return map_arrow(docs, work, "doc_id long, n long, id long, bits binary, chunk int, counts binary")
 
 
 def _order(sets: DataFrame) -> Order:
@@ -279,21 +280,36 @@ def _head_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct()
 
 
-def _listed_sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``id, n, shingles, bits`` of every set in a list: only these can be in a pair."""
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the pairs that the bitmaps do not prove to differ in too many shingles."""
+    def work(batches):
+        for rows in batches:
+            n = rows.column(2).to_numpy() + rows.column(4).to_numpy()
+            off = []
+            for x, y in zip(rows.column(3).to_pylist(), rows.column(5).to_pylist(), strict=True):
+                x, y = _folded([x], min(len(x), len(y))), _folded([y], min(len(x), len(y)))
+                off.append(int(np.bitwise_count(x ^ y).sum()))
+            ok = pa.array(np.array(off, np.int64) <= n * (den - num) // (den + num))
+            yield pa.RecordBatch.from_arrays([rows.column(0).filter(ok), rows.column(1).filter(ok)], ["a", "b"])
+
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"), F.col("bits").alias(f"{k}bits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "abits", "bn", "bbits")
+    return map_arrow(both, work, "a long, b long")
+
+
+def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, shingles`` of the sets with these names, out of the text of their smallest document."""
     def sets(batches):
         for rows, data, offsets in blocks(batches):
             want = rows.column(rows.schema.get_field_index("id")).to_numpy()
             found = [(i, s) for i, s in zip(want.tolist(), shingle_sets(data, offsets, width), strict=True) if len(s) and set_name(s) == i]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
-                 pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([parity_bits(s).tobytes() for _, s in found], pa.binary())],
-                ["id", "n", "shingles", "bits"],
+                [pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"],
             )
 
-    wanted = classes.join(lists.select("id").distinct(), "id").select(F.col("rep").alias("doc_id"), "id")
+    wanted = classes.join(ids, "id", "left_semi").select(F.col("rep").alias("doc_id"), "id")
     own = docs.where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])  # rows may repeat
-    return map_arrow(own, sets, "id long, n long, shingles binary, bits binary")
+    return map_arrow(own, sets, "id long, shingles binary")
 
 
 def _compare(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -360,7 +376,7 @@ def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, c
     return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
 
 
-def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, held: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
+def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, classes: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
     """Pairs of one list in different components that positions, sizes, known answers and bitmaps do not rule out.
 
     With ``closest``, only the closest partner of a set in each other component.
@@ -380,7 +396,7 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, held: D
     ).select("key", F.col("x.block").alias("left"), F.col("y.block").alias("right"))
     sides = linked.select("key", "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array("left")).otherwise(F.array("left", "right"))).alias("block"))
     nearest = answers.groupBy(F.col("a").alias("id")).agg(F.min(F.struct((F.col("total") - F.col("common")).alias("diff"), F.col("b").alias("ref"))).alias("known"))
-    full = rows.join(sides, ["key", "block"]).join(nearest, "id", "left").join(held.select("id", "bits"), "id")
+    full = rows.join(sides, ["key", "block"]).join(nearest, "id", "left").join(classes.select("id", "bits"), "id")
     full = full.select("key", "left", "right", "block", "id", "root", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"),
                        F.coalesce("known.ref", "id").alias("ref"), F.coalesce("known.diff", F.lit(0)).alias("diff"), "bits")
 
@@ -437,36 +453,42 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(_sets(texts, width), "jaccard-sets")
     sets = found.where("chunk is null").select("doc_id", "n", "id")
-    named = sets.where("n > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("id").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    order = _order(found)
-    lists = materialize(_lists(texts, order, width, num, den), "jaccard-lists")
+    named = found.where("n > 0 and doc_id is not null")
+    classes = materialize(named.groupBy("id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-classes")
+    lists = materialize(_lists(texts, _order(found), width, num, den), "jaccard-lists")
     give_back()
-
-    held = materialize(_listed_sets(lists, classes, texts, width), "jaccard-listed-sets")
     # an id with texts of several classes joins these
     first = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").select("doc_id", "a")
     shared = materialize(named.join(first, "doc_id").select("a", F.col("id").alias("b")).where("a <> b").distinct(), "jaccard-shared-ids")
 
     link = f"common * {den} >= total * {num}"
-    pairs = materialize(_head_pairs(lists, num, den), "jaccard-head-pairs")
-    compared = [materialize(_compare(pairs, held), "jaccard-compared")]
-    roots = components(compared[0].where(link).select("a", "b").unionByName(shared))
+    compared: list[DataFrame] = []
+
+    def compare(pairs: DataFrame) -> None:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        held = materialize(_sets_of(ids, classes, texts, width), "jaccard-compared-sets")
+        compared.append(materialize(_compare(pairs, held), "jaccard-compared"))
+        discard(held)
+
+    def linked() -> DataFrame:
+        links = shared
+        for more in compared:
+            links = links.unionByName(more.where(link).select("a", "b"))
+        return components(links)
+
+    compare(materialize(_near(_head_pairs(lists, num, den), classes, num, den), "jaccard-head-pairs"))
+    roots = linked()
     for closest in (True, False):
         done = compared[0].select("a", "b")
         for more in compared[1:]:
             done = done.unionByName(more.select("a", "b"))
         done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(_cross_pairs(lists, roots, compared[0], held, num, den, closest).join(done, ["a", "b"], "left_anti"), "jaccard-cross")
-        if pairs.isEmpty():
-            continue
-        compared.append(materialize(_compare(pairs, held), "jaccard-compared"))
-        links = shared
-        for more in compared:
-            links = links.unionByName(more.where(link).select("a", "b"))
-        discard(roots)
-        roots = components(links)
-    discard(lists, held)
+        pairs = materialize(_cross_pairs(lists, roots, compared[0], classes, num, den, closest).join(done, ["a", "b"], "left_anti"), "jaccard-cross")
+        if not pairs.isEmpty():
+            compare(pairs)
+            discard(roots)
+            roots = linked()
+    discard(lists)
 
     links = compared[0].where(link)
     for more in compared[1:]:
