@@ -29,15 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .columns import looked_up
 from .storage import discard, materialize
 
 #: Entries that a bucket holds before it is split.
 BUCKET_CAPACITY = 50_000
 #: Bits beyond the expected depth by which entries are counted, for buckets that hash unevenly.
 SPARE_BITS = 4
-#: An entry with so many copies, and with one in ``HOT_ENTRIES`` of all rows, is
-#: broadcast; there are at most ``HOT_ENTRIES`` such entries, whatever the table.
-HOT_COPIES, HOT_ENTRIES = 1000, 50_000
 
 
 def normalised(text):
@@ -130,22 +128,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     n = entries.agg(F.sum("group_size")).first()[0] or 0
     discard(entries)
-    hot = buckets.where(F.col("group_size") >= max(HOT_COPIES, -(-n // HOT_ENTRIES)))
-    entry = ["bucket", "local_depth", "chain", "keep_id", "group_size"]
     probes = keyed.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    probes = probes.join(F.broadcast(hot.select("h", "digest", F.struct(*entry).alias("hot"))), ["h", "digest"], "left")
-    probes = probes.withColumn("slot", _slot(F.col("h"), depth)).join(directory.select("slot", F.col("bucket").alias("b")), "slot").drop("slot")
-    # a row that has its entry looks for none, and goes where its id says
-    cold = F.col("hot").isNull()
-    found = probes.withColumn("at", F.when(cold, F.col("h")).otherwise(F.xxhash64("doc_id"))).withColumn("key", F.when(cold, F.col("digest")))
-    found = found.join(
-        buckets.select(F.col("bucket").alias("b"), F.col("h").alias("at"), F.col("digest").alias("key"), F.struct(*entry).alias("cold")), ["b", "at", "key"], "left"
-    ).withColumn("entry", F.coalesce("hot", "cold"))
+    probes = probes.withColumn("slot", _slot(F.col("h"), depth)).join(directory.select("slot", "bucket"), "slot").drop("slot")
+    found = looked_up(probes, buckets, ["bucket", "h", "digest"], ["local_depth", "chain", "keep_id", "group_size"], "group_size", n, "doc_id")
     return found.select(
-        "doc_id", "entry.keep_id", "entry.group_size",
-        F.col("doc_id").eqNullSafe(F.col("entry.keep_id")).alias("kept"),
+        "doc_id", "found.keep_id", "found.group_size",
+        F.col("doc_id").eqNullSafe(F.col("found.keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        "entry.bucket", F.col("entry.local_depth").alias("bucket_depth"), "entry.chain",
+        "bucket", F.col("found.local_depth").alias("bucket_depth"), "found.chain",
     )
 
 

@@ -15,12 +15,12 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import blocks, map_arrow
+from .columns import looked_up
 from .exact_dedup import normalised
 from .storage import materialize, new_path
 from .word_bpe import Encoder
@@ -60,8 +60,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     ``cache_path`` is a folder all executors share; without one, the cache is
     empty at the start and kept in the shared folder. ``cached`` tells whether
     the count was there before this call. Null texts count as empty, with no
-    tokens. Rows with equal or null ids keep their own counts. An empty table
-    gives an empty result and appends nothing.
+    tokens; texts of any length are counted whole. Rows with equal or null ids
+    keep their own counts. Other columns are ignored, whatever their names. An
+    empty table gives an empty result and appends nothing.
     """
     spark = docs.sparkSession
     cache_path = cache_path or new_path(spark, "token-cache")
@@ -78,20 +79,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
                     F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes")),
         "token-keys",
     )
-    known = materialize(cache().select("content_digest"), "token-known")
-    misses = keyed.join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.min("doc_id").alias("rep"))
+    known = materialize(cache().select("content_digest", F.lit(True).alias("cached")), "token-known")
+    contents = materialize(
+        keyed.groupBy("content_digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .join(known, "content_digest", "left").withColumn("cached", F.coalesce("cached", F.lit(False))), "token-contents"
+    )
+    misses = contents.where("not cached").select("content_digest", "rep")
     chosen = (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        .join(misses, F.col("doc_id").eqNullSafe(F.col("rep")))
-        .where(_digest(F.col("text")) == F.col("content_digest"))
+        docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("digest", _digest(F.col("text")))
+        .join(misses, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("content_digest")))
         .select("text", "content_digest")
     )
     fresh = map_arrow(chosen, _encode(tokenizer_path), "content_digest binary, n_tokens long").dropDuplicates(["content_digest"])  # rows may repeat the id
     fresh.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    was = known.withColumn("cached", F.lit(True))
-    return (
-        keyed.join(cache(), "content_digest")
-        .join(was, "content_digest", "left")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"),
-                F.coalesce("cached", F.lit(False)).alias("cached"))
-    )
+    counted = cache().join(contents, "content_digest").select("content_digest", "copies", "n_tokens", "cached")
+    found = looked_up(keyed, counted, ["content_digest"], ["n_tokens", "cached"], "copies", keyed.count(), "doc_id")
+    return found.select("doc_id", "n_bytes", "found.n_tokens", (F.col("found.n_tokens") > limit).alias("over_limit"), "found.cached")
