@@ -1,16 +1,14 @@
 r"""Line deduplication by range-partitioned hashes.
 
 Built from DataFrame functions only. Lines travel as 128-bit hashes, never as
-text. They are dealt by range of the hash and sorted within it by document and
-position, and a stream over each key's rows compares them with the first one.
-What comes back is a compressed keep bitmap per document: 64-bit words of
-dropped positions, with words that drop nothing left out.
-
-A key in a large share of all lines (a licence line, say) would fill one task.
-Such keys are found by a frequent-items sketch of fixed size; their first
-document comes from an aggregation with map-side combining, and their rows meet
-it by a broadcast of at most ``HOT_KEYS`` rows instead of moving. Which keys
-the sketch names decides only which of the two ways a key takes; both are exact.
+text. They are dealt by range of hash, document and position, in that order, so
+a key that a third of all lines share is cut into several ranges like any other
+run of rows. A stream over each range's rows compares them with the first of
+their key in the range. A key can only go on from one range to the next as the
+last key of the one and the first of the other; for these, of which there are no
+more than ranges, the first of all ranges is put in its place. What comes back
+is a compressed keep bitmap per document: 64-bit words of dropped positions,
+with words that drop nothing left out.
 """
 
 from __future__ import annotations
@@ -19,14 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize
+from .columns import fresh
+from .storage import discard, materialize
 
 #: Keys shorter than this many code points are never dropped.
 MIN_KEY = 10
-#: The sketch names at most this many keys, so they can be broadcast.
-HOT_KEYS = 1000
-#: Items the sketch tracks; it misses no key with over 1 in 7500 of the rows.
-SKETCH_ITEMS = 10_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -60,26 +55,20 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "line-hashes",
     )
-    sketch = lines.agg(F.expr(f"approx_top_k(h1, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n"))
-    hot = (
-        sketch.select(F.explode("top").alias("t"), "n")
-        .where(F.col("t.count") * 4 * HOT_KEYS > F.col("n"))
-        .select(F.col("t.item").alias("h1"), F.lit(True).alias("hot"))
-    )
-    hot = F.broadcast(materialize(hot, "line-hot-keys"))
-    cold = lines.join(hot, "h1", "left_anti")
-    heavy = lines.join(hot.select("h1"), "h1")
-
     order = [F.col("doc_id").asc_nulls_last(), F.col("pos").asc()]
-    stream = Window.partitionBy("h1", "h2").orderBy(*order)
-    first_cold = cold.repartitionByRange("h1", "h2").withColumn("first_doc", F.first("doc_id").over(stream))
-    first_hot = heavy.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
-    # keys of one hash h1 may differ in h2; still no more than the colliding keys of HOT_KEYS hashes
-    dropped_hot = heavy.join(F.broadcast(first_hot), ["h1", "h2"])
-    columns = ["doc_id", "row_key", "pos", "first_doc"]
-    dropped = first_cold.select(columns).unionByName(dropped_hot.select(columns)).where(
-        ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    )
+    ranged = lines.repartitionByRange("h1", "h2", *order).withColumn("range", F.spark_partition_id())
+    stream = Window.partitionBy("range", "h1", "h2").orderBy(*order)
+    firsts = materialize(ranged.withColumn("first_doc", F.first("doc_id").over(stream)), "line-firsts")
+    discard(lines)
+
+    key = F.struct("h1", "h2")
+    ends = firsts.groupBy("range").agg(F.min(key).alias("a"), F.max(key).alias("b")).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
+    split = ends.groupBy("k").count().where("count > 1").select("k.h1", "k.h2")  # no more than ranges
+    earliest = F.min(F.struct(F.col("first_doc").isNull().alias("last"), "first_doc")).alias("e")
+    split = firsts.join(F.broadcast(split), ["h1", "h2"]).groupBy("h1", "h2").agg(earliest).select("h1", "h2", "e")
+    split = F.broadcast(materialize(split, "line-split-keys"))
+    first = F.when(F.col("e").isNotNull(), F.col("e.first_doc")).otherwise(F.col("first_doc"))
+    dropped = firsts.join(split, ["h1", "h2"], "left").where(~F.col("doc_id").eqNullSafe(first))
     words = dropped.groupBy("doc_id", "row_key", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
@@ -107,23 +96,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line stripped of ASCII white space at both ends, A-Z in
     lower case. Keys of at least ``min_key`` code points found in two documents
     or more lose all lines except in the smallest id that holds them. A null or
-    empty text is one empty line and stays one.
+    empty text is one empty line and stays one, as an empty text. Texts of any
+    length are split whole. Rows that repeat an id are one document and keep
+    their lines from each other. Columns of ``docs`` named ``n_lines`` or
+    ``n_dropped`` are replaced; all others are kept, whatever their names. An
+    empty table gives an empty result.
     """
-    bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, min_key), "line-bitmaps").select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("bitmap").alias("_bitmap"),
-        F.col("n_dropped").alias("_n_dropped"),
-    )
+    docs = docs.drop("n_lines", "n_dropped")
+    own, at, key, bitmap, gone = fresh(docs, "row_key", "bitmap_id", "bitmap_key", "bitmap", "lines_gone")
+    bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, min_key), "line-bitmaps").toDF(at, key, bitmap, gone)
     text = F.col(text_col)
-    held = docs.withColumn("_row", _row_key(text)).join(
-        bitmaps, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left"
-    )
+    held = docs.withColumn(own, _row_key(text)).join(bitmaps, F.col(id_col).eqNullSafe(F.col(at)) & (F.col(own) == F.col(key)), "left")
     lines = _lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _dropped_positions(F.col("_bitmap")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), _dropped_positions(F.col(bitmap)))
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return held.select(
-        *[F.when(F.col("_bitmap").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col(bitmap).isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import blank, blocks, distinct, map_arrow
+from .columns import fresh
 
 #: A cut needs the smallest hash within so many words to the left and right.
 REACH = 4
@@ -155,16 +156,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = docs.drop("removed_spans")
     names, kinds = docs.columns, dict(docs.dtypes)
-    kept = kept_units(docs, id_col, text_col, reach, min_chars).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("kept").alias("_kept"))
-    held = docs.withColumn("_row", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key")), "left"
-    ).drop("_id", "_row", "_key")
+    own, at, key, kept = fresh(docs, "row_key", "unit_id", "unit_key", "units_kept")
+    units_of = kept_units(docs, id_col, text_col, reach, min_chars).toDF(at, key, kept)
+    held = docs.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit("")))).join(
+        units_of, F.col(id_col).eqNullSafe(F.col(at)) & (F.col(own) == F.col(key)), "left"
+    ).drop(at, own, key)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches):
         for rows, data, offsets in blocks(batches, text_col):
             (text, a, b, n, _, _), (of, line_a, _, _, _, _, length) = units(data, offsets, reach)
-            numbers = rows.column(rows.schema.get_field_index("_kept"))
+            numbers = rows.column(rows.schema.get_field_index(kept))
             counts = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
             number, row = numbers.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows.num_rows), counts)
             is_line = number >= LINE

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from prismata.llm import exact_dedup, jaccard, line_dedup, substring_dedup
@@ -54,15 +55,35 @@ def test_lines(edge, edge_rows, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_lines_with_hot_keys(spark, monkeypatch):
+def test_lines_with_hot_keys(spark):
+    """A key that spans many ranges gives the same result as in one range."""
     rows = [(i, f"the very same line\nown line number {i}\n" + ("second shared line" if i % 2 else "")) for i in range(60)]
+    rows += [(None, "the very same line"), (0, "the very same line\nthe very same line")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {}
-    for items in (1, 1000):
-        monkeypatch.setattr(line_dedup, "HOT_KEYS", items)
-        out[items] = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
-    assert out[1] == out[1000]
-    assert sum(r[3] for r in out[1]) == 59 + 29
+    out, held = {}, {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for ranges in ("1", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out[ranges] = sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
+        total = line_dedup.dedup_lines(docs).agg(F.sum("n_dropped")).first()[0]
+        assert total == 59 + 29 + 1
+    for k, v in held.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert out["1"] == out["40"]
+
+
+@pytest.mark.parametrize("name", ["_key", "_id", "row_key", "bitmap", "bitmap_id", "_row", "_kept", "n_lines", "range", "e", "digest", "slot", "found", "id"])
+def test_extra_columns_with_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "a shared line here\nalone", 7), (2, "A shared line here\nother words", 8)], f"doc_id long, text string, `{name}` int")
+    lines = line_dedup.dedup_lines(docs)
+    assert len(set(lines.columns)) == len(lines.columns)
+    assert {(r["doc_id"], r["text"], r["n_dropped"]) for r in lines.collect()} == {(1, "a shared line here\nalone", 0), (2, "other words", 1)}
+    if name not in ("n_lines", "n_dropped"):
+        assert {r[name] for r in lines.collect()} == {7, 8}
+    passages = substring_dedup.dedup_substrings(docs)
+    assert {r[name] for r in passages.collect()} == {7, 8} and passages.columns[:3] == docs.columns
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 2
+    assert jaccard.jaccard_components(docs)[0].count() == 2
 
 
 def test_substrings(spark, edge, empty):
