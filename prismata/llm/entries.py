@@ -54,10 +54,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.probe(media.media_column(documents(spark, sf_dir))).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "codec", "duration_s",
-    )
+    return media.stored_and_probed(documents(spark, sf_dir))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
