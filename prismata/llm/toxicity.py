@@ -7,9 +7,10 @@ response anywhere in the text, and a logistic layer turns these into a score.
 Whole texts are scored; the score sees nothing but the text.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows of each class, those with
-the smallest hash of their id. A part of them is kept back to set where the
-score crosses 0.5, and a threshold for each language. Training runs on the
-driver, on hashed words; only the bounded sample reaches it.
+the smallest hash of their id, and of these as many as have ``TRAIN_WORDS`` words
+together. A part of them is kept back to set where the score crosses 0.5, and a
+threshold for each language. Training runs on the driver, on hashed words; only
+the sample, bounded in rows and words, reaches it.
 """
 
 from __future__ import annotations
@@ -19,17 +20,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .arrowtext import blocks, distinct, map_arrow
+from .arrowtext import blocks, distinct, give_back, map_arrow
 
-#: Labelled rows of each class that training takes at most.
-TRAIN_ROWS = 3000
+#: Labelled rows of each class that training takes at most, and their words.
+TRAIN_ROWS, TRAIN_WORDS = 3000, 4_000_000
 BUCKETS = 1 << 16
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 STEPS, BATCH, RATE, DECAY = 3000, 32, 0.1, 1e-5
-#: Rows of a language that a threshold of its own takes at least, of each class.
-LANGUAGE_ROWS = 20
+#: Of so many rows of the sample one is kept back.
+KEPT_BACK = 6
+#: Rows of a language that a threshold of its own takes at least, of each class, among those kept back.
+LANGUAGE_ROWS = 8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -121,7 +125,7 @@ class Model:
 
     def _step(self, texts, labels, weight, sums) -> None:
         n = np.array([len(t) for t in texts])
-        rows = np.concatenate([np.concatenate([t, np.zeros((PAD, 2), np.int64)]) for t in texts])
+        rows = np.concatenate([x for t in texts for x in (t, np.zeros((PAD, 2), t.dtype))])
         begin = np.cumsum(n + PAD) - (n + PAD)
         e = self.table[rows[:, 0]] + self.table[rows[:, 1]]
         e[(rows[:, 0] == 0)] = 0
@@ -163,6 +167,16 @@ class Model:
         sums["table"][uniq] += (summed**2).mean(1)
         self.table[uniq] -= RATE * summed / np.sqrt(sums["table"][uniq])[:, None]
 
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, weight: np.ndarray, lang: list[str | None]) -> None:
+        """Where the score crosses 0.5, from rows that the model has not seen; then a threshold for each language that has enough."""
+        shift = best_cut(logits, labels, weight)
+        self.intercept -= shift
+        logits = logits - shift
+        for name in sorted({x for x in lang if x is not None}):
+            own = np.array([i for i, x in enumerate(lang) if x == name], np.int64)
+            if min(labels[own].sum(), (1 - labels[own]).sum()) >= LANGUAGE_ROWS:
+                self.thresholds[name] = float(1 / (1 + np.exp(-best_cut(logits[own], labels[own], weight[own], 0.0))))
+
     @staticmethod
     def _move(weights, grad, total) -> None:
         total += grad**2
@@ -189,8 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
           lang_col: str = "lang") -> Model:
     """A model from the rows of ``labels (doc_id, toxic)`` whose crc32(id) mod 5 is not 0.
 
-    Null labels and labels of absent documents teach nothing. Without rows of
-    both classes the model scores every text 0 (or 1 if all rows are toxic).
+    Null labels and labels of absent documents teach nothing; texts are taken
+    whole. Without rows of both classes the model scores every text 0 (or 1 if
+    all rows are toxic).
     """
     own = labels.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -210,32 +225,30 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
             )
 
     kinds = dict(chosen.dtypes)
-    found = map_arrow(chosen, work, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, lang string, words binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (xxhash.xxh3_64_intdigest(str(found["doc_id"][i].as_py())), i))
-    texts = [np.frombuffer(found["words"][i].as_py(), "<i4").astype(np.int64).reshape(-1, 2) for i in order]
-    y = np.array([found["toxic"][i].as_py() for i in order], np.int64)
-    lang = [found["lang"][i].as_py() for i in order]
+    found = map_arrow(chosen, work, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, lang string, words binary")
+    rank = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"), F.xxhash64("words")]
+    upto = Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over the sample only
+    found = found.withColumn("upto", F.sum(F.octet_length("words") / 8).over(upto)).where(F.col("upto") <= TRAIN_WORDS).orderBy("upto", *rank).drop("upto").toArrow()
+    texts = [np.frombuffer(x, "<i4").reshape(-1, 2) for x in found["words"].to_pylist()]
+    y = np.array(found["toxic"].to_pylist(), np.int64)
+    lang = found["lang"].to_pylist()
+    del found
     model = Model()
     if not len(y) or y.min() == y.max():
         model.out[:] = 0
         model.intercept = 8.0 if len(y) and y.min() == 1 else -8.0
         return model
     n_of = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    back = np.arange(len(y)) % 8 == 7
+    back = np.arange(len(y)) % KEPT_BACK == KEPT_BACK - 1
     learn = np.flatnonzero(~back) if len(y) >= 50 else np.arange(len(y))
     model.fit([texts[i] for i in learn], y[learn])
     if len(y) >= 50:
-        z = np.array([model.logits(t, np.arange(len(t)), np.array([0, len(t)]))[0] for t in texts])
-        test = np.flatnonzero(back)
         weight = np.where(y == 1, n_of[1] / max(1, (y == 1).sum()), n_of[0] / max(1, (y == 0).sum()))
+        test = np.flatnonzero(back)
         if 0 < y[test].sum() < len(test):
-            shift = best_cut(z[test], y[test], weight[test])
-            model.intercept -= shift
-            z -= shift
-            for name in sorted({x for x in lang if x is not None}):
-                own_rows = np.array([i for i in test if lang[i] == name], np.int64)
-                if len(own_rows) and min(y[own_rows].sum(), (1 - y[own_rows]).sum()) >= LANGUAGE_ROWS:
-                    model.thresholds[name] = float(1 / (1 + np.exp(-best_cut(z[own_rows], y[own_rows], weight[own_rows], 0.0))))
+            z = np.array([model.logits(texts[i], np.arange(len(texts[i])), np.array([0, len(texts[i])]))[0] for i in test])
+            model.calibrate(z, y[test], weight[test], [lang[i] for i in test])
+    give_back()
     return model
 
 
@@ -244,8 +257,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ``predicted`` is 1 from a score of 0.5 on; ``rejected`` compares the score
     with the threshold calibrated for the row's language, 0.5 where there is
-    none. Null and empty texts are scored as texts without words. Columns of
-    ``docs`` by the added names are replaced.
+    none. Null and empty texts are scored as texts without words, texts of any
+    length whole, equal texts alike, and repeated rows each for itself. Columns
+    of ``docs`` by the added names are replaced, all others kept. An empty table
+    gives an empty result.
     """
     docs = docs.drop("score", "predicted", "threshold", "rejected")
     ids, kinds = docs.columns, dict(docs.dtypes)
