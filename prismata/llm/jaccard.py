@@ -194,10 +194,10 @@ def _order(sets: DataFrame) -> Order:
 
 
 def _lists(docs: DataFrame, order: Order, width: int, num: int, den: int) -> DataFrame:
-    """``key, id, n, pos`` of the lists with two sets or more.
+    """``key, id, n, pos`` of the sets that have another of a size they can link with in a list.
 
     A list that the sketch says may be long is put together in parts, by the
-    names of its sets; a part is kept even if it has one set.
+    names of its sets; a part is kept whole.
     """
     def entries(batches):
         for rows, data, offsets in blocks(batches):
@@ -229,32 +229,26 @@ def _lists(docs: DataFrame, order: Order, width: int, num: int, den: int) -> Dat
                 )
 
     def shared(batches):
-        before = None  # the last row, if it may begin a list
-        going = last = None  # the list whose rows are given, and the last row's key and id
+        tail, given = None, False  # the row before, and whether it went out
         for rows in batches:
-            key, part, name, n, pos = (rows.column(c).to_numpy() for c in range(5))
-            if not len(key):
-                continue
-            fresh = np.insert((key[1:] != key[:-1]) | (name[1:] != name[:-1]), 0, last != (key[0], name[0]))
-            last = key[-1], name[-1]
-            held = [x[fresh] for x in (key, part, name, n, pos)]
-            if before is not None:
-                held = [np.insert(x, 0, y) for x, y in zip(held, before, strict=True)]
-                before = None
+            held = [rows.column(c).to_numpy() for c in range(5)]
+            if tail is not None:
+                held = [np.insert(x, 0, y) for x, y in zip(held, tail, strict=True)]
             if not len(held[0]):
                 continue
-            key, part = held[:2]
-            same = key[1:] == key[:-1]
-            kept = np.append(same, False) | np.insert(same, 0, False) | (part >= 0)
-            if going is not None:
-                kept |= key == going
-            if not kept[-1]:
-                before = [x[-1] for x in held]
-            going = key[-1] if kept[-1] else None
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (held[0], *held[2:])], ["key", "id", "n", "pos"])
+            fresh = np.insert((held[0][1:] != held[0][:-1]) | (held[2][1:] != held[2][:-1]), 0, True)  # copies of a set stand together
+            key, part, _, n, _ = held = [x[fresh] for x in held]
+            size = n.astype(np.int64)
+            close = (key[1:] == key[:-1]) & (size[:-1] * den >= size[1:] * num)  # by size, the next is the likeliest partner
+            kept = np.append(close, False) | np.insert(close, 0, False) | (part >= 0)
+            out = kept.copy()
+            if tail is not None and given:
+                out[0], kept[0] = False, True
+            tail, given = [x[-1] for x in held], bool(kept[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, *held[2:])], ["key", "id", "n", "pos"])
 
     rows = map_arrow(docs, entries, "key long, part int, id long, n int, pos int")
-    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "id"), shared, "key long, id long, n int, pos int")
+    return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id"), shared, "key long, id long, n int, pos int")
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> str:
@@ -342,8 +336,8 @@ def _folded(bits: list[bytes], least: int) -> np.ndarray:
     return table.view(np.uint64)
 
 
-def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two blocks of a list that nothing known rules out, by their names.
+def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, closest: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs of two blocks of a list that nothing known rules out, by their names, and how many ``closest`` left out.
 
     Blocks have arrays ``id, root, n, pos, ref, diff`` and a list ``bits``, by
     position; ``ref`` is a set compared with before, and ``diff`` the difference
@@ -351,7 +345,7 @@ def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, c
     """
     least = min(map(len, (*left["bits"], *right["bits"])))
     ours, theirs = _folded(left["bits"], least), _folded(right["bits"], least)
-    a_out, b_out = [], []
+    a_out, b_out, left_out = [], [], 0
     for i in range(len(left["id"])):
         low = np.minimum(right["n"], left["n"][i])
         total = right["n"] + left["n"][i]
@@ -369,17 +363,19 @@ def linked_candidates(left: dict, right: dict, same: bool, num: int, den: int, c
         if closest and len(fit) > 1:
             order = np.argsort(off, kind="stable")
             _, one = np.unique(right["root"][fit[order]], return_index=True)
+            left_out += len(fit) - len(one)
             fit = fit[order[one]]
         a_out.append(np.minimum(right["id"][fit], left["id"][i]))
         b_out.append(np.maximum(right["id"][fit], left["id"][i]))
     none = np.zeros(0, np.int64)
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (none, none)
+    return (np.concatenate(a_out), np.concatenate(b_out), left_out) if a_out else (none, none, 0)
 
 
 def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, classes: DataFrame, num: int, den: int, closest: bool) -> DataFrame:
-    """Pairs of one list in different components that positions, sizes, known answers and bitmaps do not rule out.
+    """``a, b`` of one list in different components that positions, sizes, known answers and bitmaps do not rule out.
 
-    With ``closest``, only the closest partner of a set in each other component.
+    With ``closest``, only the closest partner of a set in each other component;
+    ``left_out`` is then above 0 where there were others.
     """
     rooted = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
@@ -410,9 +406,9 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, classes
             _, left, right = group
             blocks_ = {k: {c: np.concatenate([h[c] for h in v]) for c in names} | {"bits": [b for h in v for b in h["bits"]]} for k, v in sides.items()}
             if left in blocks_ and right in blocks_:
-                a, b = linked_candidates(blocks_[left], blocks_[right], left == right, num, den, closest)
+                a, b, more = linked_candidates(blocks_[left], blocks_[right], left == right, num, den, closest)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], ["a", "b", "left_out"])
 
         for rows in batches:
             if not rows.num_rows:
@@ -430,7 +426,7 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, classes
         yield from pairs()
 
     ordered = full.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "block")
-    return map_arrow(ordered, work, "a long, b long").distinct()
+    return map_arrow(ordered, work, "a long, b long, left_out long").groupBy("a", "b").agg(F.max("left_out").alias("left_out"))
 
 
 def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN,
@@ -483,11 +479,14 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
         for more in compared[1:]:
             done = done.unionByName(more.select("a", "b"))
         done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = materialize(_cross_pairs(lists, roots, compared[0], classes, num, den, closest).join(done, ["a", "b"], "left_anti"), "jaccard-cross")
+        cross = materialize(_cross_pairs(lists, roots, compared[0], classes, num, den, closest), "jaccard-cross")
+        pairs = materialize(cross.select("a", "b").join(done, ["a", "b"], "left_anti"), "jaccard-cross-pairs")
         if not pairs.isEmpty():
             compare(pairs)
             discard(roots)
             roots = linked()
+        if not cross.agg(F.max("left_out")).first()[0]:
+            break
     discard(lists)
 
     links = compared[0].where(link)
