@@ -75,3 +75,9 @@ def guided(unconditional: Column, conditional: Column, scale: float) -> Column:
     if scale <= 1:
         return conditional
     return F.zip_with(unconditional, conditional, lambda u, c: u + scale * (c - u))
+
+
+def start_index(place: Column) -> Column:
+    """An aggregate: the second of several places, or the only one."""
+    held = F.array_sort(F.collect_list(place))
+    return F.coalesce(F.get(held, 1), F.get(held, 0))

@@ -81,6 +81,14 @@ def rope_angle(position: Column, pair: Column, dim: int, theta: float) -> Column
     return position * F.pow(F.lit(float(theta)), -2.0 * pair / dim)
 
 
+def axis_angles(positions: tuple[Column, ...], dims: tuple[int, ...], theta: float) -> Column:
+    """The angles of several axes, each with its own number of dimensions, one after another."""
+    def of(position: Column, dim: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim // 2 - 1)), lambda k: rope_angle(position, k, dim, theta))
+
+    return F.concat(*map(of, positions, dims))
+
+
 def modulate(x: Column, scale: Column, shift: Column) -> Column:
     return (1 + scale) * x + shift
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
+
 
 def _rounded(x: Column) -> Column:
     """Rounded to the nearest whole number, ties to the even one."""
@@ -28,13 +32,26 @@ def megapixels(w: Column, h: Column, low: float = 0.5, high: float = 2.0, unit:
     return to_multiple(w * scale), to_multiple(h * scale)
 
 
-def center_crop(w: Column, h: Column, side: int) -> dict[str, Column]:
-    """Halvings, resized size and crop corner of a centre crop of ``side``."""
+def _resized(w: Column, h: Column, target: Column) -> tuple[Column, Column, Column]:
+    """Halvings while the shorter side is twice the target or more, and the size after resizing that side to the target."""
     least = F.least(w, h)
-    n = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda a, k: F.when(F.floor(least / F.pow(F.lit(2), a)) >= 2 * side, a + 1).otherwise(a))
+    n = F.aggregate(F.sequence(F.lit(0), F.lit(30)), F.lit(0), lambda a, k: F.when(F.floor(least / F.pow(F.lit(2), a)) >= 2 * target, a + 1).otherwise(a))
     hw, hh = F.floor(w / F.pow(F.lit(2), n)), F.floor(h / F.pow(F.lit(2), n))
-    scale = side / F.least(hw, hh)
-    rw, rh = _rounded(hw * scale), _rounded(hh * scale)
+    scale = target / F.least(hw, hh)
+    return n, _rounded(hw * scale), _rounded(hh * scale)
+
+
+def random_crop(w: Column, h: Column, side: int, low: float, high: float, seed: int, *key: str) -> dict[str, Column]:
+    """Drawn target size, halvings, resized size and drawn corner of a crop of ``side`` that keeps ``low`` to ``high`` of a side."""
+    target = D.whole(F.lit(math.ceil(side / high)), F.lit(math.ceil(side / low)), seed, F.lit("target"), *key)
+    n, rw, rh = _resized(w, h, target)
+    return {"target": target, "halvings": n, "width": rw, "height": rh,
+            "crop_x": D.whole(F.lit(0), rw - side, seed, F.lit("x"), *key), "crop_y": D.whole(F.lit(0), rh - side, seed, F.lit("y"), *key)}
+
+
+def center_crop(w: Column, h: Column, side: int) -> dict[str, Column]:
+    """Halvings, resized size and crop corner of a centre crop of ``side``."""
+    n, rw, rh = _resized(w, h, F.lit(side))
     return {"halvings": n, "width": rw, "height": rh, "crop_x": F.floor((rw - side) / 2), "crop_y": F.floor((rh - side) / 2)}
 
 

@@ -18,14 +18,17 @@ def missing(saved: DataFrame, model: DataFrame) -> DataFrame:
     return model.join(saved.select("name"), "name", "left_anti")
 
 
-def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``name, verdict, max_diff`` of each tensor of ``left (name, data)`` against ``right``."""
-    other = right.select("name", F.col("data").alias("other"))
+def compare(left: DataFrame, right: DataFrame, shape: str | None = None) -> DataFrame:
+    """``name, verdict, max_diff`` of each tensor of ``left (name, data)`` against ``right``.
+
+    Shapes are those of the column ``shape``; without one, the numbers of values.
+    """
+    other = right.select("name", F.col("data").alias("other"), *([F.col(shape).alias("other_shape")] if shape else []))
     diff = F.array_max(F.zip_with("data", "other", lambda a, b: F.abs(a - b)))
-    same = F.size("data") == F.size("other")
+    same = F.col(shape) == F.col("other_shape") if shape else F.size("data") == F.size("other")
     return left.join(other, "name", "left").select(
         "name",
-        F.when(F.col("other").isNull(), "missing").when(~same, "shape").when(diff == 0, "equal").otherwise("different").alias("verdict"),
+        F.when(F.col("other").isNull(), "missing").when(~same, "shape").when(F.col("data") == F.col("other"), "equal").otherwise("different").alias("verdict"),
         F.when(same, diff).alias("max_diff"),
     )
 

@@ -80,7 +80,7 @@ def nearest_code_arrow(rows: DataFrame, codebook: DataFrame, vec: str = "v", mos
     def work(batches):
         for pdf in batches:
             if len(pdf):
-                d = np.round(2 - 2 * np.stack(pdf[vec].to_numpy()) @ table.T, 9)
+                d = np.round(2 - 2 * np.stack(pdf[vec].to_numpy()) @ table.T, 9) + 0.0
                 best = d.argmin(1)
                 yield pdf.assign(code=codes[best], dist=d[np.arange(len(pdf)), best])
             else:

@@ -137,7 +137,7 @@ def x7(spark, sf_dir):
 
 @entry("f4_seeded_draws", None)
 def f4_draws(spark, sf_dir):
-    """Seeded uniform and normal draws (F4, B6, S11, L1 sampling, G1, G4, G6): checked by property, not by SQL."""
+    """Time steps from Spark's own seeded generators (F4): checked by property, not by SQL. Draws that SQL can check are in ``functions.draws``."""
     n = spark.range(0, 10_000, 1, 8).select("id", F.rand(7).alias("u"), F.randn(11).alias("z"))
     return n.select("id", "u", "z", S.logit_normal(F.col("z")).alias("t"), (F.col("u") < 0.5).alias("flip"),
                     F.floor(F.col("u") * (320 - 256 + 1)).alias("crop_x"))
