@@ -47,6 +47,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("removed_spans").cast("long").alias("n_removed"),
+        F.size(F.filter("removed_spans", lambda s: s["kind"] == "line")).cast("long").alias("n_line_spans"),
         F.expr("aggregate(removed_spans, 0L, (n, s) -> n + s.end - s.start)").alias("removed_chars"),
         F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

@@ -1,15 +1,19 @@
-"""Substring deduplication by hashing lines, and parts of long lines.
-
-A *unit* is a whole line, or a part of one. Lines are cut into parts where the
-words say so: before a word whose hash is the smallest within ``REACH`` words on
-both sides, whatever line these are on. The cuts move with the text, so a
-passage inside another line has the same parts as on a line of its own, but for
-its first and last. Units are normalised (A-Z in lower case, white space between words as one
-space), digests are grouped over all documents, and the earliest unit by
-document and position is kept. The others are duplicates. A line that is one is
-removed from ``MIN_CHARS`` characters on; where parts that are duplicates, or
-stand in such lines, follow each other and have ``MIN_WORDS`` words or more
-together, their range of the original text is removed.
+"""Substring deduplication by hashing lines, and as an addition parts of lines.
+
+The units are lines, normalised (A-Z in lower case, white space between words as
+one space). Their digests are grouped over all documents, and the earliest line
+by document and position is kept. The others are duplicates: from ``MIN_CHARS``
+characters on, their range of the original text is removed (spans of the kind
+``line``).
+
+Passages that stand inside other lines have no line of their own. For these,
+lines are also cut into parts where the words say so: before a word whose hash
+is the smallest within ``REACH`` words on both sides, whatever line these are
+on. The cuts move with the text, so a passage has the same parts wherever it
+stands, but for its first and last. Parts are grouped like lines, and where
+repeated parts, or parts in removed lines, follow each other and have
+``MIN_WORDS`` words or more together, those that no removed line has are removed
+as well (spans of the kind ``part``).
 
 Passages of over 50 words that repeat are found wherever they stand: at most
 ``2 * REACH`` words at either end can fall into units that differ.
@@ -146,10 +150,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated passages removed and ``removed_spans`` added.
 
-    ``removed_spans`` is ``array<(start, end)>`` in code points of the original
-    text, in order. Null texts stay null. Rows that repeat an id with another
-    text are told apart by their text; rows that repeat id and text are one
-    document and stay or go alike. A column named ``removed_spans`` is replaced.
+    ``removed_spans`` is ``array<(start, end, kind)>`` in code points of the
+    original text, in order; units that follow each other are one span. Null
+    texts stay null, and texts of any length are read whole. Of equal units the
+    one with the smallest id is kept, then the first in its text; a null id
+    counts as the largest. Rows that repeat an id with another text are told
+    apart by their text; rows that repeat id and text are one document and stay
+    or go alike. A column named ``removed_spans`` is replaced; all others are
+    kept, whatever their names. An empty table gives an empty result.
 
     The units are cut again where the spans are made: their places need not
     travel with their digests.
@@ -161,7 +169,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = docs.withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit("")))).join(
         units_of, F.col(id_col).eqNullSafe(F.col(at)) & (F.col(own) == F.col(key)), "left"
     ).drop(at, own, key)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def work(batches):
         for rows, data, offsets in blocks(batches, text_col):
@@ -177,21 +185,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             stays = ~in_line
             for i, j in zip(*repeated_runs(fresh & stays, text, n, min_words), strict=True):
                 stays[i : j + 1] = False
-            first, last = repeated_runs(stays, text, n, 0)
+            kind = np.where(in_line, 1, np.where(stays, 0, 2))
+            runs = sorted((i, j, name) for k, name in ((1, "line"), (2, "part")) for i, j in zip(*repeated_runs(kind != k, text, n, 0), strict=True))
             column = rows.column(rows.schema.get_field_index(text_col))
             texts = column.to_pylist()
             removed: list[list] = [[] for _ in texts]
             parts: dict[int, list] = {}
-            for i, start, end in zip(text[first].tolist(), a[first].tolist(), b[last].tolist(), strict=True):
+            for first, last, name in runs:
+                i, start, end = int(text[first]), int(a[first]), int(b[last])
                 own = parts.setdefault(i, [int(offsets[i]), 0])  # the byte and the code point reached, then what stays
                 before, gone = data[own[0] : start].tobytes().decode(), data[start:end].tobytes().decode()
                 own.append(before)
-                removed[i].append({"start": own[1] + len(before), "end": own[1] + len(before) + len(gone)})
+                removed[i].append({"start": own[1] + len(before), "end": own[1] + len(before) + len(gone), "kind": name})
                 own[:2] = end, own[1] + len(before) + len(gone)
             for i, (end, _, *stay) in parts.items():
                 texts[i] = "".join([*stay, data[end : offsets[i + 1]].tobytes().decode()])
             columns = [pa.array(texts, pa.string()) if c == text_col else rows.column(rows.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, span)], [*names, "removed_spans"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", removed_spans array<struct<start:long,end:long>>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", removed_spans array<struct<start:long,end:long,kind:string>>"
     return map_arrow(held, work, schema)
