@@ -211,3 +211,48 @@ def test_pipeline_stages(spark, sf):
 def test_run_counts(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.where(F.col("length") > 4096).count() == 0 and rows.count() > 0
+
+
+def test_thresholds_are_calibrated_by_language():
+    """A language whose scores run higher gets a higher threshold; one with too few rows gets none."""
+    g = np.random.default_rng(4)
+    m = toxicity.Model()
+    labels = np.array([0, 1] * 60 + [0, 1] * 60 + [0, 1] * 3)
+    lang = ["en"] * 120 + ["de"] * 120 + ["fr"] * 6
+    z = np.where(labels == 1, 2.0, -2.0) + g.normal(0, 0.3, len(labels)) + np.array([0.0] * 120 + [3.0] * 120 + [0.0] * 6)
+    m.calibrate(z, labels, np.ones(len(z)), lang)
+    assert set(m.thresholds) == {"en", "de"} and m.thresholds["de"] > m.thresholds["en"]
+
+
+def test_the_field_finds_what_the_patterns_do_not(spark):
+    """Key words, separators and formats that neither the patterns nor the training variants have; and no span in clean texts."""
+    import random
+
+    r = random.Random(12)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "ra", "te") for b in ("den", "fir", "gor", "lmi", "nip", "stu")]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = [(i, f"{prose(20)} token = \"{r.randrange(16**40):040x}\" {prose(20)}" if i % 3 == 0 else f"{prose(30)} {r.randrange(10**6)} {prose(10)}, a.{i}@mail.example.com") for i in range(300)]
+    forms = (("passwort=", ""), ('"access-key": "', '"'), ("export GH=ghp_", ""), ("passphrase: ", ""), ("client_key = ", ""))
+    planted = []
+    for k, (before, after) in enumerate(forms * 8):
+        value = "".join(r.choices(alnum, k=32))
+        head = f"{prose(20)} {before}"
+        planted.append((1000 + k, f"{head}{value}{after} {prose(20)}", len(head), 32))
+    docs = spark.createDataFrame(rows + [(i, t) for i, t, *_ in planted], "doc_id long, text string")
+    field = secrets.train(docs.where("doc_id < 1000"))
+    found = {x["doc_id"]: x for x in secrets.scan(docs, field).collect()}
+    hits = 0
+    for i, text, at, n in planted:
+        assert not plain_spans(text)
+        covered = {p for s in found[i]["secrets"] if s["kind"] == "crf" for p in range(s["start"], s["end"])}
+        hits += len(covered & set(range(at, at + n))) >= 0.9 * n
+    assert hits >= 0.85 * len(planted)
+    assert sum(bool(found[i]["secrets"]) for i, _ in rows if i % 3) <= 2
+    assert "[SECRET]" in secrets.scan(docs.where("doc_id = 1000"), field, mark="[SECRET]").first()["text"]
+
+
+def test_the_part_of_a_secret_beyond_the_pattern_is_added():
+    assert secrets.outside((5, 20), [(0, 10)]) == [(10, 20)]
+    assert secrets.outside((5, 20), [(8, 10), (12, 30)]) == [(5, 8), (10, 12)]
+    assert secrets.outside((5, 20), [(0, 40)]) == []
