@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import blank, blocks, distinct, give_back, map_arrow
+from .columns import looked_up
 from .components import components
 from .storage import discard, materialize
 
@@ -263,15 +264,17 @@ def _head_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     A list has a head for each span of sizes: sets are paired with that of their
     own and of the next smaller ones.
     """
-    span = f"cast(floor(ln(n) / ln({den / num!r})) as int)"
-    lists = lists.withColumn("span", F.expr(span))
+    lists = lists.withColumn("span", F.expr(f"cast(floor(ln(n) / ln({den / num!r})) as int)"))
+    total = lists.count()
     k = lists.groupBy("key", "span").agg(F.count(F.lit(1)).alias("k"))
-    weight = lists.join(k, ["key", "span"]).groupBy("id").agg(F.sum("k").alias("weight"))
+    weight = looked_up(lists, k, ["key", "span"], ["k"], "k", total, "id").groupBy("id").agg(F.sum("found.k").alias("weight"))
     heads = lists.join(weight, "id").groupBy("key", "span").agg(F.max(F.struct("weight", "id", "n", "pos")).alias("top"))
-    heads = heads.select("key", "span", F.col("top.id").alias("id"), F.col("top.n").alias("n"), F.col("top.pos").alias("pos"))
-    near = heads.select("key", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("span"), "id", "n", "pos").alias("h")
-    pairs = lists.alias("x").join(near, ["key", "span"]).where(f"x.id <> h.id and {_may_link('x', 'h', num, den)}")
-    return pairs.select(F.col("x.id").alias("a"), F.col("h.id").alias("b")).distinct()
+    asked = lists.withColumn("span", F.explode(F.array(F.col("span"), F.col("span") - 1)))
+    asks = asked.groupBy("key", "span").agg(F.count(F.lit(1)).alias("asks"))
+    heads = materialize(heads.join(asks, ["key", "span"]).select("key", "span", "asks", "top.id", "top.n", "top.pos"), "jaccard-heads")
+    pairs = looked_up(asked, heads, ["key", "span"], ["id", "n", "pos"], "asks", 2 * total, "id").alias("x")
+    pairs = pairs.where(f"x.found is not null and x.id <> found.id and {_may_link('x', 'found', num, den)}")
+    return pairs.select(F.col("x.id").alias("a"), F.col("found.id").alias("b")).distinct()
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:

@@ -78,8 +78,8 @@ _UPPER[65:91] = 1
 _LOWER_[97:123] = 1
 _DIGIT[48:58] = 1
 _HEXLETTER[97:103] = 1
-_KEYWORDS = (b"passw", b"passphrase", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_NEAR_KEYWORDS = (b"key", b"pwd", b"auth", b"cred", b"private", b"bearer", b"sig")
+_KEYWORDS = "(?i)passw|passphrase|passwd|secret|token|apikey|api_key"
+_NEAR_KEYWORDS = "(?i)key|pwd|auth|cred|private|bearer|sig"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray):
@@ -133,16 +133,19 @@ def features(values: list[bytes]) -> np.ndarray:
     out[:, 25] = word & (turns >= 6)
     out[:, 26] = word & (upper >= 2) & (lower >= 2) & (turns >= 4)
     out[:, 27] = word & (4 * digit >= length) & (length >= 8)
-    for i in np.flatnonzero(~word).tolist():
-        v = values[i]
-        out[i, 19] = b"=" in v or b":" in v
-        out[i, 20] = b'"' in v or b"'" in v
-    for i in np.flatnonzero(word & (lower + upper >= 3) & (length <= 40)).tolist():
-        v = values[i].lower()
-        if any(k in v for k in _KEYWORDS):
-            out[i, 21] = 1
-        elif any(k in v for k in _NEAR_KEYWORDS):
-            out[i, 22] = 1
+    held = pa.array(values, pa.binary())
+
+    def having(some: np.ndarray, pattern: str) -> np.ndarray:
+        """Those of the values ``some`` that have the pattern."""
+        return some[pc.match_substring_regex(held.take(pa.array(some)), pattern).to_numpy(zero_copy_only=False)] if len(some) else some
+
+    signs = np.flatnonzero(~word)
+    out[having(signs, "[=:]"), 19] = 1
+    out[having(signs, "[\"']"), 20] = 1
+    lettered = np.flatnonzero(word & (lower + upper >= 3) & (length <= 40))
+    out[having(lettered, _KEYWORDS), 21] = 1
+    out[having(lettered, _NEAR_KEYWORDS), 22] = 1
+    out[:, 22] &= ~out[:, 21] & 1
     out[:, 23] = word & (digit == 0) & (upper > 0) & (lower == 0) & (length >= 3)
     plain = np.flatnonzero(word & (digit == 0) & (length <= 12))
     bucket = np.fromiter((xxhash.xxh3_64_intdigest(values[i].lower()) % WORD_BUCKETS for i in plain.tolist()), np.int64, len(plain))
@@ -246,20 +249,30 @@ class Field:
             pairs += (p * real[:, t, None, None]).sum(0)
         return marginal, pairs
 
-    def viterbi(self, score: np.ndarray, left: bool, right: bool) -> np.ndarray:
-        """The best tags of one island; ``left`` and ``right`` tell whether an O stands beside it."""
-        n = len(score)
-        best = score[0] + (self.move[O] if left else 0)
-        back = np.zeros((n, 3), np.int64)
-        for t in range(1, n):
-            total = best[:, None] + self.move
-            back[t] = total.argmax(0)
-            best = total.max(0) + score[t]
-        tag = int((best + (self.move[:, O] if right else 0)).argmax())
-        tags = np.empty(n, np.int64)
-        for t in range(n - 1, -1, -1):
-            tags[t] = tag
-            tag = back[t, tag]
+    def viterbi(self, score: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The best tags of all islands, side by side.
+
+        ``begin`` are the islands' first rows of ``score``; ``left`` and ``right`` tell
+        whether an O stands beside each.
+        """
+        n = np.diff(np.append(begin, len(score)))
+        order = np.argsort(-n, kind="stable")  # those that go on are always the first ones
+        begin, n, left, right = begin[order], n[order], left[order], right[order]
+        best = score[begin] + np.where(left[:, None], self.move[O], 0)
+        back = np.zeros((len(score), 3), np.int8)
+        going = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), "right")  # islands longer than t
+        for t in range(1, int(n[0])):
+            k = going[t]
+            total = best[:k, :, None] + self.move
+            back[begin[:k] + t] = total.argmax(1)
+            best[:k] = total.max(1) + score[begin[:k] + t]
+        tags = np.zeros(len(score), np.int64)
+        tag = (best + np.where(right[:, None], self.move[:, O], 0)).argmax(1)
+        for t in range(int(n[0]) - 1, -1, -1):
+            k = going[t]
+            at = begin[:k] + t
+            tags[at] = tag[:k]
+            tag[:k] = back[at, tag[:k]]
         return tags
 
     def tags(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -269,19 +282,46 @@ class Field:
             self._paths(tags, np.arange(len(score)), score, first)
         return tags
 
-    def _slack(self) -> float:
-        return 2 * float(self.move.max() - self.move.min())
+    def _gains(self) -> tuple[float, float]:
+        """How far a token may trail O and still be tagged otherwise, and how far if no other token helps.
+
+        Other tags than O at one place change the transitions on both sides, and
+        gain at most the first number there. A run of other tags gains at most
+        the second for each of its tokens, unless its ends gain by themselves:
+        then the second is no bound, and the first is given twice.
+        """
+        m, other = self.move, self.move[1:]
+        one = max((m[:, y] - m[:, O]).max() + (m[y] - m[O]).max() for y in (B, I))
+        run = float((other[:, 1:] - m[O, O]).max())
+        ends = max(0.0, float((m[O, 1:] - m[O, O]).max())) + max(0.0, float((other[:, O] - m[O, O]).max()))
+        return float(one), run if ends <= run else max(float(one), run)
+
+    @staticmethod
+    def _islands(at: np.ndarray, seed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the tokens ``at``, which stand in runs within a text that have a seed; and the places in these where runs begin."""
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return np.zeros(0, bool), none
+        of = np.searchsorted(first, at, "right")
+        begin = np.append(0, np.flatnonzero((np.diff(at) > 1) | (np.diff(of) > 0)) + 1)
+        n = np.diff(np.append(begin, len(at)))
+        good = np.maximum.reduceat(seed, begin)
+        size = n[good]
+        return np.repeat(good, n), (np.cumsum(size) - size if len(size) else none)
 
     def _paths(self, tags: np.ndarray, at: np.ndarray, score: np.ndarray, first: np.ndarray) -> None:
         """Put the best tags of the tokens ``at``, with their scores, into ``tags``; all others are outside."""
-        open_ = np.flatnonzero(score[:, O] - score[:, 1:].max(1) <= self._slack())
-        at, score = at[open_], score[open_]
+        one, run = self._gains()
+        lead = score[:, 1:].max(1) - score[:, O]
+        open_ = lead >= -one
+        at, score, lead = at[open_], score[open_], lead[open_]
+        kept, begin = self._islands(at, lead >= -run, first)
+        at, score = at[kept], score[kept]
         if not len(at):
             return
-        of = np.searchsorted(first, at, "right") - 1
-        cut = np.append(0, np.flatnonzero((np.diff(at) > 1) | (np.diff(of) > 0)) + 1)
-        for a, b, text in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), of[cut].tolist(), strict=True):
-            tags[at[a:b]] = self.viterbi(score[a:b], at[a] > first[text], at[b - 1] + 1 < first[text + 1])
+        text = np.searchsorted(first, at[begin], "right") - 1
+        end = np.append(begin[1:], len(at)) - 1
+        tags[at] = self.viterbi(score, begin, at[begin] > first[text], at[end] + 1 < first[text + 1])
 
     def value_scores(self, values: list[bytes]) -> np.ndarray:
         """For each token value, three scores as the token itself, as the one before, after, two and three before."""
@@ -298,8 +338,8 @@ class Field:
         table = np.frombuffer(b"".join(scores(values)), np.float32).reshape(-1, 5, 3)
         table = np.concatenate([table, np.zeros((1, 5, 3), np.float32)])
         lead = np.ascontiguousarray((table[:, :, 1:].max(2) - table[:, :, O]).T)
-        _, _, _, _, _, touch, text, bias = self.parts()
-        touching = np.stack([np.zeros(3), touch[0], touch[1], touch[0] + touch[1]])
+        _, _, _, _, _, side, text, bias = self.parts()
+        touching = np.stack([np.zeros(3), side[0], side[1], side[0] + side[1]])
         whole = file_features(data, offsets) @ text + bias
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         place = np.arange(len(index)) + GAP * (1 + of)
@@ -307,12 +347,15 @@ class Field:
         spread[place] = index
         near = ((0, 0), (-1, 1), (1, 2), (-2, 3), (-3, 4))  # where the neighbour stands, and its part of the table
         bound = lambda x: x[..., 1:].max(-1) - x[..., O]
-        most = bound(touching)[glued_in(starts, ends, first)] + bound(whole)[of] + self._slack()
+        touch = glued_in(starts, ends, first)
+        most = (bound(touching)[touch] + bound(whole)[of]).astype(np.float32)
         for step, part in near:
             most += lead[part][spread[place + step]]
-        at = np.flatnonzero(most >= -1e-3)
+        one, run = self._gains()
+        at = np.flatnonzero(most >= -one - 1e-2)
+        at = at[self._islands(at, most[at] >= -run - 1e-2, first)[0]]
         if len(at):
-            score = touching[glued_in(starts, ends, first)[at]] + whole[of[at]]
+            score = touching[touch[at]] + whole[of[at]]
             for step, part in near:
                 score += table[spread[place[at] + step], part]
             self._paths(tags, at, score, first)
@@ -488,7 +531,7 @@ def scan(docs: DataFrame, field: Field, text_col: str = "text", mark: str | None
     rank = {k: i for i, k in enumerate((*KINDS, "crf"))}
 
     def work(batches):
-        scores = Memo(lambda values: [x.tobytes() for x in field.value_scores(values)])
+        scores = Memo(lambda values: [x.tobytes() for x in field.value_scores(values)], 32_000_000)
         for rows, data, offsets in blocks(batches, text_col):
             column = rows.column(rows.schema.get_field_index(text_col))
             hint = pc.fill_null(pc.match_substring_regex(column, _HINT), False).to_numpy(zero_copy_only=False)
