@@ -133,7 +133,7 @@ class Memo:
     #: Bytes that a key and its value take in the dictionary beside their own, about.
     ENTRY = 160
 
-    def __init__(self, compute: Callable[[list[bytes]], list[bytes]], most: int = 16_000_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list[bytes]], list[bytes]], most: int = 40_000_000, longest: int = 64):
         self.compute, self.most, self.longest = compute, most, longest
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}

@@ -40,7 +40,7 @@ CAPACITY = 4096
 FILL_NODES = 500
 SEARCH_NODES = 300_000
 #: Ranks of one length that are joined with the patterns in one group.
-RANK_BLOCK = 1 << 16
+RANK_BLOCK = 1 << 10
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, times), ...), repeats
 
@@ -257,21 +257,21 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[Patter
     return solve(counts, capacity).patterns
 
 
-def placements(patterns: list[Pattern], block: int = RANK_BLOCK) -> np.ndarray:
-    """Rows ``(length, block, first rank, times, first sequence, offset)`` by length and rank.
+def placements(patterns: list[Pattern]) -> np.ndarray:
+    """Rows ``(length, first rank, rank after the last, times, first sequence, offset)`` by length and rank.
 
-    The piece with rank r of its length stands, by the last row of its length
-    and block whose first rank is at most r, in sequence ``first + (r - rank) //
-    times`` at ``offset + (r - rank) % times * length``. A row that reaches into
-    further blocks is repeated there.
+    The piece with rank r of its length stands, by the row whose ranks it is
+    among, in sequence ``sequence + (r - first) // times`` at ``offset + (r -
+    first) % times * length``. There are as many rows as the patterns have
+    lengths, however often these are used.
     """
     rows, used, sequence = [], Counter(), 0
     for contents, n in patterns:
         offset = 0
         for length, times in contents:
-            first, end = used[length], used[length] + times * n
-            rows += [(length, b, first, times, sequence, offset) for b in range(first // block, (end - 1) // block + 1)]
-            used[length] = end
+            first = used[length]
+            used[length] += times * n
+            rows.append((length, first, used[length], times, sequence, offset))
             offset += length * times
         sequence += n
     return np.array(sorted(rows), np.int64).reshape(-1, 6)
@@ -343,7 +343,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     sizes = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     packing = solve(counts, capacity)
-    names = ["length", "block", "first", "times", "sequence", "at"]
+    names = ["length", "first", "end", "times", "sequence", "at"]
     places = placements(packing.patterns)
     places = spark.createDataFrame(pa.table([pa.array(places[:, k]) for k in range(len(names))], names))
 
@@ -354,7 +354,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     ranked = pieces.join(bases, ["part", "length"]).select(
         "length", F.floor(rank / RANK_BLOCK).alias("block"), rank.alias("rank"), F.struct(*held).alias("held")
     )
-    marks = places.select("length", "block", F.col("first").alias("rank"), F.struct("first", "times", "sequence", "at").alias("place"))
+    blocks_of = F.sequence(F.floor(F.col("first") / RANK_BLOCK), F.floor((F.col("end") - 1) / RANK_BLOCK))
+    marks = places.select("length", F.explode(blocks_of).alias("block"), F.col("first").alias("rank"), F.struct("first", "times", "sequence", "at").alias("place"))
     upto = Window.partitionBy("length", "block").orderBy("rank", F.col("held").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = marks.unionByName(ranked, allowMissingColumns=True).withColumn("place", F.last("place", True).over(upto)).where("held is not null")
     more = F.col("rank") - F.col("place.first")
