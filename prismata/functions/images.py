@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +38,47 @@ def pasted(v: Column, height: int, width: int, top: Column, left: Column, side:
     return F.transform(cells, cell)
 
 
+def cubic_taps(size: int, new: int, a: float = -0.75) -> tuple[list[list[int]], list[list[float]]]:
+    """For each place of the new size, the four places it is made of, cut to the old size, and their weights.
+
+    Cubic convolution with parameter ``a``, about pixel centres, without
+    smoothing where the image shrinks.
+    """
+    def weight(d: float) -> float:
+        if d <= 1:
+            return ((a + 2) * d - (a + 3)) * d * d + 1
+        return (((d - 5) * d + 8) * d - 4) * a if d < 2 else 0.0
+
+    at = [(k + 0.5) * size / new - 0.5 for k in range(new)]
+    low = [math.floor(x) - 1 for x in at]
+    return ([[min(size - 1, max(0, b + i)) for i in range(4)] for b in low], [[weight(abs(x - b - i)) for i in range(4)] for x, b in zip(at, low, strict=True)])
+
+
+def resized(v: Column, height: int, width: int, new_height: int, new_width: int, channels: int = 1) -> Column:
+    """The image at another size, by cubic interpolation of rows, then of columns."""
+    def along(v: Column, taps, count: int, place, source) -> Column:
+        """``count`` values, each of four of ``v``; ``place`` and ``source`` say which taps, and where these are."""
+        places, weights = (F.array(*[F.array(*map(F.lit, t)) for t in side]) for side in taps)
+
+        def value(k: Column) -> Column:
+            four = F.sequence(F.lit(0), F.lit(3))
+            return F.aggregate(four, F.lit(0.0), lambda s, i: s + F.get(F.get(weights, place(k)), i) * F.get(v, source(k, F.get(F.get(places, place(k)), i))))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), value)
+
+    row, new_row = width * channels, new_width * channels
+    tall = along(v, cubic_taps(height, new_height), new_height * row, lambda k: F.floor(k / row).cast("int"), lambda k, y: (y * row + k % row).cast("int"))
+    wide = lambda t: along(t, cubic_taps(width, new_width), new_height * new_row, lambda k: F.floor(k % new_row / channels).cast("int"),
+                           lambda k, x: (F.floor(k / new_row) * row + x * channels + k % channels).cast("int"))
+    return F.get(F.transform(F.array(tall), wide), 0)
+
+
+def resized_positions(v: Column, kept: int, grid: int, new: int, planes: int) -> Column:
+    """Position embeddings of ``kept`` class tokens and a square grid: the former as they are, the grid at another size."""
+    head = kept * planes
+    return F.concat(F.slice(v, 1, head), resized(F.slice(v, head + 1, grid * grid * planes), grid, grid, new, new, planes))
+
+
 def to_byte_wrapped(x: Column) -> Column:
     """Cut off to a whole number and wrapped to 0..255, as a cast to an unsigned byte does."""
     return F.pmod(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)), F.lit(256)).cast("int")

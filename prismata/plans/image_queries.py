@@ -254,6 +254,29 @@ def s11(spark, sf_dir):
     return n.select("id", "refs", F.concat(F.lit("change the style "), F.col("id").cast("string")).alias("text"), z(F.lit(0), F.lit(11)).alias("target"), z(F.lit(12), last).alias("sources"))
 
 
+_CUBIC = "CASE WHEN {d} <= 1 THEN 1.25 * {d} ** 3 - 2.25 * {d} ** 2 + 1 WHEN {d} < 2 THEN -0.75 * {d} ** 3 + 3.75 * {d} ** 2 - 6 * {d} + 3 ELSE 0 END"
+
+
+def _cubic_sql(source, size, new, channels, first):
+    """Cubic interpolation in SQL of a square grid in the vectors of ``source``, whose values begin after ``first``."""
+    d = [f"abs({c} - floor({c}) + 1 - {k})" for c, k in (("sy", "i"), ("sx", "j"))]
+    return f"""o AS (SELECT vec_id, v, y, x, c, (y + 0.5::DOUBLE) * {size} / {new} - 0.5 AS sy, (x + 0.5::DOUBLE) * {size} / {new} - 0.5 AS sx FROM {source}, (SELECT unnest(range({new})) AS y), (SELECT unnest(range({new})) AS x), (SELECT unnest(range({channels})) AS c)),
+q AS (SELECT vec_id, y, x, c, {_CUBIC.format(d=d[0])} AS wy, {_CUBIC.format(d=d[1])} AS wx, v[((least({size - 1}, greatest(0, floor(sy) - 1 + i)) * {size} + least({size - 1}, greatest(0, floor(sx) - 1 + j))) * {channels} + c)::INT + 1 + {first}] AS p
+FROM o, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)), g AS (SELECT vec_id, y, x, c, round(sum(wy * wx * p), 6) + 0.0 AS p FROM q GROUP BY ALL), r AS (SELECT vec_id, list(p ORDER BY y, x, c) AS grid FROM g GROUP BY vec_id)"""
+
+
+@entry("g14_resized", E + ", " + _cubic_sql("e", 8, 12, 1, 0) + " SELECT vec_id, grid AS v FROM r")
+def g14(spark, sf_dir):
+    """Each 8 x 8 image at 12 x 12, by cubic interpolation."""
+    return rows(spark, sf_dir).select("vec_id", F.transform(I.resized(F.col("v"), 8, 8, 12, 12), r6).alias("v"))
+
+
+@entry("g15_resized_positions", E + ", " + _cubic_sql("e", 3, 5, 4, 28) + " SELECT vec_id, list_concat(list_transform(v[1:28], lambda x: round(x, 6) + 0.0), grid) AS v FROM r JOIN e USING (vec_id)")
+def g15(spark, sf_dir):
+    """Position embeddings of seven class tokens and a 3 x 3 grid of four planes, for a 5 x 5 grid."""
+    return rows(spark, sf_dir).select("vec_id", F.transform(I.resized_positions(F.col("v"), 7, 3, 5, 4), r6).alias("v"))
+
+
 # ---- similarity, losses, batches
 
 _AB = E + """, p AS (SELECT vec_id, list_transform(v, lambda x: greatest(0.0, least(1.0, x * 0.5 + 0.5))) AS a FROM e), q AS (SELECT vec_id, a, list_reverse(a) AS b FROM p),

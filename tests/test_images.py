@@ -83,3 +83,11 @@ def test_checkpoints_of_runs(spark):
     got = checkpoints.checkpoint_files(spark.createDataFrame(rows, "run string, epoch int, loss double"), "run", "epoch", "loss", 2)
     assert {tuple(r) for r in got.collect()} == {
         ("a", "epoch_2_model.pth", 2), ("a", "epoch_3_model.pth", 3), ("a", "total_loss1.000.pth", 2), ("a", "latest.pth", 3), ("b", "epoch_2_model.pth", 2), ("b", "latest.pth", 2)}
+
+
+def test_resizing_keeps_an_image_of_the_same_size_and_a_flat_one(spark):
+    v = F.array(*[F.lit(float(k * k)) for k in range(24)])
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(I.resized(v, 3, 4, 3, 4, 2)) == pytest.approx([float(k * k) for k in range(24)])
+    assert one(I.resized(F.array_repeat(F.lit(2.5), 12), 3, 4, 7, 5)) == pytest.approx([2.5] * 35)
+    assert len(one(I.resized_positions(v, 2, 2, 3, 4))) == 8 + 36
