@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Memo, blocks, distinct, map_arrow
+from .arrowtext import Memo, blocks, distinct, give_back, map_arrow
+from .storage import discard, materialize
 
 #: The patterns of the base spans, in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -492,6 +493,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), text.rlike(_HINT).alias("hit")).where("doc_id is not null")
+    rows = materialize(rows, "secret-hits")  # the texts are searched once
     picked = [rows.where(cond).select("doc_id", "hash").distinct().orderBy("hash", "doc_id").limit(sample_docs) for cond in ("hit", "not hit")]
     chosen = picked[0].unionByName(picked[1])  # 2 * sample_docs rows at most
     held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(chosen), ["doc_id", "hash"], "left_semi")
@@ -505,9 +507,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
             )
 
     windows = map_arrow(held.select("text"), work, "k long, hits long, w binary").orderBy("k", "w").limit(sample_windows).toArrow().to_pylist()
+    discard(rows)
     field = Field()
     if any(r["hits"] for r in windows):
         field.fit([pickle.loads(r["w"]) for r in windows])
+    give_back()
     return field
 
 
