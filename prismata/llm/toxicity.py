@@ -31,7 +31,7 @@ DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 PAD = max(WIDTHS) - 1
 STEPS, BATCH, RATE, DECAY = 3000, 32, 0.1, 1e-5
 #: Of so many rows of the sample one is kept back.
-KEPT_BACK = 6
+KEPT_BACK = 8
 #: Rows of a language that a threshold of its own takes at least, of each class, among those kept back.
 LANGUAGE_ROWS = 8
 
