@@ -34,7 +34,7 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], values: list[s
     on = lambda name: [F.col(f"_r.{k}").eqNullSafe(F.col(f"{name}.{k}")) for k in keys]
     some = rows.alias("_r").join(F.broadcast(hot).alias("_h"), on("_h"), "left").select("_r.*", "_h._hot")
     # the last key says whether a row still looks for its value
-    cold = table.select(*keys, F.lit(0).alias("_open"), F.struct(*values).alias("_cold"))
-    some = some.withColumn("_open", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(spread).cast("int").bitwiseOR(F.lit(1))))
+    cold = table.select(*keys, F.lit(0).cast("long").alias("_open"), F.struct(*values).alias("_cold"))
+    some = some.withColumn("_open", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))))
     full = some.alias("_r").join(cold.alias("_c"), [*on("_c"), F.col("_r._open") == F.col("_c._open")], "left")
     return full.select("_r.*", "_c._cold").withColumn("found", F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_open")

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from prismata.llm import entries, media, packing
+from prismata.llm import columns, entries, media, packing
 
 from .test_models import plain_spans
 from .test_near_copies import brute_roots
@@ -184,6 +184,16 @@ def test_stages_of_the_pipeline(spark, which, request):
         docs = out
 
 
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_token_counts", "op9_ngram_jaccard"])
+def test_hot_keys_give_the_same_result(spark, edge_dir, sf, name, monkeypatch):
+    """With every key that two rows have looked up by broadcast."""
+    for d in (edge_dir, sf):
+        cold = Counter(map(tuple, run(spark, name, d)))
+        with monkeypatch.context() as m:
+            m.setattr(columns, "HOT_ROWS", 2)
+            assert Counter(map(tuple, run(spark, name, d))) == cold
+
+
 def test_packing_search_cases():
     for counts, least in (({1366: 10, 1: 1500}, 5), ({2049: 20, 1: 3000}, 20), ({3: 13_650_000}, 10_000), ({1365: 10, 1: 1500}, 4), ({7: 10**6, 11: 10**6, 1: 10**6}, None), ({}, 0)):
         found = packing.solve(counts)
