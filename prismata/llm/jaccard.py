@@ -381,12 +381,14 @@ def _cross_pairs(lists: DataFrame, roots: DataFrame, answers: DataFrame, classes
     ``left_out`` is then above 0 where there were others.
     """
     rooted = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    rows = rooted.join(open_.select("key", "k"), "key")
-    # a block: positions of one power of two, one of 16 groups of roots, and as many groups of sets as the list's size asks for
-    place = F.floor(F.log2(F.col("pos") + 1)) * 16 + F.pmod(F.xxhash64("root"), F.lit(16))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.max("pos").alias("last")).where("lo <> hi")
+    rows = rooted.join(open_.select("key", "k", "last"), "key")
+    # a list of up to BLOCK sets is one block; a longer one is cut by component, and beyond 16 such groups by position and set
     parts = F.ceil(F.col("k") / BLOCK)
-    rows = rows.withColumn("block", (place * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts)).cast("long")).drop("k")
+    groups = F.least(parts, F.lit(16))
+    more = F.ceil(F.sqrt(parts / groups))
+    place = F.pmod(F.xxhash64("root"), groups) * more + F.floor(F.col("pos") * more / (F.col("last") + 1))
+    rows = rows.withColumn("block", (place * more + F.pmod(F.xxhash64("id"), more)).cast("long")).drop("k", "last")
     edge = rows.groupBy("key", "block").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     x, y = edge.alias("x"), edge.alias("y")
     linked = x.join(y, "key").where(
