@@ -10,8 +10,9 @@ both (their prefixes). A list of the index holds the sets with one shingle in
 their prefix, each with the shingle's position and its size. If a shingle is the
 first that two sets share, all shingles before it are differences: sets whose
 positions add up to more differences than a link allows need not be looked at.
-Lists are cut in blocks by position, and a block skips all blocks beyond the
-positions and sizes that it can link with. Block pairs are also what long lists
+Lists of more than ``BLOCK`` sets are cut in blocks by component, position and
+set, and a block skips all blocks beyond the positions and sizes that it can
+link with, and those of its own component. Block pairs are also what long lists
 are dealt out by.
 
 *Answers from answers.* Of each list, the set with the most companions in all
