@@ -22,6 +22,7 @@ are scored in full.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 
@@ -48,8 +49,8 @@ _HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9
 
 #: Bounds of the training sample: documents with a base span and without one, and windows, each drawn by hash.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 4000
-#: Tokens on both sides of a window's centre.
-REACH = 12
+#: Tokens on both sides of a window's centre, and how far back a training window may look for the beginning of its first word.
+REACH, LOOK = 12, 4096
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 WORD_BUCKETS = 32
 SHAPES = 28
@@ -424,19 +425,25 @@ def _made_plain(r: random.Random, words: list[str]) -> str:
     ))()
 
 
+def _word_start(text: str, at: int) -> int:
+    """Where the run of non-blank characters that ends before ``at`` begins, at most ``LOOK`` characters back."""
+    low = max(0, at - LOOK)
+    blank = _A_BLANK.search(text[low:at][::-1])
+    return at - blank.start() if blank else low
+
+
 def _window(text: str, spans: list[tuple[int, int]], centre: int, file: np.ndarray) -> tuple | None:
-    """Features, touch, file features and tags of the tokens about the character ``centre``."""
-    low = max(0, centre - 1500)
-    while low and not text[low].isspace():
-        low -= 1
+    """Features, touch, file features and tags of the tokens about the character ``centre``; ``spans`` are in order."""
+    low = _word_start(text, centre - 1499) if centre > 1500 else 0
     cut = text[low : centre + 1500]
     data = np.frombuffer(cut.encode(), np.uint8)
     starts, ends, index, values, _ = tokens(data, np.array([0, len(data)]))
     if not len(starts):
         return None
     tags = np.zeros(len(starts), np.int64)
-    for a, b in spans:
-        if b <= low or a >= low + len(cut):
+    for k in range(max(0, bisect.bisect_left(spans, (low, 0)) - 1), bisect.bisect_left(spans, (low + len(cut), 0))):
+        a, b = spans[k]
+        if b <= low:
             continue
         a, b = len(cut[: max(0, a - low)].encode()), len(cut[: b - low].encode())
         inside = np.flatnonzero((starts < b) & (ends > a))
@@ -450,34 +457,47 @@ def _window(text: str, spans: list[tuple[int, int]], centre: int, file: np.ndarr
 
 
 def _values(text: str) -> list[tuple[int, int]]:
-    """Where the values of the base spans are: without key word, sign and quote."""
+    """Where the values of the base spans are, in order and without key word, sign and quote."""
     found = [m.span(2) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= _LEAST["assign"]]
-    return found + [(a, b) for a, b, k in base_spans(text) if k != "assign" and not any(x < b and a < y for x, y in found)]
+    own = lambda a, b: (k := bisect.bisect_left(found, (b, 0))) == 0 or found[k - 1][1] <= a
+    return sorted(found + [(a, b) for a, b, k in base_spans(text) if k != "assign" and own(a, b)])
+
 
+def _windows(text: str, most: int = SAMPLE_WINDOWS) -> list[tuple[int, tuple]]:
+    """Training windows of one text, each with a key: its base spans, each also in two variants, or lookalikes and a secret of its own.
+
+    Only the ``most`` of the smallest keys are made; no other could be among the
+    ``most`` smallest of all texts.
+    """
+    digest = xxhash.xxh3_64_intdigest(text.encode())
+    r = random.Random(digest)
+    spans = base_spans(text)
+    words = [x.group() for x in re.finditer(r"[^\W\d_]{2,12}", text)] or ["word"]
+    plans: list[tuple] = [(a, a, None) for a, _, _ in spans]
+    for a, b in [(a, b) for a, b, _ in spans] + [(k, k) for k in (r.randrange(len(text) + 1) for _ in range(2))]:
+        if a == b:
+            a = b = _word_start(text, a)
+        plans += [(a, b, _made_secret(r)), (a, b, (_made_plain(r, words), 0, 0))]
+    odd = [m.start() for m in re.finditer(r"\S+", text) if _ANY_DIGIT.search(text, m.start(), m.end())]
+    plans += [(c, c, None) for c in r.sample(odd, min(len(odd), 2)) + [r.randrange(len(text) + 1)]]
+    keys = sorted((xxhash.xxh3_64_intdigest(digest.to_bytes(8, "little"), k) >> 1, k) for k in range(len(plans)))[:most]
 
-def _windows(text: str) -> list[tuple]:
-    """Training windows of one text: its base spans, each also in two variants, or lookalikes and a secret of its own."""
-    r = random.Random(xxhash.xxh3_64_intdigest(text.encode()))
     data = np.frombuffer(text.encode(), np.uint8)
     file = file_features(data, np.array([0, len(data)]))[0]
     values = _values(text)
-    words = [x.group() for x in re.finditer(r"[^\W\d_]{2,12}", text[:20_000])] or ["word"]
     out = []
-    for a, b, _ in base_spans(text):
-        out.append(_window(text, values, a, file))
-    places = [(a, b) for a, b, _ in base_spans(text)] + [(k, k) for k in (r.randrange(len(text) + 1) for _ in range(2))]
-    for a, b in places:
-        while a and not text[a - 1].isspace() and a == b:
-            a = b = a - 1
-        made, x, y = _made_secret(r)
-        around = text[max(0, a - 1000) : a], text[b : b + 1000]
-        out.append(_window(f"{around[0]}{made} {around[1]}", [(len(around[0]) + x, len(around[0]) + y), *_values(around[0])], len(around[0]), file))
-        plain = _made_plain(r, words)
-        out.append(_window(f"{around[0]}{plain} {around[1]}", _values(around[0]), len(around[0]), file))
-    odd = [m.start() for m in re.finditer(r"\S*\d\S*", text)]
-    for c in r.sample(odd, min(len(odd), 2)) + [r.randrange(len(text) + 1)]:
-        out.append(_window(text, values, c, file))
-    return [w for w in out if w is not None]
+    for key, k in keys:
+        a, b, made = plans[k]
+        if made is None:
+            w = _window(text, values, a, file)
+        else:
+            put, x, y = made
+            before, after = text[max(0, a - 1000) : a], text[b : b + 1000]
+            own = [*_values(before), *([(len(before) + x, len(before) + y)] if y else [])]
+            w = _window(f"{before}{put} {after}", own, len(before), file)
+        if w is not None:
+            out.append((key, w))
+    return out
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS, id_col: str = "doc_id",
@@ -487,7 +507,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
     Those with the smallest hashes are taken; a window has ``2 * REACH`` tokens
     and only their features travel, so the driver's share has a fixed bound.
     Without a base span in any document the field stays untrained and adds no
-    spans.
+    spans. A text costs time in proportion to its length, also one without any
+    blank; null and empty texts count as texts without spans, rows without an id
+    are left out, and of rows equal in id and text each gives its windows. Only
+    ``id_col`` and ``text_col`` are read, whatever other columns there are.
     """
     import pickle
 
@@ -500,22 +523,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
 
     def work(batches):
         for rows in batches:
-            found = [(t, w) for t in rows.column(rows.schema.get_field_index("text")).to_pylist() for w in _windows(t)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_64_intdigest(t.encode(), k) >> 1 for k, (t, _) in enumerate(found)], pa.int64()),
-                 pa.array([len(_HITS.findall(t)) for t, _ in found], pa.int64()), pa.array([pickle.dumps(w) for _, w in found], pa.binary())], ["k", "hits", "w"]
-            )
+            for t in rows.column(rows.schema.get_field_index("text")).to_pylist():
+                found, hit = _windows(t, sample_windows), _HITS.search(t) is not None
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in found], pa.int64()), pa.array([hit] * len(found), pa.bool_()), pa.array([pickle.dumps(w) for _, w in found], pa.binary())], ["k", "hit", "w"]
+                )
 
-    windows = map_arrow(held.select("text"), work, "k long, hits long, w binary").orderBy("k", "w").limit(sample_windows).toArrow().to_pylist()
+    windows = map_arrow(held.select("text"), work, "k long, hit boolean, w binary").orderBy("k", "w").limit(sample_windows).toArrow().to_pylist()
     discard(rows)
     field = Field()
-    if any(r["hits"] for r in windows):
+    if any(r["hit"] for r in windows):
         field.fit([pickle.loads(r["w"]) for r in windows])
     give_back()
     return field
 
 
 _HITS = re.compile(_HINT, re.ASCII)
+_ANY_DIGIT, _A_BLANK = re.compile(r"\d"), re.compile(r"\s")
 
 
 def scan(docs: DataFrame, field: Field, text_col: str = "text", mark: str | None = None) -> DataFrame:

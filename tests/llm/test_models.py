@@ -256,3 +256,13 @@ def test_the_part_of_a_secret_beyond_the_pattern_is_added():
     assert secrets.outside((5, 20), [(0, 10)]) == [(10, 20)]
     assert secrets.outside((5, 20), [(8, 10), (12, 30)]) == [(5, 8), (10, 12)]
     assert secrets.outside((5, 20), [(0, 40)]) == []
+
+
+def test_training_windows_of_long_unbroken_texts_take_no_longer_than_their_length():
+    import time
+
+    for text in ("a" * 1_000_000, "=" * 1_000_000, "1" * 1_000_000, "token" + " " * 1_000_000, 'secret="' + "0f" * 500_000 + '"', "password=hunter22," * 30_000):
+        start = time.perf_counter()
+        found = secrets._windows(text, 100)
+        assert 0 < len(found) <= 100 and time.perf_counter() - start < 20
+        assert {k for k, _ in found} <= {k for k, _ in secrets._windows(text, 200)}  # the smallest keys of all
