@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity
+from . import byte_bpe, exact_dedup, jaccard, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select(
+        "vec_id", F.array_join(F.transform("code", lambda k: F.format_string("%02x", k)), "").alias("code"),
+        "error", "label_error", F.lit(vector_codes.digest(book)).alias("codebooks_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,10 +117,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_secret_scans": op10_secret_scans,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op2_line_dedup": line_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
 }
