@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity, vector_codes
+from . import byte_bpe, divergence, exact_dedup, jaccard, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_secret_scans": op10_secret_scans,
     "op11_vector_codes": op11_vector_codes,
+    "op12_source_divergence": op12_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -125,4 +130,5 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op2_line_dedup": line_dedup.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
