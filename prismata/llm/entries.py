@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, divergence, exact_dedup, jaccard, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity, vector_codes
+from . import byte_bpe, divergence, exact_dedup, jaccard, licenses, line_dedup, media, packing, secrets, substring_dedup, token_counts, toxicity, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
 
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("blocks")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +127,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_vector_codes": op11_vector_codes,
     "op12_source_divergence": op12_source_divergence,
+    "op13_license_scans": op13_license_scans,
     "pipeline": pipeline,
 }
 
@@ -131,4 +136,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op11_vector_codes": vector_codes.SQL,
     "op12_source_divergence": divergence.SQL,
+    "op13_license_scans": licenses.SQL,
 }
