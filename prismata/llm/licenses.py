@@ -156,12 +156,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, float, str]] | None = None,
     for p in phrases:
         said = said | F.contains("line", F.lit(f" {' '.join(words_of(p))} "))
     cut = cut.withColumns({"rare": F.arrays_overlap("split", _strings(sorted({w for t in table for w in t.prefix}))), "said": said})
-    found = [_labelled(places(F.col("words"), p), label) for p, label in phrases.items()]
+    found = [_labelled(places(F.col("all_words"), p), label) for p, label in phrases.items()]
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     held = cut.select(
         "doc_id", F.xxhash64("line").alias("row_key"), (F.size("split") - 2).cast("long").alias("n_words"), "rare", "said",
-        F.when(F.col("rare") | F.col("said"), F.filter("split", lambda w: w != "")).alias("words"))
-    held = held.select("doc_id", "row_key", "n_words", F.when(F.col("rare"), F.col("words")).alias("words"), F.when(F.col("said"), F.concat(none, *found)).otherwise(none).alias("places"))
+        F.when(F.col("rare") | F.col("said"), F.filter("split", lambda w: w != "")).alias("all_words"))
+    held = held.select("doc_id", "row_key", "n_words", F.when(F.col("rare"), F.col("all_words")).alias("words"), F.when(F.col("said"), F.concat(none, *found)).otherwise(none).alias("places"))
     held = materialize(held, "license-words")
 
     hits = meeting(held.where("words is not null"), table, order, ["doc_id", "row_key"], "words")

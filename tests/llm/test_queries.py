@@ -13,4 +13,4 @@ def test_same_as_sql(spark, sf, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in entries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in entries.QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
