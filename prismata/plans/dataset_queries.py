@@ -230,26 +230,36 @@ _PLAIN = {"quant_conv.weight": "quant_conv.weight", "post_quant_conv.bias": "pos
 _CODERS = {"quant_conv.weight": "encoder.quant_conv.weight", "post_quant_conv.bias": "decoder.post_quant_conv.bias"}
 
 
-def _values(pairs):
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs.items()) + ") t(name, renamed)"
+def _named(pairs):
+    """Each part with one of the names, and in SQL with what that name becomes."""
+    values = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(pairs.items()))
+    return f"SELECT p_partkey, name, renamed FROM part JOIN (VALUES {values}) t(k, name, renamed) ON p_partkey * 7 % {len(pairs)} = k"
 
 
-@entry("x3_renamed_keys", _values(RENAMED | _CODERS))
+def _part_names(spark, sf_dir, pairs):
+    at = (F.col("p_partkey") * 7 % len(pairs)).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.get(F.array(*map(F.lit, pairs)), at).alias("name"))
+
+
+@entry("x3_renamed_keys", _named(RENAMED | _CODERS))
 def x3(spark, sf_dir):
     """Tensor names in the other layout, stages counted from the other end."""
-    return spark.createDataFrame([(v,) for v in RENAMED | _CODERS], "name string").select("name", L.renamed(F.col("name")).alias("renamed"))
+    return _part_names(spark, sf_dir, RENAMED | _CODERS).select("p_partkey", "name", L.renamed(F.col("name")).alias("renamed"))
 
 
-@entry("x4_renamed_keys_beside_coders", _values(RENAMED | _PLAIN))
+@entry("x4_renamed_keys_beside_coders", _named(RENAMED | _PLAIN))
 def x4(spark, sf_dir):
     """The same for a layout that has the outer convolutions beside the coders."""
-    return spark.createDataFrame([(v,) for v in RENAMED | _PLAIN], "name string").select("name", L.renamed(F.col("name"), quant_under_coders=False).alias("renamed"))
+    return _part_names(spark, sf_dir, RENAMED | _PLAIN).select("p_partkey", "name", L.renamed(F.col("name"), quant_under_coders=False).alias("renamed"))
 
 
-@entry("x5_convolution_shapes", "SELECT * FROM (VALUES ('encoder.mid_block.attentions.0.to_q.weight', [512, 512, 1, 1]), ('encoder.mid_block.attentions.0.to_q.bias', [512]), ('encoder.conv_in.weight', [128, 3])) t(name, shape)")
+@entry("x5_convolution_shapes", f"""WITH t AS ({_named(RENAMED)}), s AS (SELECT p_partkey, name, CASE WHEN ends_with(name, '.bias') THEN [p_size] ELSE [p_size, 8] END AS shape FROM t JOIN part USING (p_partkey))
+SELECT p_partkey, name, CASE WHEN regexp_matches(name, '\\.attentions\\.0\\.(to_q|to_v|group_norm)\\.weight$') THEN list_concat(shape, [1, 1]) ELSE shape END AS shape FROM s""")
 def x5(spark, sf_dir):
-    rows = spark.createDataFrame([("encoder.mid_block.attentions.0.to_q.weight", [512, 512]), ("encoder.mid_block.attentions.0.to_q.bias", [512]), ("encoder.conv_in.weight", [128, 3])], "name string, shape array<int>")
-    return rows.select("name", L.as_convolution(F.col("name"), F.col("shape")).alias("shape"))
+    """Shapes of tensors where attention matrices become convolutions."""
+    bias = F.endswith("name", F.lit(".bias"))
+    rows = _part_names(spark, sf_dir, RENAMED).withColumn("shape", F.when(bias, F.array("p_size")).otherwise(F.array("p_size", F.lit(8))))
+    return rows.select("p_partkey", "name", L.as_convolution(F.col("name"), F.col("shape")).alias("shape"))
 
 
 @entry("j11_zip", "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) + 0.0 AS s FROM embeddings")

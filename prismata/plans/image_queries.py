@@ -24,11 +24,10 @@ from ..operators.dealt import checkpoint_folder
 from ..sources import images as IM
 from ..sources import manifest as M
 from .dataset_queries import TENSORS, table, tensors
-from .schedule_queries import GRID, grid
+from .schedule_queries import GRID, SEED, draw_sql, grid, normal_sql, steps
 from .vector_queries import E, MSE, r6, rows
 
 ENTRIES: dict = {}
-SEED = 17
 
 
 def entry(name, sql):
@@ -46,15 +45,6 @@ def folder(spark, name):
     return f"{found if '://' in found or found.startswith('file:') else 'file://' + found}/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def draw_sql(*key):
-    """A draw of ``functions.draws`` in SQL."""
-    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(map(str, (SEED, *key)))})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
-
-
-def normal_sql(*key):
-    return f"(sqrt(-2 * ln(1 - {draw_sql(chr(39) + 'r' + chr(39), *key)})) * cos(2 * pi() * {draw_sql(chr(39) + 'a' + chr(39), *key)}))"
-
-
 # ---- files
 
 BYTE = "floor(greatest(0.0, least(255.0, (v[k + 1] * 0.5 + 0.5) * 255)))::INT"
@@ -186,11 +176,11 @@ def p5(spark, sf_dir):
     return g.groupBy("step").agg(F.count_if("zero").alias("zeros"), F.count_if("broken").alias("broken"), F.bool_or(F.col("zero") | F.col("broken")).alias("skipped"))
 
 
-@entry("b5_worker_seeds", f"SELECT epoch, rank, worker, floor({draw_sql('epoch', 'rank', 'worker')} * 2147483648)::BIGINT AS seed FROM (SELECT unnest(range(0, 20)) AS epoch), (SELECT unnest(range(0, 8)) AS rank), (SELECT unnest(range(0, 8)) AS worker)")
+@entry("b5_worker_seeds", f"SELECT o_orderkey, epoch, rank, worker, floor({draw_sql('epoch', 'rank', 'worker')} * 2147483648)::BIGINT AS seed FROM (SELECT o_orderkey, o_orderkey % 20 AS epoch, o_custkey % 8 AS rank, o_orderkey // 20 % 8 AS worker FROM orders)")
 def b5(spark, sf_dir):
-    """Seeds of loader workers: by digest, so the same in every run."""
-    n = spark.range(20 * 64).select(F.expr("id div 64").alias("epoch"), F.expr("id div 8 % 8").alias("rank"), (F.col("id") % 8).alias("worker"))
-    return n.select("epoch", "rank", "worker", F.floor(D.uniform(SEED, "epoch", "rank", "worker") * 2147483648).alias("seed"))
+    """The seed of the loader worker that reads each row: by digest, so the same in every run."""
+    n = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 20).alias("epoch"), (F.col("o_custkey") % 8).alias("rank"), F.expr("o_orderkey div 20 % 8").alias("worker"))
+    return n.select("o_orderkey", "epoch", "rank", "worker", F.floor(D.uniform(SEED, "epoch", "rank", "worker") * 2147483648).alias("seed"))
 
 
 @entry("x10_elapsed_hours", "SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9::DOUBLE, 6) + 0.0 AS hours FROM events GROUP BY user_id")
@@ -204,13 +194,13 @@ def x10(spark, sf_dir):
 _T = f"(64 + floor({draw_sql(chr(39) + 'target' + chr(39), 'w', 'h')} * 17))::BIGINT"
 
 
-@entry("g1_random_crop", GRID + f""", t AS (SELECT w, h, {_T} AS target FROM g), n AS (SELECT *, len(list_filter(range(1, 31), lambda k: floor(least(w, h) / pow(2, k - 1)) >= 2 * target)) AS n FROM t),
-s AS (SELECT *, floor(w / pow(2, n)) AS a, floor(h / pow(2, n)) AS b FROM n), r AS (SELECT w, h, target, n, round_even(a * (target / least(a, b)), 0)::BIGINT AS rw, round_even(b * (target / least(a, b)), 0)::BIGINT AS rh FROM s)
-SELECT w, h, target, n::INT AS halvings, rw AS width, rh AS height, floor({draw_sql("'x'", 'w', 'h')} * (rw - 64 + 1))::BIGINT AS crop_x, floor({draw_sql("'y'", 'w', 'h')} * (rh - 64 + 1))::BIGINT AS crop_y FROM r""")
+@entry("g1_random_crop", GRID + f""", t AS (SELECT k, w, h, {_T} AS target FROM g), n AS (SELECT *, len(list_filter(range(1, 31), lambda i: floor(least(w, h) / pow(2, i - 1)) >= 2 * target)) AS n FROM t),
+s AS (SELECT *, floor(w / pow(2, n)) AS a, floor(h / pow(2, n)) AS b FROM n), r AS (SELECT k, w, h, target, n, round_even(a * (target / least(a, b)), 0)::BIGINT AS rw, round_even(b * (target / least(a, b)), 0)::BIGINT AS rh FROM s)
+SELECT k, w, h, target, n::INT AS halvings, rw AS width, rh AS height, floor({draw_sql("'x'", 'w', 'h')} * (rw - 64 + 1))::BIGINT AS crop_x, floor({draw_sql("'y'", 'w', 'h')} * (rh - 64 + 1))::BIGINT AS crop_y FROM r""")
 def g1(spark, sf_dir):
     """A target size drawn between side and side / 0.8, halvings, the resized size and a corner drawn inside (G1)."""
     found = G.random_crop(F.col("w"), F.col("h"), 64, 0.8, 1.0, SEED, "w", "h")
-    return grid(spark).select("w", "h", *[c.alias(k) for k, c in found.items()])
+    return grid(spark, sf_dir).select("k", "w", "h", *[c.alias(k) for k, c in found.items()])
 
 
 @entry("g4_random_pad", E + f""", o AS (SELECT vec_id, v, floor({draw_sql("'top'", 'vec_id')} * 5)::BIGINT AS top, floor({draw_sql("'left'", 'vec_id')} * 5)::BIGINT AS left_ FROM e)
@@ -243,15 +233,26 @@ def l1(spark, sf_dir):
     return rows(spark, sf_dir).select("vec_id", sample.alias("sample"))
 
 
-@entry("s11_mock_edits", f"""WITH n AS (SELECT id, 1 + floor({draw_sql("'refs'", 'id')} * 3)::BIGINT AS refs FROM (SELECT unnest(range(1000)) AS id)),
+@entry("s11_mock_edits", f"""WITH n AS (SELECT c_custkey AS id, 1 + floor({draw_sql("'refs'", 'c_custkey')} * 3)::BIGINT AS refs FROM customer),
 p AS (SELECT id, refs, k, round({normal_sql('id', 'k')}, 6) + 0.0 AS z FROM (SELECT id, refs, unnest(range(0, 12 * (refs + 1))) AS k FROM n))
 SELECT id, refs, 'change the style ' || id AS text, list(z ORDER BY k) FILTER (WHERE k < 12) AS target, list(z ORDER BY k) FILTER (WHERE k >= 12) AS sources FROM p GROUP BY id, refs""")
 def s11(spark, sf_dir):
-    """A thousand mock rows: a target of 3 x 2 x 2 normal draws and one to three sources of that size."""
-    n = spark.range(1000).select("id", D.whole(F.lit(1), F.lit(3), SEED, F.lit("refs"), "id").alias("refs"))
-    z = lambda a, b: F.transform(F.sequence(a, b), lambda k: r6(D.normal(SEED, F.col("id"), k)))
+    """A mock edit for each row: a target of 3 x 2 x 2 normal draws and one to three sources of that size."""
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), D.whole(F.lit(1), F.lit(3), SEED, F.lit("refs"), "c_custkey").alias("refs"))
     last = (12 * (F.col("refs") + 1) - 1).cast("int")
-    return n.select("id", "refs", F.concat(F.lit("change the style "), F.col("id").cast("string")).alias("text"), z(F.lit(0), F.lit(11)).alias("target"), z(F.lit(12), last).alias("sources"))
+    return n.select("id", "refs", F.concat(F.lit("change the style "), F.col("id").cast("string")).alias("text"), _normals(F.lit(0), F.lit(11)).alias("target"), _normals(F.lit(12), last).alias("sources"))
+
+
+def _normals(first, last):
+    return F.transform(F.sequence(first, last), lambda k: r6(D.normal(SEED, F.col("id"), k)))
+
+
+@entry("s11_mock_texts", f"""WITH p AS (SELECT s_suppkey AS id, s_name AS text, unnest(range(0, 27)) AS k FROM supplier)
+SELECT id, 'a picture of ' || text AS text, list(round({normal_sql('id', 'k')}, 6) + 0.0 ORDER BY k) AS image FROM p GROUP BY id, text""")
+def s11_texts(spark, sf_dir):
+    """A mock text and image for each row, the image 3 x 3 x 3 normal draws."""
+    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("a picture of "), "s_name").alias("text"))
+    return n.select("id", "text", _normals(F.lit(0), F.lit(26)).alias("image"))
 
 
 _CUBIC = "CASE WHEN {d} <= 1 THEN 1.25 * {d} ** 3 - 2.25 * {d} ** 2 + 1 WHEN {d} < 2 THEN -0.75 * {d} ** 3 + 3.75 * {d} ** 2 - 6 * {d} + 3 ELSE 0 END"
@@ -334,25 +335,26 @@ def b9(spark, sf_dir):
 AXES = (16, 24, 24)
 
 
-@entry("d6_axis_embedding", "WITH p AS (SELECT id, axis, dim, pos, unnest(range(dim // 2)) AS k FROM (SELECT id, unnest([{'axis': 0, 'dim': 16, 'pos': id % 3}, {'axis': 1, 'dim': 24, 'pos': id // 3 % 16}, {'axis': 2, 'dim': 24, 'pos': id // 48}], recursive := true) FROM (SELECT unnest(range(768)) AS id))) SELECT id, list(round(cos(pos * pow(10000.0, -2.0 * k / dim)), 6) + 0.0 ORDER BY axis, k) AS c, list(round(sin(pos * pow(10000.0, -2.0 * k / dim)), 6) + 0.0 ORDER BY axis, k) AS s FROM p GROUP BY id")
+@entry("d6_axis_embedding", "WITH p AS (SELECT id, axis, dim, pos, unnest(range(dim // 2)) AS k FROM (SELECT id, unnest([{'axis': 0, 'dim': 16, 'pos': label % 3}, {'axis': 1, 'dim': 24, 'pos': id // 3 % 16}, {'axis': 2, 'dim': 24, 'pos': id // 48}], recursive := true) FROM (SELECT vec_id AS id, label FROM embeddings))) SELECT id, list(round(cos(pos * pow(10000.0, -2.0 * k / dim)), 6) + 0.0 ORDER BY axis, k) AS c, list(round(sin(pos * pow(10000.0, -2.0 * k / dim)), 6) + 0.0 ORDER BY axis, k) AS s FROM p GROUP BY id")
 def d6(spark, sf_dir):
-    """Rotary angles of three axes of 16, 24 and 24 dimensions, one after another."""
-    at = (F.col("id") % 3, F.expr("id div 3 % 16"), F.expr("id div 48"))
-    a = spark.range(768).select("id", V.axis_angles(at, AXES, 10000.0).alias("a"))
+    """Rotary angles of each row at a place on three axes of 16, 24 and 24 dimensions, one after another."""
+    at = (F.col("label") % 3, F.expr("id div 3 % 16"), F.expr("id div 48"))
+    a = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label").select("id", V.axis_angles(at, AXES, 10000.0).alias("a"))
     return a.select("id", F.transform("a", lambda x: r6(F.cos(x))).alias("c"), F.transform("a", lambda x: r6(F.sin(x))).alias("s"))
 
 
-@entry("f8_start_index", "WITH t AS (SELECT k, (1000 - k // 3 * 40)::DOUBLE AS timestep FROM (SELECT unnest(range(50)) AS k)) SELECT timestep, CASE WHEN count(*) > 1 THEN list(k ORDER BY k)[2] ELSE min(k) END AS start FROM t GROUP BY timestep")
+@entry("f8_start_index", "WITH t AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS k FROM events), s AS (SELECT run, k, (1000 - k // 3 * 40)::DOUBLE AS timestep FROM t) SELECT run, timestep, CASE WHEN count(*) > 1 THEN list(k ORDER BY k)[2] ELSE min(k) END AS start FROM s GROUP BY run, timestep")
 def f8(spark, sf_dir):
-    """Where a schedule is entered at a time step: at its second place, if it has several (F8)."""
-    t = spark.range(50).select(F.col("id").alias("k"), (1000 - F.expr("id div 3") * 40).cast("double").alias("timestep"))
-    return t.groupBy("timestep").agg(S.start_index(F.col("k")).alias("start"))
+    """Where the schedule of each run is entered at a time step: at its second place, if it has several (F8)."""
+    t = steps(spark, sf_dir).select("run", F.col("epoch").alias("k"), (1000 - F.expr("epoch div 3") * 40).cast("double").alias("timestep"))
+    return t.groupBy("run", "timestep").agg(S.start_index(F.col("k")).alias("start"))
 
 
-@entry("q8_decoded_codes", "SELECT i AS code, [((i % 7) - 3) / 3.0::DOUBLE, ((i // 7 % 5) - 2) / 2.0::DOUBLE, ((i // 35 % 5) - 2) / 2.0::DOUBLE, ((i // 175 % 5) - 2) / 2.0::DOUBLE, ((i // 875 % 5) - 2) / 2.0::DOUBLE] AS z FROM (SELECT unnest(range(4375)) AS i)")
+@entry("q8_decoded_codes", "SELECT vec_id, i AS code, [((i % 7) - 3) / 3.0::DOUBLE, ((i // 7 % 5) - 2) / 2.0::DOUBLE, ((i // 35 % 5) - 2) / 2.0::DOUBLE, ((i // 175 % 5) - 2) / 2.0::DOUBLE, ((i // 875 % 5) - 2) / 2.0::DOUBLE] AS z FROM (SELECT vec_id, vec_id * 7919 % 4375 AS i FROM embeddings)")
 def q8(spark, sf_dir):
-    """The code vector of every index of the smallest level set (Q8)."""
-    return spark.range(4375).select(F.col("id").alias("code"), Q.fsq_codes(F.col("id"), Q.FSQ_LEVELS["4K"]).alias("z"))
+    """The code vector of an index of the smallest level set in each row (Q8)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 7919 % 4375).alias("code"))
+    return e.select("vec_id", "code", Q.fsq_codes(F.col("code"), Q.FSQ_LEVELS["4K"]).alias("z"))
 
 
 @entry("u1_loss_registry", E + f""", r AS (SELECT vec_id, v, list_reverse(v) AS w FROM e), d AS (SELECT vec_id, v, w, list_transform(list_zip(v, w), lambda p: abs(p[1] - p[2])) AS d FROM r)

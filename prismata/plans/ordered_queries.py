@@ -79,11 +79,15 @@ def w8(spark, sf_dir):
     return O.fractional_epoch(e, "epoch", ORDER).select("event_id", (F.round("progress", 9) + 0.0).alias("progress"))
 
 
-@entry("k3_checkpoints", "WITH e AS (SELECT unnest(range(1, 41)) AS epoch) SELECT epoch, epoch % 5 = 0 OR epoch = 40 AS saved, lpad(epoch::VARCHAR, 3, '0') AS tag FROM e")
+@entry("k3_checkpoints", "WITH e AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, count(*) OVER (PARTITION BY user_id) AS last FROM events) SELECT run, event_id, epoch::INT AS epoch, epoch % 5 = 0 OR epoch = last AS saved, lpad(epoch::VARCHAR, greatest(3, len(epoch::VARCHAR))::INT, '0') AS tag FROM e")
 def k3(spark, sf_dir):
-    """Epochs kept (K3) with the padded number that logs use."""
+    """Which epochs of each run are saved, and their padded numbers."""
     e = F.col("epoch")
-    return spark.range(1, 41).withColumnRenamed("id", "epoch").select("epoch", ((e % 5 == 0) | (e == 40)).alias("saved"), F.lpad(e.cast("string"), 3, "0").alias("tag"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("run"), "ts", "event_id")
+    last = rows.groupBy("run").agg(F.count(F.lit(1)).alias("last"))
+    found = O.accumulation(rows, "run", ["ts", "event_id"], 5).withColumnRenamed("iter", "epoch").join(last, "run")
+    text = e.cast("string")
+    return found.select("run", "event_id", "epoch", (F.col("acts") | (e == F.col("last"))).alias("saved"), F.lpad(text, F.greatest(F.lit(3), F.length(text)), "0").alias("tag"))
 
 
 @entry("p4_skipped_steps", """WITH g AS (SELECT event_id, event_id // 4 AS step, value, (value < 1)::INT AS flag FROM events), s AS (SELECT *, sum(flag) OVER (PARTITION BY step) AS bad FROM g)

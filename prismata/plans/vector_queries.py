@@ -7,6 +7,8 @@ target or noise.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,18 +141,26 @@ for _name, _levels in Q.FSQ_LEVELS.items():
         return Q.usage(rows(spark, sf_dir).select(Q.fsq_index(F.col("v"), levels, 10.0).alias("code")), math.prod(levels))
 
 
-@entry("q5_fsq_presets", """SELECT * FROM (VALUES
-('4K', 0, 7, 1), ('4K', 1, 5, 7), ('4K', 2, 5, 35), ('4K', 3, 5, 175), ('4K', 4, 5, 875),
-('16K', 0, 8, 1), ('16K', 1, 8, 8), ('16K', 2, 8, 64), ('16K', 3, 6, 512), ('16K', 4, 5, 3072),
-('64K', 0, 8, 1), ('64K', 1, 8, 8), ('64K', 2, 8, 64), ('64K', 3, 5, 512), ('64K', 4, 5, 2560), ('64K', 5, 5, 12800)) t(preset, dim, level, basis)""")
+@entry("q5_fsq_presets", """SELECT vec_id, preset, dim, level, basis, (vec_id * 7919 % size // basis % level)::INT AS digit FROM embeddings, (VALUES
+('4K', 4375, 0, 7, 1), ('4K', 4375, 1, 5, 7), ('4K', 4375, 2, 5, 35), ('4K', 4375, 3, 5, 175), ('4K', 4375, 4, 5, 875),
+('16K', 15360, 0, 8, 1), ('16K', 15360, 1, 8, 8), ('16K', 15360, 2, 8, 64), ('16K', 15360, 3, 6, 512), ('16K', 15360, 4, 5, 3072),
+('64K', 64000, 0, 8, 1), ('64K', 64000, 1, 8, 8), ('64K', 64000, 2, 8, 64), ('64K', 64000, 3, 5, 512), ('64K', 64000, 4, 5, 2560), ('64K', 64000, 5, 5, 12800)) t(preset, size, dim, level, basis)""")
 def q5(spark, sf_dir):
-    return spark.createDataFrame([(k, i, n, b) for k, v in Q.FSQ_LEVELS.items() for i, (n, b) in enumerate(zip(v, Q.fsq_basis(v), strict=True))], "preset string, dim int, level int, basis int")
+    """The digits of an index of each row in each level set, with level and basis of each dimension (Q1, Q5)."""
+    held = F.array(*[F.struct(F.lit(k).alias("preset"), F.lit(math.prod(v)).alias("size"), F.lit(i).alias("dim"), F.lit(n).alias("level"), F.lit(b).alias("basis"))
+                     for k, v in Q.FSQ_LEVELS.items() for i, (n, b) in enumerate(zip(v, Q.fsq_basis(v), strict=True))])
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.explode(held).alias("t")).select("vec_id", "t.*")
+    return e.select("vec_id", "preset", "dim", "level", "basis", F.expr("cast(vec_id * 7919 % size div basis % level as int)").alias("digit"))
 
 
-@entry("q9_vq_presets", """SELECT * FROM (VALUES ('VQ_8_4096', 4096, 8), ('VQ_8_16384', 16384, 8), ('VQ_8_65536', 65536, 8),
+@entry("q9_vq_presets", """SELECT vec_id, preset, codebook_size, stride, ((256 + vec_id % 33 * 16) // stride * ((256 + vec_id % 33 * 16) // stride))::BIGINT AS tokens, round(log2(codebook_size) * 3, 6) + 0.0 AS bits FROM embeddings, (VALUES ('VQ_8_4096', 4096, 8), ('VQ_8_16384', 16384, 8), ('VQ_8_65536', 65536, 8),
 ('VQ_16_4096', 4096, 16), ('VQ_16_16384', 16384, 16), ('VQ_16_65536', 65536, 16)) t(preset, codebook_size, stride)""")
 def q9(spark, sf_dir):
-    return spark.createDataFrame([(k, *v) for k, v in Q.VQ_PRESETS.items()], "preset string, codebook_size int, stride int")
+    """The tokens that an image of each row's size has under each preset, and the bits of three of them (Q9)."""
+    held = F.array(*[F.struct(F.lit(k).alias("preset"), F.lit(n).alias("codebook_size"), F.lit(s).alias("stride")) for k, (n, s) in Q.VQ_PRESETS.items()])
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.explode(held).alias("t")).select("vec_id", "t.*")
+    side = F.expr("(256 + vec_id % 33 * 16) div stride")
+    return e.select("vec_id", "preset", "codebook_size", "stride", (side * side).alias("tokens"), r6(F.log2("codebook_size") * 3).alias("bits"))
 
 
 @entry("a9_hinge_by_label", E + """ SELECT label, round(0.5 * (avg(greatest(0, 1 - v[1])) + avg(greatest(0, 1 + v[2]))), 6) + 0.0 AS d_loss,
