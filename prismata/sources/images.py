@@ -26,7 +26,7 @@ def png(height: int, width: int, rgb: bytes) -> bytes:
 
 
 def encoded(rows: DataFrame, height: str, width: str, pixels: str) -> DataFrame:
-    """``path, content`` from ``path``, two sizes and pixels ``h w c`` of whole numbers from 0 to 255."""
+    """``path, content`` from ``path``, two sizes and pixels ``h w c`` of whole numbers from 0 to 255, as PNG files."""
     ship(rows.sparkSession)
 
     @F.pandas_udf("binary")
@@ -36,6 +36,20 @@ def encoded(rows: DataFrame, height: str, width: str, pixels: str) -> DataFrame:
     return rows.select("path", png_of(height, width, pixels).alias("content"))
 
 
+def jpeg_encoded(rows: DataFrame, height: str, width: str, pixels: str, quality: int = 95, halved_colour: bool = True) -> DataFrame:
+    """The same as JPEG files, of one or three channels."""
+    from ..functions.jpeg import encoded as jpeg
+    from ..functions.pixels import image
+
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("binary")
+    def jpeg_of(h: pd.Series, w: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([jpeg(image(x, int(a), int(b)), quality, halved_colour) for a, b, x in zip(h, w, v, strict=True)], dtype="object")
+
+    return rows.select("path", jpeg_of(height, width, pixels).alias("content"))
+
+
 def write_files(rows: DataFrame, root: str) -> int:
     """Write ``content`` to ``root/path`` of each row; gives the number of files.
 
