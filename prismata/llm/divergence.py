@@ -28,7 +28,7 @@ from .storage import discard, materialize
 
 #: Documents of a language that a kept term is in, at least; terms listed for each group.
 LEAST, TOP = 10, 10
-#: Slots in a row of the sketch, rows, and slots in a block. A slot is one byte, so the whole sketch has 16 MB.
+#: Slots in a row of the sketch, a power of two, rows, and slots in a block. A slot is one byte, so the whole sketch has 16 MB.
 SLOTS, ROWS, BLOCK = 1 << 22, 4, 1 << 12
 #: Entries that a task holds before it gives them out.
 HELD = 400_000
@@ -121,15 +121,20 @@ def sketch(table: DataFrame, least: int = LEAST, slots: int = SLOTS) -> bytes:
 
 
 def possible(table: DataFrame, counters: bytes, least: int = LEAST) -> DataFrame:
-    """The rows whose hash ``h`` has an estimate of ``least`` or more."""
-    shared = table.sparkSession.sparkContext.broadcast(counters)
+    """The rows whose hash ``h`` has an estimate of ``least`` or more.
 
-    def work(batches):
-        held = np.frombuffer(shared.value, np.uint8)
-        for rows in batches:
-            yield rows.filter(pa.array((held[_places(rows.column(rows.schema.get_field_index("h")).to_numpy(), len(held) // ROWS)] >= least).all(0)))
-
-    return map_arrow(table, work, table.schema)
+    The sketch goes to them as one row with a bit for each slot, half a megabyte
+    for each million of slots.
+    """
+    slots = len(counters) // ROWS
+    bits = np.packbits(np.frombuffer(counters, np.uint8) >= least, bitorder="little").view("<i8")
+    held = table.sparkSession.createDataFrame(pa.table({"_bits": pa.array([bits], pa.list_(pa.int64()))}))
+    low, high = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1).cast("long"))
+    seen = F.lit(True)
+    for r in range(ROWS):
+        at = (low + r * high).bitwiseAND(F.lit(slots - 1).cast("long")) + r * slots
+        seen = seen & (F.getbit(F.get("_bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+    return table.join(F.broadcast(held)).where(seen).drop("_bits")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
