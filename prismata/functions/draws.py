@@ -7,6 +7,7 @@ loss of an executor, and SQL can compute it too.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Hexadecimal digits of the digest that make a draw: 52 bits, as a double holds.
 DIGITS = 13
+#: Rounds of a permutation.
+ROUNDS = 24
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
@@ -31,3 +34,24 @@ def normal(seed: int, *key: Column | str) -> Column:
     """Of mean 0 and variance 1, from two uniform draws."""
     radius = F.sqrt(-2 * F.ln(1 - uniform(seed, F.lit("r"), *key)))
     return radius * F.cos(2 * math.pi * uniform(seed, F.lit("a"), *key))
+
+
+def permuted(n: Column, total: int, seed: int, *key: int | str) -> Column:
+    """The place of ``n`` in a permutation of the numbers below ``total``, by seed and key.
+
+    Each round pairs every number with another, by a sum drawn for the round, and
+    a bit drawn for the pair says whether the two change places. So the whole is
+    one to one for any ``total``, no row needs any other, and nothing is sorted.
+    """
+    name = ":".join(map(str, (seed, *key)))
+    sums = [int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:DIGITS], 16) % total for i in range(ROUNDS)] if total else []
+    if not sums:
+        return n.cast("long")
+    rounds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).cast("long").alias("k")) for i, k in enumerate(sums)])
+
+    def swapped(x: Column, r: Column) -> Column:
+        other = F.pmod(r["k"] - x, F.lit(total).cast("long"))
+        digest = F.md5(F.concat_ws(":", F.lit(name), r["i"].cast("string"), F.greatest(x, other).cast("string")))
+        return F.when(F.substring(digest, 1, 1) >= "8", other).otherwise(x)
+
+    return F.aggregate(rounds, n.cast("long"), swapped)

@@ -13,7 +13,7 @@ from ..functions import vectors as V
 FSQ_LEVELS = {"4K": [7, 5, 5, 5, 5], "16K": [8, 8, 8, 6, 5], "64K": [8, 8, 8, 5, 5, 5]}
 VQ_PRESETS = {"VQ_8_4096": (4096, 8), "VQ_8_16384": (16384, 8), "VQ_8_65536": (65536, 8),
               "VQ_16_4096": (4096, 16), "VQ_16_16384": (16384, 16), "VQ_16_65536": (65536, 16)}
-#: The array form of a codebook goes to every row as one value; beyond this many numbers use ``nearest_code_arrow``.
+#: The array form of a codebook goes to every row as one value; codebooks of any size are for ``tiles.nearest_code``.
 ARRAY_LIMIT = 1 << 18
 
 
@@ -50,7 +50,7 @@ def with_codebook(rows: DataFrame, codebook: DataFrame) -> DataFrame:
     """
     size = codebook.agg(F.sum(F.size("vec"))).first()[0] or 0
     if size > ARRAY_LIMIT:
-        raise ValueError(f"a codebook of {size} numbers; use nearest_code_arrow")
+        raise ValueError(f"a codebook of {size} numbers; use tiles.nearest_code")
     whole = codebook.agg(F.array_sort(F.collect_list(F.struct("code", "vec"))).alias("codebook"))
     return rows.join(F.broadcast(whole), how="inner")
 
@@ -67,7 +67,7 @@ def nearest_code(rows: DataFrame, codebook: DataFrame, vec: str = "v") -> DataFr
 
 
 def nearest_code_arrow(rows: DataFrame, codebook: DataFrame, vec: str = "v", most: int = 1 << 24) -> DataFrame:
-    """The same for a large codebook, by matrix products over Arrow batches."""
+    """The same by matrix products over Arrow batches, for a codebook of a fixed size that tasks may hold; others are for ``tiles.nearest_code``."""
     import numpy as np
     import pandas as pd
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import permuted
 from .dealt import dealt, fresh
 
 
@@ -30,17 +31,18 @@ def numbered(rows: DataFrame, order: list[str], name: str = "rn", ranges: int |
     return _numbered(rows, order, name, ranges)[0]
 
 
-def shards(rows: DataFrame, order: list[str], ranks: int, total: int | None = None, seed: int | None = None) -> DataFrame:
+def shards(rows: DataFrame, order: list[str], ranks: int, total: int | None = None, seed: int | None = None, epoch: int = 0) -> DataFrame:
     """``rank, slot`` of each row, round robin, padded from the start so that all ranks have as many.
 
-    With a seed the order is that of a hash of the key and the seed. The padding
-    is fewer rows than ranks; a table of fewer rows than ranks is repeated.
+    With a seed, the numbers of the rows are permuted, for each epoch anew, and
+    the rows are dealt out by their order only once. The padding is fewer rows
+    than ranks; a table of fewer rows than ranks is repeated.
     """
-    key = [F.xxhash64(*order, F.lit(seed)), *map(F.col, order)] if seed is not None else [F.col(c) for c in order]
-    names = fresh(rows, *[f"key{i}" for i in range(len(key))])
     rn, again = fresh(rows, "rn", "again")
-    n, found = _numbered(rows.withColumns(dict(zip(names, key, strict=True))), names, rn, None)
+    n, found = _numbered(rows, order, rn, None)
     total = found if total is None else total
+    if seed is not None:
+        n = n.withColumn(rn, permuted(F.col(rn), found, seed, epoch))
     missing = -total % ranks
     if total:
         times = F.floor((F.lit(missing - 1) - F.col(rn)) / F.lit(total)) + 1  # of each row in the padding

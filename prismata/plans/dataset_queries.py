@@ -120,10 +120,18 @@ def b1_rows(spark, sf_dir):
     return H.shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"], 5)
 
 
-@entry("b1_shuffled_shards", None)
+_DRAWN = "(('0x' || substr(md5('3:' || epoch || ':' || i), 1, 13))::BIGINT % n - x % n + n) % n"
+
+
+@entry("b1_shuffled_shards", f"""WITH n AS (SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY epoch) AS n FROM documents, (SELECT unnest(range(2)) AS epoch)),
+o AS (SELECT doc_id, epoch, n, list_reduce(range(24), lambda x, i: CASE WHEN substr(md5('3:' || epoch || ':' || i || ':' || greatest(x, {_DRAWN})), 1, 1) >= '8' THEN {_DRAWN} ELSE x END, rn) AS rn FROM n),
+p AS (SELECT doc_id, epoch, rn FROM o UNION ALL SELECT doc_id, epoch, rn + n FROM o WHERE rn < (7 - n % 7) % 7)
+SELECT epoch::INT AS epoch, doc_id, rn % 7 AS rank, rn // 7 AS slot FROM p""")
 def b1_shuffled(spark, sf_dir):
-    """The same in the order of a seeded hash: the rows of each shard change with the seed, their number does not."""
-    return H.shards(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 7, seed=3)
+    """Two epochs of the same shards, their row numbers permuted by seed and epoch (B1)."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    one, other = (H.shards(d, ["doc_id"], 7, seed=3, epoch=k).select(F.lit(k).alias("epoch"), "doc_id", "rank", "slot") for k in (0, 1))
+    return one.unionByName(other)
 
 
 @entry("b3_batches", "WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rn, count(*) OVER () AS c FROM lineitem) SELECT rn // 64 AS batch_id, count(*) AS n, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key FROM n WHERE rn // 64 < c // 64 GROUP BY 1")

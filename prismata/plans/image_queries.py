@@ -20,6 +20,7 @@ from ..operators import ledger as L
 from ..operators import ordered as O
 from ..operators import quantize as Q
 from ..operators import shard as H
+from ..operators import tiles
 from ..operators.dealt import checkpoint_folder
 from ..sources import images as IM
 from ..sources import manifest as M
@@ -382,10 +383,19 @@ def u2(spark, sf_dir):
 d AS (SELECT a.vec_id, b.vec_id AS code, round(2 - 2 * list_inner_product(a.v, b.v), 9) + 0.0 AS dist FROM u a, u b WHERE b.vec_id % 2 = 1)
 SELECT vec_id, code, dist FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) = 1""")
 def j7(spark, sf_dir):
-    """The nearest code among half of all vectors, by matrix products over Arrow batches (J7 for a large codebook)."""
+    """The nearest code among half of all vectors, tile by tile (J7 for a codebook of any size)."""
     e = rows(spark, sf_dir).withColumn("v", V.l2_normalize(F.col("v")))
     book = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("code"), F.col("v").alias("vec"))
-    return Q.nearest_code_arrow(e.select("vec_id", "v"), book).select("vec_id", "code", "dist")
+    return tiles.nearest_code(e, book, ["vec_id"], tile=512).select("vec_id", "code", "dist")
+
+
+@entry("j9_long_attention", E + """, t AS (SELECT vec_id, vec_id // 1000 AS sequence, v FROM e), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (sequence))
+SELECT vec_id, round(sum(w * bv[1]) / sum(w), 6) + 0.0 AS y0, round(sum(w * bv[64]) / sum(w), 6) + 0.0 AS y63 FROM s GROUP BY vec_id""")
+def j9_long(spark, sf_dir):
+    """Attention over sequences of a thousand tokens in blocks, merged about their greatest scores."""
+    t = rows(spark, sf_dir).select(F.expr("vec_id div 1000").alias("sequence"), "vec_id", F.col("v").alias("q"), F.col("v").alias("k"), "v")
+    y = tiles.attention(t, "sequence", "vec_id", scale=1 / 8)
+    return y.select(F.col("position").alias("vec_id"), r6(F.get("y", 0)).alias("y0"), r6(F.get("y", 63)).alias("y63"))
 
 
 @entry("j5_compare_shapes", TENSORS + """ SELECT t.name, CASE WHEN m.name IS NULL THEN 'missing' WHEN t.shape <> m.shape THEN 'shape' WHEN t.data = m.data THEN 'equal' ELSE 'different' END AS verdict FROM t LEFT JOIN m ON t.name = m.name""")
