@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .dealt import dealt, fresh, running
+from .shard import numbered
 
 
 def _listed(group: str | list[str]) -> list[str]:
@@ -49,29 +50,45 @@ def moving_average(rows: DataFrame, value: str, group: str | list[str], order: l
     """The moving average of each group with a decay that ramps up, started at its first value.
 
     Each step maps the average to ``a * average + b``. The steps of one range of
-    a group are put together to one such map, and those of all its ranges are
-    applied in turn, so that no row holds a group's whole history.
+    a group are put together to one such map, by sums: ``a`` is the product of
+    the steps' factors, and each step adds to ``b`` its share times the factors of
+    those after it. The maps of all ranges are applied in turn, so that no row
+    holds a group's history, or a range's.
     """
     group = _listed(group)
-    part, nth, k, base, h = fresh(rows, "part", "nth", "k", "base", "h")
+    part, nth, k, base, rest, own = fresh(rows, "part", "nth", "k", "base", "rest", "own")
     d = dealt(rows.select(*group, *order, F.col(value).cast("double").alias(value)), [*group, *order], part, nth)
     counts = d.groupBy(*group, part).agg(F.count(F.lit(1)).alias(k), F.min(nth).alias(base))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*group, part, (F.coalesce(F.sum(k).over(earlier), F.lit(0)) - F.col(base) + 1).alias(base))
     steps = d.join(counts, [*group, part]).withColumn(k, F.col(base) + F.col(nth))
 
-    def step(acc: Column, x: Column) -> Column:
-        e = decay * (1 - F.exp(-x["k"] / F.lit(tau)))
-        return F.struct((acc["a"] * e).alias("a"), (acc["b"] * e + (1 - e) * x["v"]).alias("b"))
-
-    history = F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(value).alias("v"))))
-    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    maps = steps.groupBy(*group, part).agg(history.alias(h)).select(
-        *group, part, F.get(h, 0)["v"].alias("v"), F.size(h).cast("int").alias("n"), F.aggregate(h, one, step).alias("map")
-    )
-    held = maps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(part, "v", "n", "map"))).alias(h))
-    ema = F.aggregate(h, F.get(h, 0)["v"], lambda acc, x: acc * x["map"]["a"] + x["map"]["b"])
-    return held.select(*group, F.aggregate(h, F.lit(0), lambda acc, x: acc + x["n"]).alias("updates"), ema.alias("ema"))
+    factor = decay * (1 - F.exp(-F.col(k) / F.lit(tau)))
+    later = Window.partitionBy(*group, part).orderBy(F.col(k).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn(own, F.ln(factor)).withColumn(rest, F.coalesce(F.sum(own).over(later), F.lit(0.0)))
+    maps = steps.groupBy(*group, part).agg(
+        F.min(F.struct(k, value))[value].alias("v"), F.count(F.lit(1)).cast("int").alias("n"), F.exp(F.sum(own)).alias("a"),
+        F.sum((1 - F.exp(own)) * F.col(value) * F.exp(rest)).alias("b"))
+    held = maps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(part, "v", "n", "a", "b"))).alias("h"))  # a row for each range
+    ema = F.aggregate("h", F.get("h", 0)["v"], lambda acc, x: acc * x["a"] + x["b"])
+    return held.select(*group, F.aggregate("h", F.lit(0), lambda acc, x: acc + x["n"]).alias("updates"), ema.alias("ema"))
+
+
+def running_statistics(stats: DataFrame, key: str, batch: str, momentum: float = 0.1) -> DataFrame:
+    """``key, updates, running_mean, running_var`` from ``mean, var`` of each key's batches.
+
+    They start at 0 and 1; each batch, in order, weighs ``momentum`` and all
+    before it less by as much. Batch numbers may have gaps: a batch counts by its
+    place among those of the whole table, and each key has all of them.
+    """
+    (place,) = fresh(stats, "place")
+    places = numbered(stats.select(batch).distinct(), [batch], place)
+    n = places.agg((F.max(place) + 1).alias("updates"))
+    s = stats.join(places, batch).join(F.broadcast(n))  # one row
+    weight = momentum * F.pow(F.lit(1 - momentum), F.col("updates") - 1 - F.col(place))
+    total = s.groupBy(key, "updates").agg(F.sum(weight * F.col("mean")).alias("m"), F.sum(weight * F.col("var")).alias("v"), F.count(F.lit(1)).alias("k"))
+    whole = F.when(F.col("k") == F.col("updates"), F.col("v")).otherwise(F.raise_error(F.lit("a key without some of the batches")).cast("double"))
+    return total.select(key, "updates", F.col("m").alias("running_mean"), (F.pow(F.lit(1 - momentum), F.col("updates")) + whole).alias("running_var"))
 
 
 def accumulation(rows: DataFrame, group: str | list[str], order: list[str], every: int) -> DataFrame:

@@ -103,3 +103,19 @@ def usage(rows: DataFrame, size: int, *by: str) -> DataFrame:
 def mean_rank_usage(rows: DataFrame, size: int, rank: str) -> DataFrame:
     """Mean over ranks of each rank's own usage; no more than the usage of the union."""
     return usage(rows, size, rank).agg(F.avg("usage").alias("mean_usage"))
+
+
+def usage_bitmaps(rows: DataFrame, *by: str) -> DataFrame:
+    """``by, bucket, bits``: which codes occur, one bit each, 32768 codes a row.
+
+    Such tables can be stored, and those of several batches or ranks be merged,
+    without the codes themselves.
+    """
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.col("code"))).alias("bits")
+    return rows.where("code is not null").groupBy(*by, F.bitmap_bucket_number(F.col("code")).alias("bucket")).agg(bits)
+
+
+def merged_usage(bitmaps: DataFrame, size: int, *by: str) -> DataFrame:
+    """``by, used, usage`` of the union of bitmaps with the same ``by``."""
+    whole = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("used"))
+    return (whole.groupBy(*by) if by else whole).agg(F.sum("used").alias("used"), (F.sum("used") / F.lit(float(size))).alias("usage"))

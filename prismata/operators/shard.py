@@ -58,6 +58,11 @@ def batches(rows: DataFrame, order: list[str], size: int, drop_last: bool) -> Da
     return n.where(F.col("batch_id") < F.lit(total // size)) if drop_last else n
 
 
+def replicated(result: DataFrame, ranks: int) -> DataFrame:
+    """``result`` once for each rank, as ranks have it that all work on everything; it is computed once."""
+    return result.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+
+
 def per_rank_batch(total: int, ranks: int) -> int:
     if total % ranks:
         raise ValueError(f"a batch of {total} does not divide over {ranks} ranks")

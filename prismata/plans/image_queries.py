@@ -94,8 +94,8 @@ def _sets(spark, sf_dir, name):
     p = _pictures(spark, sf_dir).withColumns({"dataset": F.concat(F.lit("d"), (F.floor(v / 2) % 3 if name == "pairs" else F.col("label") % 3).cast("string")), "name": F.concat(stem, end)})
     root = _written(spark, p, F.concat("dataset", F.lit("/train/"), "name"), name)
     caption = F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.concat(F.lit("a picture of class "), "class").alias("web_caption")))))
-    held = p.groupBy("dataset").agg(F.to_json(caption).cast("binary").alias("content"))  # one file per data set, as the format has it
-    IM.write_files(held.select(F.concat("dataset", F.lit("/"), "dataset", F.lit("_train.json")).alias("path"), "content"), root)
+    held = p.groupBy("dataset", F.expr("vec_id div 1000").alias("part")).agg(F.to_json(caption).cast("binary").alias("content"))  # a thousand captions a file at most
+    IM.write_files(held.select(F.concat("dataset", F.lit("/"), "dataset", F.lit("_train.json/"), F.col("part").cast("string"), F.lit(".json")).alias("path"), "content"), root)
     return root
 
 
@@ -320,10 +320,8 @@ def a19(spark, sf_dir):
     """Running statistics over all batches of 50 (A19): each update weighs 0.1, and all before it 0.9 more often."""
     c = rows(spark, sf_dir).select(F.expr("vec_id div 50").alias("batch"), F.posexplode("v").alias("k", "x"))
     s = c.groupBy(F.expr("cast(k div 16 as long)").alias("channel"), "batch").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("var"))
-    n = s.groupBy("channel").agg(F.count(F.lit(1)).alias("updates"))  # batches follow each other without a gap
-    weight = 0.1 * F.pow(F.lit(0.9), F.col("updates") - 1 - F.col("batch"))
-    total = s.join(n, "channel").groupBy("channel", "updates").agg(F.sum(weight * F.col("mean")).alias("m"), F.sum(weight * F.col("var")).alias("v"))
-    return total.select("channel", "updates", r6(F.col("m")).alias("running_mean"), r6(F.pow(F.lit(0.9), F.col("updates")) + F.col("v")).alias("running_var"))
+    total = O.running_statistics(s, "channel", "batch")
+    return total.select("channel", "updates", r6(F.col("running_mean")).alias("running_mean"), r6(F.col("running_var")).alias("running_var"))
 
 
 @entry("b9_ragged_collate", "SELECT user_id // 4 AS batch, list(event_id ORDER BY event_id) AS ids, list(range(0, event_id % 3 + 1) ORDER BY event_id) AS sources FROM events GROUP BY 1")
@@ -403,3 +401,31 @@ def j5(spark, sf_dir):
     """Tensors compared by their shapes, not only by how many numbers they hold."""
     t, m = tensors(spark, sf_dir)
     return L.compare(t, m, shape="shape").select("name", "verdict")
+
+
+CODES = 65536
+MSE_BY_RANK = E + """ SELECT rank::INT AS rank, count(*) AS n, round(avg(list_sum(list_transform(list_zip(v, list_reverse(v)), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / len(v)), 6) + 0.0 AS mse FROM e, (SELECT unnest(range(4)) AS rank) GROUP BY rank"""
+
+
+@entry("a3_usage_bitmaps", f"SELECT label, count(DISTINCT code) AS used, count(DISTINCT code) / {CODES}.0::DOUBLE AS usage FROM (SELECT label, (vec_id % 300 * 7919) % {CODES} AS code FROM embeddings) GROUP BY label")
+def a3_bitmaps(spark, sf_dir):
+    """Usage of a codebook of 65536 by label, from bitmaps of batches that are merged."""
+    k = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("label", F.expr("vec_id div 100").alias("batch"), (k % 300 * 7919 % CODES).alias("code"))
+    return Q.merged_usage(Q.usage_bitmaps(e, "label", "batch"), CODES, "label")
+
+
+@entry("a4_rank_usage_bitmaps", f"""WITH c AS (SELECT vec_id % 4 AS rank, (vec_id * 31 % 1009) * 61 % {CODES} AS code FROM embeddings)
+SELECT (SELECT count(DISTINCT code) / {CODES}.0::DOUBLE FROM c) AS union_usage, (SELECT round(avg(u), 12) + 0.0 FROM (SELECT count(DISTINCT code) / {CODES}.0::DOUBLE AS u FROM c GROUP BY rank)) AS mean_usage""")
+def a4_bitmaps(spark, sf_dir):
+    """The usage of all ranks together and the mean of each rank's own, from the same bitmaps (A4)."""
+    k = F.col("vec_id")
+    bitmaps = Q.usage_bitmaps(table(spark, sf_dir, "embeddings").select((k % 4).alias("rank"), (k * 31 % 1009 * 61 % CODES).alias("code")), "rank")
+    own = Q.merged_usage(bitmaps, CODES, "rank").agg((F.round(F.avg("usage"), 12) + 0.0).alias("mean_usage"))
+    return Q.merged_usage(bitmaps, CODES).select(F.col("usage").alias("union_usage")).join(own)
+
+
+@entry("b4_replicated_evaluation", MSE_BY_RANK)
+def b4(spark, sf_dir):
+    """What each of four ranks has when all evaluate everything and nothing is reduced: one evaluation, a row for each rank."""
+    return H.replicated(rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(V.mse(F.col("v"), F.reverse("v")))).alias("mse")), 4)

@@ -60,3 +60,27 @@ def test_moving_average_over_ranges_is_the_plain_recurrence(spark):
             d = ordered.ramped_decay(k, 0.99, 50.0)
             ema = ema * d + (1 - d) * v
         assert got[g][0] == len(own) and got[g][1] == pytest.approx(ema, rel=1e-12)
+
+
+def test_running_statistics_with_gaps_between_batches(spark):
+    stats = [(c, b, 1.0 * b + c, 2.0 + b) for c in (0, 1) for b in (7, 3, 20, 4)]
+    df = spark.createDataFrame(stats, "channel int, batch int, mean double, var double")
+    got = {r["channel"]: tuple(r)[1:] for r in ordered.running_statistics(df, "channel", "batch", 0.25).collect()}
+    for c in (0, 1):
+        mean, var = 0.0, 1.0
+        for b in (3, 4, 7, 20):
+            mean, var = 0.75 * mean + 0.25 * (b + c), 0.75 * var + 0.25 * (2 + b)
+        assert got[c] == (4, pytest.approx(mean), pytest.approx(var))
+    with pytest.raises(Exception, match="without some"):
+        ordered.running_statistics(df.where("channel = 0 or batch > 3"), "channel", "batch").collect()
+
+
+def test_usage_from_bitmaps_is_that_of_the_codes(spark):
+    from prismata.operators import quantize as Q
+
+    rows = spark.range(0, 9000, 1, 5).select((F.col("id") % 3).alias("rank"), (F.col("id") * 104729 % 65536).alias("code")).unionByName(spark.createDataFrame([(0, None), (0, 0), (1, 65535)], "rank long, code long"))
+    bitmaps = Q.usage_bitmaps(rows, "rank")
+    want = {r["rank"]: r["n"] for r in rows.groupBy("rank").agg(F.count_distinct("code").alias("n")).collect()}
+    assert {r["rank"]: r["used"] for r in Q.merged_usage(bitmaps, 65536, "rank").collect()} == want
+    assert Q.merged_usage(bitmaps, 65536).first()["used"] == rows.select("code").where("code is not null").distinct().count()
+    assert bitmaps.count() <= 3 * 3 and Q.merged_usage(bitmaps.where("false"), 9, "rank").count() == 0
