@@ -7,8 +7,9 @@ sequence with the number of times each is used. Pieces then find their place by
 their rank among the pieces of their length. Only the counts reach the driver,
 and only the patterns go back, as a table that the pieces are joined with.
 
-The search is a branch and bound. The first incumbent is best-fit decreasing.
-If it uses more sequences than the lower bound, the search takes the longest
+The search is a branch and bound. The first incumbent is best-fit decreasing;
+others are best fits about bins of two to six pieces that were evened out before.
+If these use more sequences than the lower bound, the search takes the longest
 piece left, enumerates the undominated fillings of the room beside it, and goes
 on with each in turn; a branch ends when the waste so far shows that it cannot
 beat the incumbent.
@@ -39,6 +40,8 @@ CAPACITY = 4096
 #: and ``Packing.bound`` tells how far that can be from the least number.
 FILL_NODES = 500
 SEARCH_NODES = 300_000
+#: Pieces that are evened out at once, the rounds of that, and the most pieces of a bin it is tried for.
+BALANCED, EVEN_ROUNDS, MOST_EVEN = 20_000, 40, 6
 #: Ranks of one length that are joined with the patterns in one group.
 RANK_BLOCK = 1 << 10
 
@@ -54,13 +57,15 @@ class Packing(NamedTuple):
     complete: bool
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Longest first, each into the fullest bin that takes it; equal bins are handled together."""
+def best_fit_decreasing(counts: dict[int, int], capacity: int, begun: list[Pattern] | None = None) -> list[Pattern]:
+    """Longest first, each into the fullest bin that takes it, bins ``begun`` included; equal bins are handled together."""
     bins: dict[int, Counter] = {}  # room left -> contents -> number of bins
 
     def put(room: int, contents: tuple, n: int) -> None:
         bins.setdefault(room, Counter())[contents] += n
 
+    for contents, n in begun or []:
+        put(capacity - sum(k * t for k, t in contents), contents, n)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
@@ -84,6 +89,59 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(contents, n) for held in bins.values() for contents, n in held.items()]
 
 
+def even(x: np.ndarray, k: int, capacity: int) -> np.ndarray:
+    """As many bins of ``k`` pieces as ``x`` has pieces for, a row each, with sums as equal as can be.
+
+    One piece of every bin at a time, the longest go to the bins whose others are
+    shortest, until no sum is beyond the capacity or nothing changes.
+    """
+    t = len(x) // k
+    table = np.stack([x[j * t : (j + 1) * t][:: -1 if j % 2 else 1] for j in range(k)], 1)
+    for _ in range(EVEN_ROUNDS):
+        before = table.sum(1)
+        if before.max(initial=0) <= capacity:
+            break
+        for j in range(k):
+            rest = table.sum(1) - table[:, j]
+            table[np.argsort(-rest, kind="stable"), j] = np.sort(table[:, j])
+        if (table.sum(1) == before).all():
+            break
+    return table
+
+
+def balanced(counts: dict[int, int], capacity: int, most: int) -> list[Pattern]:
+    """Bins of ``most`` pieces first, of the shortest, as many as even sums allow, then of one piece less; what is short fills their rooms.
+
+    Pieces of which ``most + 1`` fit in a bin are short, and go to the rooms by
+    best fit. Best fit alone puts long pieces together, and leaves no room for
+    as many bins of three or four as there can be. Of very many pieces, the
+    counts are divided first, so that patterns stay few; the rest goes the same
+    way.
+    """
+    large = {k: n for k, n in counts.items() if n and k * (most + 1) > capacity}
+    made: Counter = Counter()
+    left = large
+    while left:
+        share = -(-sum(left.values()) // BALANCED)
+        x = np.repeat(np.array(sorted(left)), [left[k] // share for k in sorted(left)])
+        for k in range(most, 0, -1):
+            below = np.concatenate([[0], np.cumsum(x)])
+            low, high, table = 0, len(x) // k, None
+            while low < high:  # the most bins whose sums fit
+                t = (low + high + 1) // 2
+                found = even(x[: k * t], k, capacity) if below[k * t] <= t * capacity else None
+                if found is not None and found.sum(1).max() <= capacity:
+                    low, table = t, found
+                else:
+                    high = t - 1
+            if table is not None:
+                for row in table.tolist():
+                    made[tuple(sorted(Counter(row).items(), reverse=True))] += share
+                x = x[k * low :]
+        left = {k: n % share for k, n in left.items() if n % share}
+    return best_fit_decreasing({k: n for k, n in counts.items() if n and k not in large}, capacity, list(made.items()))
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: by the total, by pieces of which k fit at most, and by pieces over half a bin.
 
@@ -244,6 +302,11 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, search_nodes: int =
     bound = lower_bound(counts, capacity)
     best = best_fit_decreasing(counts, capacity)
     n_best = sum(n for _, n in best)
+    for most in range(2, MOST_EVEN + 1):
+        if n_best > bound:
+            found = balanced(counts, capacity, most)
+            if sum(n for _, n in found) < n_best:
+                best, n_best = found, sum(n for _, n in found)
     complete = True
     while n_best > bound:
         found, search_nodes, complete = search(counts, capacity, (n_best - 1) * capacity - total, search_nodes, fill_nodes)
