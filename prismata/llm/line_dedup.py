@@ -1,14 +1,14 @@
 r"""Line deduplication by range-partitioned hashes.
 
 Built from DataFrame functions only. Lines travel as 128-bit hashes, never as
-text. They are dealt by range of hash, document and position, in that order, so
-a key that a third of all lines share is cut into several ranges like any other
-run of rows. A stream over each range's rows compares them with the first of
-their key in the range. A key can only go on from one range to the next as the
-last key of the one and the first of the other; for these, of which there are no
-more than ranges, the first of all ranges is put in its place. What comes back
-is a compressed keep bitmap per document: 64-bit words of dropped positions,
-with words that drop nothing left out.
+text, and once: they are dealt by range of their hash and sorted within each
+range by hash, document and position, and a stream over a range compares each
+line with the first of its key. A key that a large share of all lines have is
+seen in a sample and not dealt: its first document is a minimum that tasks take
+of their own lines before anything is exchanged, and is sent to the lines where
+they are. There are no more such keys than ``HOT_KEYS``. What comes back is a
+compressed keep bitmap per document: 64-bit words of dropped positions, with
+words that drop nothing left out.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .storage import discard, materialize
 
 #: Keys shorter than this many code points are never dropped.
 MIN_KEY = 10
+#: One line in ``SAMPLE`` is looked at for hot keys, those with ``HOT_SAMPLES`` or more there; at most ``HOT_KEYS`` are taken, the most frequent.
+SAMPLE, HOT_SAMPLES, HOT_KEYS = 64, 16, 50_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -55,20 +57,19 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
         "line-hashes",
     )
+    key = ["h1", "h2"]
     order = [F.col("doc_id").asc_nulls_last(), F.col("pos").asc()]
-    ranged = lines.repartitionByRange("h1", "h2", *order).withColumn("range", F.spark_partition_id())
-    stream = Window.partitionBy("range", "h1", "h2").orderBy(*order)
-    firsts = materialize(ranged.withColumn("first_doc", F.first("doc_id").over(stream)), "line-firsts")
-    discard(lines)
-
-    key = F.struct("h1", "h2")
-    ends = firsts.groupBy("range").agg(F.min(key).alias("a"), F.max(key).alias("b")).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
-    split = ends.groupBy("k").count().where("count > 1").select("k.h1", "k.h2")  # no more than ranges
-    earliest = F.min(F.struct(F.col("first_doc").isNull().alias("last"), "first_doc")).alias("e")
-    split = firsts.join(F.broadcast(split), ["h1", "h2"]).groupBy("h1", "h2").agg(earliest).select("h1", "h2", "e")
-    split = F.broadcast(materialize(split, "line-split-keys"))
-    first = F.when(F.col("e").isNotNull(), F.col("e.first_doc")).otherwise(F.col("first_doc"))
-    dropped = firsts.join(split, ["h1", "h2"], "left").where(~F.col("doc_id").eqNullSafe(first))
+    # a key's sample tells whether it is dealt with the others, not what becomes of it
+    hot = lines.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SAMPLE)) == 0).groupBy(*key).count().where(F.col("count") >= HOT_SAMPLES)
+    hot = F.broadcast(materialize(hot.orderBy(F.col("count").desc(), *key).limit(HOT_KEYS).select(*key), "line-hot-keys"))
+    ranged = lines.join(hot, key, "left_anti").repartitionByRange(*key)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    stream = Window.partitionBy(*key).orderBy(*order)
+    found = ranged.withColumn("first", F.first(first).over(stream))
+    held = lines.join(hot, key)
+    earliest = F.broadcast(materialize(held.groupBy(*key).agg(F.min(first).alias("first")), "line-hot-firsts"))  # a row for each hot key
+    found = found.unionByName(held.join(earliest, key))
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     words = dropped.groupBy("doc_id", "row_key", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits")
     )
