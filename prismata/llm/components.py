@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import looked_up
 from .storage import discard, materialize
 
 
@@ -13,24 +14,32 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest root among neighbours, then the root's own
     root, so long chains shorten by more than half. Rounds end at tables in the
-    shared folder; only whether a root changed reaches the driver.
+    shared folder; only whether a root changed reaches the driver. An id that a
+    large share of all links have, and a root of as many ids, are hot keys and
+    looked up as such.
     """
     links = links.where("a <> b")
     both = materialize(
         links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
-    roots = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("root")), "roots")
+    ends = both.count()
+    degrees = materialize(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.least("a", F.min("b")).alias("root")), "roots")
+    total, roots = degrees.count(), degrees
     while True:
-        near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        others = degrees.select(F.col("id").alias("b"), "degree").join(roots.select(F.col("id").alias("b"), "root"), "b")
+        near = looked_up(both, others, ["b"], ["root"], "degree", ends, "a").groupBy(F.col("a").alias("id")).agg(F.min("found.root").alias("near"))
         step = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         step = materialize(step, "step")
-        discard(roots)
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = materialize(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")), "roots")
+        if roots is not degrees:
+            discard(roots)
+        members = step.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+        jump = step.select(F.col("id").alias("root"), F.col("root").alias("next")).join(members, "root")
+        new = looked_up(step, jump, ["root"], ["next"], "members", total, "id")
+        new = materialize(new.select("id", "was", F.least("root", "found.next").alias("root")), "roots")
         changed = new.where("root <> was").limit(1).count()
         discard(step)
         if not changed:
             roots = materialize(new.select("id", "root"), "roots")
-            discard(new, both)
+            discard(new, both, degrees)
             return roots
         roots = new

@@ -25,7 +25,7 @@ shingles, which decides most pairs without the sets; parity bitmaps decide more.
 What is left is compared in two rounds: first the closest pair for each set and
 component, then, unless the components have met, all others.
 
-All comparisons are exact, on the shingles of the whole texts.
+All comparisons are exact, on the 64-bit hashes of the shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -456,7 +456,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     found = materialize(_sets(texts, width), "jaccard-sets")
     sets = found.where("chunk is null").select("doc_id", "n", "id")
     named = found.where("n > 0 and doc_id is not null")
-    classes = materialize(named.groupBy("id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-classes")
+    classes = named.groupBy("id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes, "jaccard-classes")
     lists = materialize(_lists(texts, _order(found), width, num, den), "jaccard-lists")
     give_back()
     # an id with texts of several classes joins these
@@ -501,10 +502,12 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
     rep = lambda k: classes.select(F.col("id").alias(k), F.col("rep").alias(f"{k}_rep"))
     links = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "common", "total")
 
-    rooted = classes.join(roots, "id").select("id", "root", "rep")
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("lowest"))
-    known = rooted.join(lowest, "root").select("id", "lowest")
-    known = classes.join(known, "id", "left").select("id", "rep", F.coalesce("lowest", "rep").alias("lowest"))
-    out = sets.join(known, "id", "left")
+    # a component, and a class, may hold a third of all classes or documents
+    rooted = materialize(classes.join(roots, "id").select("id", "root", "rep", "copies"), "jaccard-rooted")
+    lowest = rooted.groupBy("root").agg(F.min("rep").alias("lowest"), F.count(F.lit(1)).alias("members"))
+    known = looked_up(rooted, lowest, ["root"], ["lowest"], "members", rooted.count(), "id").select("id", F.col("found.lowest").alias("lowest"))
+    known = materialize(classes.join(known, "id", "left").select("id", "rep", F.coalesce("lowest", "rep").alias("lowest"), "copies"), "jaccard-known")
+    out = looked_up(sets.withColumn("_row", F.xxhash64("doc_id")), known, ["id"], ["rep", "lowest"], "copies", sets.count(), "_row")
+    out = out.select("doc_id", "n", "found.rep", "found.lowest")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("rep").alias("class_id"), own("lowest").alias("component_id")), links
