@@ -216,3 +216,45 @@ def test_no_python_in_the_plan_of_license_scans(spark):
 def test_results_hold_together():
     assert len({w for _, _, t in L.TEMPLATES for w in L.words_of(t)}) < 200
     assert all(a != b for a, b in itertools.combinations([t for _, _, t in L.TEMPLATES], 2))
+
+
+# ---- packing
+
+
+def _used(patterns):
+    out = Counter()
+    for contents, n in patterns:
+        assert sum(k * t for k, t in contents) <= 4096
+        for k, t in contents:
+            out[k] += t * n
+    return out
+
+
+def test_packings_of_two_and_three_pieces_come_near_the_least():
+    from prismata.llm import packing
+
+    r = random.Random(1)
+    counts = Counter(r.randint(1025, 2039) for _ in range(3000))
+    found = packing.solve(counts)
+    assert found.sequences <= 1180 and found.bound <= found.sequences and _used(found.patterns) == counts
+    many = packing.solve({k: 10_000_019 * n for k, n in counts.items()})
+    assert many.sequences <= 1180 * 10_000_019 and _used(many.patterns) == {k: 10_000_019 * n for k, n in counts.items()} and len(many.patterns) < 60_000
+    for n, most in ((20, 20), (200, 202)):
+        triples = Counter()
+        for _ in range(n):
+            a = r.randint(1100, 1700)
+            b = r.randint(1025, 4096 - a - 1025)
+            triples.update([a, b, 4096 - a - b])
+        found = packing.solve(triples)
+        assert n <= found.sequences <= most and _used(found.patterns) == triples
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 4096), (820, 1500), (1400, 3000), (4096, 4096), (2049, 2100), (1, 5)])
+def test_even_bins_hold_all_pieces(low, high):
+    from prismata.llm import packing
+
+    r = random.Random(low)
+    counts = Counter(r.randint(low, high) for _ in range(500))
+    for most in (2, 3, 6):
+        assert _used(packing.balanced(counts, 4096, most)) == counts
+    assert packing.balanced({}, 4096, 3) == []
