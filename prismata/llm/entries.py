@@ -54,6 +54,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines only: what SQL can express of the same operator."""
+    no_parts = 1 << 40
+    found = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), min_words=no_parts)
+    return found.select(
+        "doc_id",
+        F.size("removed_spans").cast("long").alias("n_removed"),
+        F.expr("aggregate(removed_spans, 0L, (n, s) -> n + s.end - s.start)").alias("removed_chars"),
+        F.array_join(F.transform("removed_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_and_probed(documents(spark, sf_dir))
 
@@ -128,12 +141,14 @@ QUERIES = {
     "op11_vector_codes": op11_vector_codes,
     "op12_source_divergence": op12_source_divergence,
     "op13_license_scans": op13_license_scans,
+    "op4_line_spans": op4_line_spans,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op2_line_dedup": line_dedup.SQL,
+    "op4_line_spans": substring_dedup.LINES_SQL,
     "op11_vector_codes": vector_codes.SQL,
     "op12_source_divergence": divergence.SQL,
     "op13_license_scans": licenses.SQL,

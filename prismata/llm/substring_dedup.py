@@ -205,3 +205,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", removed_spans array<struct<start:long,end:long,kind:string>>"
     return map_arrow(held, work, schema)
+
+
+#: The spans of kind ``line`` alone, as ``dedup_substrings`` gives them where no run of parts is long enough.
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base,
+        ltrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS cut, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS own FROM l),
+u AS (SELECT doc_id, pos, base + length(line) - length(cut) AS a, base + length(line) - length(cut) + length(own) AS b,
+        regexp_replace(translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09\x0B\x0C\x0D]+', ' ', 'g') AS key FROM o WHERE own <> ''),
+g AS (SELECT *, length(key) >= 10 AND row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1 AS gone FROM u),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS run FROM g),
+s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM r WHERE gone GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, s.a, s.b, substring(text, coalesce(lag(b) OVER w, 0) + 1, s.a - coalesce(lag(b) OVER w, 0)) AS before FROM s JOIN d USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.a))
+SELECT d.doc_id, count(k.a) AS n_removed, coalesce(sum(k.b - k.a), 0)::BIGINT AS removed_chars, coalesce(string_agg(k.a || ':' || k.b, ',' ORDER BY k.a), '') AS spans,
+       sha256(coalesce(string_agg(k.before, '' ORDER BY k.a), '') || substring(any_value(d.text), coalesce(max(k.b), 0) + 1)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
