@@ -65,16 +65,21 @@ def running(rows: DataFrame, group: list[str], order: list[str], folds: dict[str
 
     ``folds`` has for each new column the value, the aggregate function (one
     that takes partial results as values, such as ``sum`` or ``min``) and how
-    two results are put together. A group of any size is spread over ranges.
+    two results are put together. A group of any size is spread over ranges; what
+    it carries from one to the next is sent to the rows, so that only the
+    windows within ranges exchange them again.
     """
     part, nth, *held = fresh(rows, "part", "nth", *folds)
     values = dict(zip(held, folds.values(), strict=True))
     d = dealt(rows.withColumns({c: v for c, (v, _, _) in values.items()}), [*group, *order], part, nth)
-    totals = d.groupBy(*group, part).agg(*[f(c).alias(c) for c, (_, f, _) in values.items()])
+    keys = F.struct(*group)
+    ends = d.groupBy(part).agg(F.min_by(keys, nth).alias("a"), F.max_by(keys, nth).alias("b")).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("g"))
+    spread = ends.groupBy("g").count().where("count > 1").select(*[F.col("g").getField(g).alias(f"{g}{part}") for g in group])  # no more than ranges
+    same = [F.col(g).eqNullSafe(F.col(f"{g}{part}")) for g in group]
+    totals = d.join(F.broadcast(spread), same).groupBy(*group, part).agg(*[f(c).alias(c) for c, (_, f, _) in values.items()])
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*[F.col(g).alias(f"{g}{part}") for g in group], F.col(part).alias(f"{part}c"), *[f(c).over(earlier).alias(f"{c}c") for c, (_, f, _) in values.items()])
-    same = [F.col(g).eqNullSafe(F.col(f"{g}{part}")) for g in group]
-    joined = d.join(carried, [*same, F.col(part) == F.col(f"{part}c")])
+    joined = d.join(F.broadcast(stored(carried)), [*same, F.col(part) == F.col(f"{part}c")], "left")  # no more than two rows a range
     own = Window.partitionBy(*group, part).orderBy(nth).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     out = joined.select(*rows.columns, *[f(c).over(own).alias(c) for c, (_, f, _) in values.items()], *[f"{c}c" for c in values])
     both = lambda a, b, put: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(put(a, b))
