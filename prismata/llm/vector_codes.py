@@ -143,17 +143,24 @@ def _starts(rows: DataFrame, entries: int, scale: int) -> np.ndarray | None:
         held: dict[int, list] = {}
         for rows in batches:
             ids, column = rows.column(0), rows.column(1)
-            for i in np.flatnonzero(_finite(column)).tolist():
-                v = [float(np.floor(y * scale)) for y in column[i].as_py()]
-                if max(map(abs, v), default=0) > LARGEST:
-                    continue
-                own, key = held.setdefault(len(v), []), ids[i].as_py()
-                if len(own) < entries or (key is not None and (own[-1][0] is None or key <= own[-1][0])):
-                    own.append((key, v))
-                    own.sort(key=lambda t: (t[0] is None, t[0] or 0, t[1]))
-                    del own[entries:]
+            finite = np.flatnonzero(_finite(column))
+            late = ids.is_null().to_numpy(zero_copy_only=False)[finite]
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False)[finite]
+            sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)[finite]
+            order = np.lexsort((number, late))
+            for size in np.unique(sizes).tolist():
+                own = held.setdefault(size, [])
+                for k in order[sizes[order] == size].tolist():
+                    key = (bool(late[k]), int(number[k]))
+                    if len(own) >= entries and key > own[-1][0]:
+                        break
+                    v = [float(np.floor(y * scale)) for y in column[int(finite[k])].as_py()]
+                    if max(map(abs, v), default=0) <= LARGEST:
+                        own.append((key, v))
+                        own.sort()
+                        del own[entries:]
         found = [t for own in held.values() for t in own]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([None if late else k for (late, k), _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["k", "v"])
 
     first = materialize(map_arrow(rows.select("vec_id", "vector"), work, "k long, v array<double>"), "vector-starts")
     order = [F.col("k").asc_nulls_last(), F.col("v")]
