@@ -197,12 +197,14 @@ class Field:
         n, longest = len(windows), max(len(x[3]) for x in windows)
         tags = np.zeros((n, longest), np.int64)
         real = np.zeros((n, longest), bool)
-        design = np.zeros((n, longest, len(self.weights)), np.float32)
+        design = np.zeros((sum(len(x[3]) for x in windows), len(self.weights)), np.float32)  # of the tokens that there are
         at = np.cumsum([0, *self.SIZES])
+        below = 0
         for i, (shape, touch, file, tag) in enumerate(windows):
             k = len(tag)
             tags[i, :k], real[i, :k] = tag, True
-            row = design[i]
+            row = design[below : below + k]
+            below += k
             row[:k, at[0] : at[1]] = shape
             row[1:k, at[1] : at[2]] = shape[:-1]
             row[: k - 1, at[2] : at[3]] = shape[1:]
@@ -211,7 +213,6 @@ class Field:
             row[:k, at[5]], row[:k, at[5] + 1] = touch & 1, touch >> 1
             row[:k, at[6] : at[7]] = file
             row[:k, at[7]] = 1
-        design = design[real]
         gold = np.eye(3)[tags] * real[:, :, None]
         both = real[:, 1:] & real[:, :-1]
         gold_move = np.einsum("ntu,ntv->uv", gold[:, :-1] * both[:, :, None], gold[:, 1:])
@@ -453,7 +454,7 @@ def _window(text: str, spans: list[tuple[int, int]], centre: int, file: np.ndarr
     at = int(np.searchsorted(starts, len(cut[: centre - low].encode())))
     own = slice(max(0, at - REACH), min(len(starts), at + REACH))
     held = [values[i] for i in index[own]]
-    return features(held), glued(starts, ends)[own], file, tags[own]
+    return features(held).astype(np.float32), glued(starts, ends)[own], file, tags[own]
 
 
 def _values(text: str) -> list[tuple[int, int]]:
@@ -529,11 +530,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int =
                     [pa.array([k for k, _ in found], pa.int64()), pa.array([hit] * len(found), pa.bool_()), pa.array([pickle.dumps(w) for _, w in found], pa.binary())], ["k", "hit", "w"]
                 )
 
-    windows = map_arrow(held.select("text"), work, "k long, hit boolean, w binary").orderBy("k", "w").limit(sample_windows).toArrow().to_pylist()
+    windows = map_arrow(held.select("text"), work, "k long, hit boolean, w binary").orderBy("k", "w").limit(sample_windows).toArrow()
     discard(rows)
     field = Field()
-    if any(r["hit"] for r in windows):
-        field.fit([pickle.loads(r["w"]) for r in windows])
+    if pc.any(windows["hit"]).as_py():
+        held = [pickle.loads(w.as_buffer()) for w in windows["w"]]
+        del windows
+        field.fit(held)
     give_back()
     return field
 
