@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from prismata.llm import columns, entries, media, packing
 
+from .test_audits import plain_codes, plain_divergence, plain_licenses
 from .test_models import plain_spans
 from .test_near_copies import brute_roots
 
@@ -31,13 +32,15 @@ def edge_dir(spark, edge, tmp_path_factory):
         docs = docs.withColumn(name, F.lit("x"))
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, i % 2 if i % 3 else None) for i in range(16)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    vectors = [(k, [((k * 7 + j * 3) % 11) / 11 - 0.4 for j in range(64)], k % 3 or None) for k in range(40)] + [(40, None, 1), (41, [float("nan")] * 64, 1), (3, [0.25] * 64, 2), (3, [0.25] * 64, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumn("code", F.lit("x")).write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{edge_dir}/{t}.parquet").where("false").write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -61,6 +64,22 @@ def test_every_row_has_a_result(spark, edge_dir, rows, name):
     assert Counter(r["doc_id"] for r in run(spark, name, edge_dir)) == Counter(i for i, _ in rows)
 
 
+def test_op11(spark, edge_dir):
+    vectors = spark.read.parquet(f"{edge_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    want, digest = plain_codes([(r["vec_id"], r["embedding"], r["label"]) for r in vectors])
+    got = run(spark, "op11_vector_codes", edge_dir)
+    assert Counter((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got) == Counter((k, "".join(f"{c:02x}" for c in code), *e) for k, code, *e in want)
+    assert {r["codebooks_sha256"] for r in got} == {digest}
+
+
+def test_op12(spark, edge_dir, edge_rows):
+    assert sorted(map(tuple, run(spark, "op12_source_divergence", edge_dir))) == plain_divergence([(t, lang, source) for _, t, lang, source in edge_rows])
+
+
+def test_op13(spark, edge_dir, rows):
+    assert Counter(tuple(r) for r in run(spark, "op13_license_scans", edge_dir)) == Counter((i, *plain_licenses(t)[:7]) for i, t in rows)
+
+
 def test_op3(spark, edge_dir, rows):
     import tiktoken
 
