@@ -52,6 +52,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 2000, 4000
 #: Tokens on both sides of a window's centre, and how far back a training window may look for the beginning of its first word.
 REACH, LOOK = 12, 4096
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
+#: Tokens that training looks at in one product.
+CUT = 8192
 WORD_BUCKETS = 32
 SHAPES = 28
 FEATURES = SHAPES + WORD_BUCKETS
@@ -197,13 +199,16 @@ class Field:
         n, longest = len(windows), max(len(x[3]) for x in windows)
         tags = np.zeros((n, longest), np.int64)
         real = np.zeros((n, longest), bool)
-        design = np.zeros((sum(len(x[3]) for x in windows), len(self.weights)), np.float32)  # of the tokens that there are
         at = np.cumsum([0, *self.SIZES])
+        total = sum(len(x[3]) for x in windows)
+        bits = np.zeros((total, at[6]), np.uint8)  # of the tokens that there are: what is 0 or 1 in a byte each
+        text = np.ones((total, at[8] - at[6]), np.float32)  # and what their text says of them
         below = 0
         for i, (shape, touch, file, tag) in enumerate(windows):
             k = len(tag)
             tags[i, :k], real[i, :k] = tag, True
-            row = design[below : below + k]
+            row = bits[below : below + k]
+            text[below : below + k, : at[7] - at[6]] = file
             below += k
             row[:k, at[0] : at[1]] = shape
             row[1:k, at[1] : at[2]] = shape[:-1]
@@ -211,8 +216,6 @@ class Field:
             row[2:k, at[3] : at[4]] = shape[:-2, FAR]
             row[3:k, at[4] : at[5]] = shape[:-3, FAR]
             row[:k, at[5]], row[:k, at[5] + 1] = touch & 1, touch >> 1
-            row[:k, at[6] : at[7]] = file
-            row[:k, at[7]] = 1
         gold = np.eye(3)[tags] * real[:, :, None]
         both = real[:, 1:] & real[:, :-1]
         gold_move = np.einsum("ntu,ntv->uv", gold[:, :-1] * both[:, :, None], gold[:, 1:])
@@ -220,10 +223,13 @@ class Field:
         first, second = [np.zeros_like(p) for p in held], [np.zeros_like(p) for p in held]
         for step in range(1, STEPS + 1):
             score = np.zeros(gold.shape)
-            score[real] = design @ self.weights.astype(np.float32)
+            weights = self.weights.astype(np.float32)
+            score[real] = text @ weights[at[6] :]
+            score[real] += np.concatenate([bits[k : k + CUT].astype(np.float32) @ weights[: at[6]] for k in range(0, total, CUT)])
             marginal, pairs = self._expect(score, real)
-            off = ((gold - marginal) * real[:, :, None])[real]
-            for p, g, a, b in zip(held, [design.T @ off.astype(np.float32), gold_move - pairs], first, second, strict=True):
+            off = ((gold - marginal) * real[:, :, None])[real].astype(np.float32)
+            slope = sum(bits[k : k + CUT].astype(np.float32).T @ off[k : k + CUT] for k in range(0, total, CUT))
+            for p, g, a, b in zip(held, [np.concatenate([slope, text.T @ off]), gold_move - pairs], first, second, strict=True):
                 g = g / n - PENALTY * p
                 a *= 0.9
                 a += 0.1 * g
@@ -454,7 +460,7 @@ def _window(text: str, spans: list[tuple[int, int]], centre: int, file: np.ndarr
     at = int(np.searchsorted(starts, len(cut[: centre - low].encode())))
     own = slice(max(0, at - REACH), min(len(starts), at + REACH))
     held = [values[i] for i in index[own]]
-    return features(held).astype(np.float32), glued(starts, ends)[own], file, tags[own]
+    return features(held), glued(starts, ends)[own], file, tags[own]
 
 
 def _values(text: str) -> list[tuple[int, int]]:
