@@ -30,6 +30,8 @@ All comparisons are exact, on the 64-bit hashes of the shingles of whole texts.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import blank, blocks, distinct, give_back, map_arrow
-from .columns import looked_up
+from .columns import likely, looked_up
 from .components import components
 from .storage import discard, materialize
 
@@ -50,6 +52,8 @@ SKETCH_BITS, CHUNK_BITS = 20, 16
 LEVELS = 8
 #: Rows of a block, about, and of a part of a list that is put together in one task.
 BLOCK, PART = 512, 4096
+#: Rows of a list among which each pair's positions are looked at beforehand, and rows of one that a task holds until its end.
+SEEN, WAIT = 64, 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -195,8 +199,32 @@ def _order(sets: DataFrame) -> Order:
     return Order(counts)
 
 
+def with_partner(lists: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int, seen: int = SEEN) -> np.ndarray:
+    """Which rows have another in their list that sizes and positions allow a link with.
+
+    Rows are sorted by list and size. In a list of over ``seen`` rows, those
+    with one near in size are taken as well, whatever the positions.
+    """
+    size = np.bincount(lists)[lists]
+    same = lists[1:] == lists[:-1]
+    close = same & (n[:-1] * den >= n[1:] * num) & (size[1:] > seen)  # by size, the next is the likeliest partner
+    found = np.append(close, False) | np.insert(close, 0, False) if len(n) else np.zeros(0, bool)
+    at = np.flatnonzero((size > 1) & (size <= seen))
+    for d in range(1, seen):
+        at = at[at + d < len(n)]
+        at = at[lists[at + d] == lists[at]]
+        if not len(at):
+            break
+        x, y = at, at + d
+        ok = (n[x] * den >= n[y] * num) & ((pos[x] + pos[y]) * (den + num) <= (n[x] + n[y]) * (den - num))
+        found[x[ok]] = found[y[ok]] = True
+    return found
+
+
 def _lists(docs: DataFrame, order: Order, width: int, num: int, den: int) -> DataFrame:
-    """``key, id, n, pos`` of the sets that have another of a size they can link with in a list.
+    """``key, id, n, pos`` of the sets that have another in a list that sizes and positions allow a link with.
+
+    In lists of over ``SEEN`` sets, some stay that have none.
 
     A list that the sketch says may be long is put together in parts, by the
     names of its sets; a part is kept whole.
@@ -231,23 +259,26 @@ def _lists(docs: DataFrame, order: Order, width: int, num: int, den: int) -> Dat
                 )
 
     def shared(batches):
-        tail, given = None, False  # the row before, and whether it went out
-        for rows in batches:
-            held = [rows.column(c).to_numpy() for c in range(5)]
-            if tail is not None:
-                held = [np.insert(x, 0, y) for x, y in zip(held, tail, strict=True)]
-            if not len(held[0]):
+        held, over = None, None  # rows of a list that may go on, and a list of which some rows went out before its end
+        for rows in chain(batches, [None]):
+            if rows is not None:
+                new = [rows.column(c).to_numpy() for c in range(5)]
+                held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if not held or not len(held[0]):
                 continue
             fresh = np.insert((held[0][1:] != held[0][:-1]) | (held[2][1:] != held[2][:-1]), 0, True)  # copies of a set stand together
-            key, part, _, n, _ = held = [x[fresh] for x in held]
-            size = n.astype(np.int64)
-            close = (key[1:] == key[:-1]) & (size[:-1] * den >= size[1:] * num)  # by size, the next is the likeliest partner
-            kept = np.append(close, False) | np.insert(close, 0, False) | (part >= 0)
-            out = kept.copy()
-            if tail is not None and given:
-                out[0], kept[0] = False, True
-            tail, given = [x[-1] for x in held], bool(kept[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, *held[2:])], ["key", "id", "n", "pos"])
+            key, part, _, n, pos = held = [x[fresh] for x in held]
+            first = np.insert((key[1:] != key[:-1]) | (part[1:] != part[:-1]), 0, True)
+            kept = with_partner(np.cumsum(first), n.astype(np.int64), pos.astype(np.int64), num, den, SEEN) | (part >= 0)
+            if over:
+                kept |= (key == over[0]) & (part == over[1])
+            cut = int(np.flatnonzero(first)[-1]) if rows is not None else len(key)
+            if len(key) - cut > WAIT:
+                over, cut = (key[-1], part[-1]), len(key) - 1
+                kept |= (key == over[0]) & (part == over[1])
+            kept = kept[:cut]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:cut][kept]) for x in (key, *held[2:])], ["key", "id", "n", "pos"])
+            held = [x[cut:] for x in held]
 
     rows = map_arrow(docs, entries, "key long, part int, id long, n int, pos int")
     return map_arrow(rows.repartition("key", "part").sortWithinPartitions("key", "part", "n", "id"), shared, "key long, id long, n int, pos int")
@@ -295,8 +326,11 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
     return map_arrow(both, work, "a long, b long")
 
 
-def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``id, shingles`` of the sets with these names, out of the text of their smallest document."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, shingles`` of the sets ``wanted (doc_id, id)``, out of the text of that document.
+
+    Other texts stay where they are, but for the few that ``likely`` leaves.
+    """
     def sets(batches):
         for rows, data, offsets in blocks(batches):
             want = rows.column(rows.schema.get_field_index("id")).to_numpy()
@@ -305,8 +339,7 @@ def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
                 [pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "shingles"],
             )
 
-    wanted = classes.join(ids, "id", "left_semi").select(F.col("rep").alias("doc_id"), "id")
-    own = docs.where("text is not null").join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])  # rows may repeat
+    own = likely(docs.where("text is not null"), wanted, "doc_id").join(wanted, "doc_id").dropDuplicates(["doc_id", "id", "text"])  # rows may repeat
     return map_arrow(own, sets, "id long, shingles binary")
 
 
@@ -469,9 +502,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, num: int = NUM, de
 
     def compare(pairs: DataFrame) -> None:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        held = materialize(_sets_of(ids, classes, texts, width), "jaccard-compared-sets")
+        wanted = materialize(classes.join(ids, "id", "left_semi").select(F.col("rep").alias("doc_id"), "id"), "jaccard-wanted")
+        held = materialize(_sets_of(wanted, texts, width), "jaccard-compared-sets")
         compared.append(materialize(_compare(pairs, held), "jaccard-compared"))
-        discard(held)
+        discard(held, wanted)
 
     def linked() -> DataFrame:
         links = shared

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from prismata.llm import jaccard
+from prismata.llm import columns, jaccard, storage
 
 
 def brute_kept(rows, width, num, den):
@@ -127,3 +127,76 @@ def test_an_id_with_two_texts_links_by_both(spark):
     found, _ = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     held = found.where("n_shingles > 0").collect()
     assert {(x["doc_id"], x["component_id"]) for x in held} == set(want.items())
+
+
+def test_lists_that_do_not_wait_for_their_end(spark, monkeypatch):
+    """Chains again, in batches of a few rows, with lists given out in pieces."""
+    monkeypatch.setattr(jaccard, "SEEN", 3)
+    monkeypatch.setattr(jaccard, "WAIT", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        test_chains_whose_ends_do_not_link(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    none = sc._jvm.java.util.ArrayList()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_only_wanted_texts_are_exchanged(spark, monkeypatch):
+    """Each round of comparisons once exchanged all texts of the table, even for a few pairs."""
+    sent = []
+
+    def watched(df, name):
+        before = shuffled_records(spark)
+        out = storage.materialize(df, name)
+        sent.append((name, shuffled_records(spark) - before))
+        return out
+
+    texts = [" ".join(f"w{40 * i + k}" for k in range(30)) for i in range(2000)]
+    rows = [*enumerate(texts), *((5000 + i, texts[i] + " more") for i in range(7, 2000, 500)), (7, None), (None, texts[3])]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the wanted ids are many
+    monkeypatch.setattr(jaccard, "materialize", watched)
+    try:
+        found, _ = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {(r["doc_id"], r["component_id"]) for r in found.where("doc_id <> component_id").collect()} == {(5000 + i, i) for i in range(7, 2000, 500)}
+    rounds = [n for name, n in sent if name == "jaccard-compared-sets"]
+    assert rounds and max(rounds) < 200
+
+
+def test_likely_rows_hold_all_that_are_wanted(spark, monkeypatch):
+    rows = spark.range(-3000, 3000).selectExpr("id", "id % 7 as x")
+    table = spark.range(-3000, 9000, 100).unionByName(spark.range(0, 3000, 100))
+    for bits in (24, 8):
+        monkeypatch.setattr(columns, "LIKELY_BITS", bits)
+        got = columns.likely(rows, table, "id")
+        ids = [r["id"] for r in got.collect()]
+        assert len(ids) == len(set(ids)) and set(range(-3000, 3000, 100)) <= set(ids) and got.columns == ["id", "x"]
+        assert bits < 24 or len(ids) < 100
+    assert not columns.likely(rows, table.where("false"), "id").count()
+
+
+@pytest.mark.parametrize("settings", [(90, 100), (80, 100)])
+def test_rows_of_lists_with_a_partner(settings):
+    r = np.random.default_rng(3)
+    num, den = settings
+    for _ in range(60):
+        lists = np.sort(r.integers(0, r.integers(1, 60), r.integers(1, 200)))
+        n = r.integers(5, 80, len(lists))
+        n = n[np.lexsort((n, lists))]
+        pos = np.array([r.integers(0, max(1, jaccard.prefix_length(int(x), num, den))) for x in n])
+        got = jaccard.with_partner(lists, n, pos, num, den)
+        low, high = np.minimum.outer(n, n), np.maximum.outer(n, n)
+        may = np.equal.outer(lists, lists) & (low * den >= high * num) & (np.add.outer(pos, pos) * (den + num) <= np.add.outer(n, n) * (den - num))
+        np.fill_diagonal(may, False)
+        short = np.bincount(lists)[lists] <= jaccard.SEEN
+        assert (got | ~may.any(1)).all() and (got == may.any(1))[short].all()
+    assert not len(jaccard.with_partner(lists[:0], n[:0], pos[:0], num, den))
