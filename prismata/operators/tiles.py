@@ -1,9 +1,11 @@
 """Products of two tables in tiles: nearest codes in a codebook of any size, attention over sequences of any length.
 
-Both sides are cut into tiles of bounded size, and rows of a pair of tiles meet
-in one task, sorted so that one tile comes first. A task holds that tile as a
-matrix and the other side as it streams, and gives one partial result a row;
-these are merged by key. Neither a table nor a tile goes through the driver.
+Of a codebook, tiles are kept once and go past blocks of rows that tasks hold, so
+that a row has its result when the last tile is by. Of attention, both sides are
+cut into tiles of bounded size, and rows of a pair of tiles meet in one task,
+sorted so that one tile comes first. A task holds that tile as a matrix and the
+other side as it streams, and gives one partial result a row; these are merged by
+key. Neither a table nor a tile goes through the driver.
 """
 
 from __future__ import annotations
@@ -12,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..shipping import ship
-from .dealt import fresh
+from .dealt import fresh, stored
 from .shard import numbered
 
 #: Codes of a tile, tokens of a block, and rows of one matrix product.
 CODES, TOKENS, ROWS = 4096, 256, 1024
+#: Components, of 8 bytes each: of a tile or a block of rows at most, twice those a task has; of a range of the codebook; and the fewest for which a task is begun.
+BLOCK, RANGE, LEAST = 1 << 20, 1 << 21, 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,52 +55,125 @@ def _met(first: DataFrame, second: DataFrame, cell: list[str], work) -> DataFram
     return both.repartition(*cell).sortWithinPartitions(*cell, "kind").mapInArrow(function, schema)
 
 
+def _blocks(rows: DataFrame, name: str, vec: str, most: int, numbers: int) -> DataFrame:
+    """``rows`` of each partition in their order, packed: ``block`` counts a partition's blocks from 0, ``names`` and ``matrix`` hold what is in one.
+
+    A block has at most ``most`` rows and some ``numbers`` components; ``place``
+    is that of its first row.
+    """
+    ship(rows.sparkSession)
+    given = rows.select(F.monotonically_increasing_id().alias("place"), F.col(name).alias("name"), F.col(vec).alias("vec"))
+
+    def packed(number, slices):
+        table = pa.Table.from_batches(slices).combine_chunks()
+        names, vectors = (table.column(c).combine_chunks() for c in ("name", "vec"))
+        if pc.min(pc.list_value_length(vectors)) != pc.max(pc.list_value_length(vectors)):
+            raise ValueError("vectors of several lengths")
+        offsets = pa.array([0, len(names)], pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, names)
+        return pa.RecordBatch.from_arrays([table.column("place").chunk(0)[:1], pa.array([number], pa.int32()), lists, pa.array([_matrix(vectors).tobytes()], pa.binary())], ["place", "block", "names", "matrix"])
+
+    def work(batches):
+        number, slices, n, room = 0, [], 0, None
+        for batch in batches:
+            if room is None and batch.num_rows:
+                room = max(1, min(most, numbers // max(1, len(batch.column(2)[0]))))
+            while batch.num_rows:
+                some = batch.slice(0, room - n)
+                batch = batch.slice(some.num_rows)
+                slices.append(some)
+                n += some.num_rows
+                if n == room:
+                    yield packed(number, slices)
+                    number, slices, n = number + 1, [], 0
+        if n:
+            yield packed(number, slices)
+
+    kind = given.schema["name"]
+    schema = StructType([StructField("place", LongType()), StructField("block", IntegerType()), StructField("names", ArrayType(kind.dataType, kind.nullable)), StructField("matrix", BinaryType())])
+    return given.mapInArrow(work, schema)
+
+
+class _Nearest:
+    """The nearest codes so far of one block of rows."""
+
+    def __init__(self, names: pa.Array, x: np.ndarray, kind: pa.DataType):
+        self.names, self.x, n = names, x, len(x)
+        with np.errstate(all="ignore"):
+            self.short, self.length = x.astype(np.float32), np.sqrt((x * x).sum(1))
+        self.dist, self.rank, self.place = np.full(n, np.nan), np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
+        self.codes = pa.nulls(n, kind)
+
+    def meet(self, place: int, codes: pa.Array, y: np.ndarray, short: np.ndarray, length: float) -> None:
+        """Products in 32 bits tell which rows may have a code of this tile that is as near as theirs; distances that decide have 64."""
+        with np.errstate(all="ignore"):
+            product = self.length * length
+            room = np.where(product < 1e30, product * (y.shape[1] + 16) * 2.0**-23, np.inf)  # twice what rounding adds up to; beyond, 32 bits may overflow
+            least = 1 - self.rank / 2 - room - 1e-9  # distances have 9 digits
+            for k in range(0, len(self.x), ROWS):
+                top = (self.short[k : k + ROWS] @ short.T).max(1)
+                own = k + np.flatnonzero(~(top < least[k : k + ROWS]))
+                if not len(own):
+                    continue
+                d = np.round(2 - 2 * self.x[own] @ y.T, 9) + 0.0
+                rank = np.where(np.isnan(d), np.inf, d)  # no number is farther than any
+                best = rank.argmin(1)
+                d, rank = (v[np.arange(len(own)), best] for v in (d, rank))
+                better = (rank < self.rank[own]) | (rank == self.rank[own]) & (place + best < self.place[own])
+                own, best = own[better], best[better]
+                self.dist[own], self.rank[own], self.place[own] = d[better], rank[better], place + best
+                at = np.arange(len(self.x))
+                at[own] = len(at) + np.arange(len(own))
+                self.codes = pa.concat_arrays([self.codes, codes.take(pa.array(best))]).take(pa.array(at))
+
+
 def nearest_code(rows: DataFrame, codebook: DataFrame, key: list[str], vec: str = "v", tile: int = CODES) -> DataFrame:
     """``key, code, dist`` of each row: the nearest code by squared distance of unit vectors, of equal ones the lower.
 
     The codebook ``(code, vec)`` may have any size. ``key`` tells rows apart; rows
-    with the same key have one result, of the nearest of them. Rows are copied
-    for each tile of the codebook, tiles for as many groups of rows as the
-    shuffle has partitions for. A null vector has no result, and no codebook
-    gives none at all.
+    with the same key have one result, of the nearest of them. Nothing is copied
+    for a tile of the codebook: it is kept once, in the checkpoint folder, and
+    each task holds a block of rows and reads it tile by tile, so what is
+    exchanged and kept grows with both tables, not with their product. A null
+    vector has no result and is no code, and no codebook gives none at all.
     """
     spark = rows.sparkSession
-    book = numbered(codebook.select(F.col("code").alias("code"), F.col("vec").alias("vec")), ["code"], "place")
-    book = book.select(F.expr(f"place div {tile}").cast("int").alias("tile"), "code", "vec")
-    tiles = (book.agg(F.max("tile")).first()[0] or 0) + 1
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles)
-    book = book.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     (held,) = fresh(rows, "held")
     named = rows.where(F.col(vec).isNotNull()).select(F.struct(*key).alias(held), F.col(vec).alias("vec"))
-    named = named.select(held, "vec", F.pmod(F.xxhash64(F.to_json(held)), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    book = codebook.where(F.col("vec").isNotNull()).select("code", "vec")
+    numbers, ranged = (df.agg(F.sum(F.size("vec"))).first()[0] or 0 for df in (named, book))
+    parts = max(numbers * 2 // BLOCK, min(spark.sparkContext.defaultParallelism, numbers // LEAST)) + 1
+    ordered = book.repartitionByRange(ranged // RANGE + 1, "code").sortWithinPartitions("code")
+    kept = stored(_blocks(ordered, "code", "vec", tile, BLOCK)).toDF("place", "tile", "codes", "book")
+    own = _blocks(named.repartition(parts, held), held, "vec", BLOCK, BLOCK).select("block", "names", "matrix")
+    # each task has one partition of rows in memory, and all tiles go past it
+    met = kept.coalesce(1).crossJoin(own.hint("shuffle_replicate_nl"))
+    first, start = F.col("block") == 0, F.col("tile") == 0  # a tile is sent with the first block only, blocks with the first tile of a range
+    pairs = met.select("place", "block", F.when(first, F.col("codes")).alias("codes"), F.when(first, F.col("book")).alias("book"), F.when(start, F.col("names")).alias("names"), F.when(start, F.col("matrix")).alias("matrix"))
+
+    def matrix(column, k, n):
+        return np.frombuffer(column[k].as_buffer(), np.float64).reshape(n, -1)
 
     def work(batches):
-        codes, parts, table = [], [], None
-        for new, rows in _runs(batches, ["tile", "salt"]):
-            if new:
-                codes, parts, table = [], [], None
-            at = rows.schema.get_field_index
-            x = _matrix(rows.column(at("vec")))
-            if rows.column(at("kind"))[0].as_py() == 0:
-                parts.append(x)
-                codes.append(rows.column(at("code")))
-                continue
-            if table is None:
-                if not parts:
-                    continue
-                table = np.concatenate(parts)
-                held_codes = pa.chunked_array(codes).combine_chunks()
-                order = held_codes.to_numpy(zero_copy_only=False).argsort(kind="stable")
-                table, held_codes = table[order], held_codes.take(pa.array(order))
-            for k in range(0, len(x), ROWS):
-                d = np.round(2 - 2 * x[k : k + ROWS] @ table.T, 9) + 0.0
-                best = d.argmin(1)
-                own = rows.slice(k, ROWS)
-                yield pa.RecordBatch.from_arrays([own.column(at(held)), held_codes.take(pa.array(best)), pa.array(d[np.arange(len(d)), best])], [held, "code", "dist"])
+        found, tile = {}, None
+        for batch in batches:
+            place, block, codes, book, names, x = batch.columns
+            for k in range(batch.num_rows):
+                if codes[k].is_valid:
+                    values = codes[k].values
+                    y = matrix(book, k, len(values))
+                    with np.errstate(all="ignore"):
+                        tile = (place[k].as_py(), values, y, y.astype(np.float32), np.sqrt((y * y).sum(1)).max())
+                number = block[k].as_py()
+                if number not in found:
+                    own = names[k].values
+                    found[number] = _Nearest(own.take(pa.array(np.arange(len(own)))), matrix(x, k, len(own)).copy(), tile[1].type)  # copies, for batches to be freed
+                found[number].meet(*tile)
+        for one in found.values():
+            yield pa.RecordBatch.from_arrays([one.names, one.codes, pa.array(one.dist)], [held, "code", "dist"])
 
     schema = StructType([named.schema[held], book.schema["code"], StructField("dist", DoubleType())])
-    found = _met(book, named, ["tile", "salt"], (work, schema))
-    best = found.groupBy(held).agg(F.min(F.struct("dist", "code")).alias("near"))
+    best = pairs.mapInArrow(work, schema).groupBy(held).agg(F.min(F.struct("dist", "code")).alias("near"))
     return best.select(f"{held}.*", F.col("near.code").alias("code"), F.col("near.dist").alias("dist"))
 
 

@@ -22,6 +22,57 @@ def test_nearest_codes_in_tiles(spark, tile):
     assert got[3, 7] == (1000 - 40, 0.0) and all(abs(got[k][1] - want[k][1]) < 1e-8 for k in got)
 
 
+def _exchanged(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(60_000)
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_more_tiles_exchange_no_more(spark):
+    """Rows were copied for each tile of the codebook, so what was exchanged grew with the product of both tables."""
+    g = np.random.default_rng(3)
+    x = g.standard_normal((800, 16))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "id long, v array<double>")
+    book = rows.where("id % 2 = 1").select(F.col("id").alias("code"), F.col("v").alias("vec"))
+    written, found = [], []
+    for tile in (400, 10):
+        before = _exchanged(spark)
+        found.append(sorted(map(tuple, tiles.nearest_code(rows, book, ["id"], tile=tile).collect())))
+        written.append(_exchanged(spark) - before)
+    assert written[1] < 1.5 * written[0], written
+    assert len(found[0]) == 800 and [r[:2] for r in found[0]] == [r[:2] for r in found[1]]
+    assert np.allclose([r[2] for r in found[0]], [r[2] for r in found[1]])
+
+
+@pytest.mark.parametrize("block", [12, 1 << 20])
+def test_blocks_and_ranges_and_odd_numbers(spark, block, monkeypatch):
+    """Equal codes in several tiles and ranges, codes with null or NaN, rows with NaN, and numbers that 32 bits don't hold."""
+    monkeypatch.setattr(tiles, "BLOCK", block)
+    monkeypatch.setattr(tiles, "RANGE", 40)
+    g = np.random.default_rng(4)
+    y = g.standard_normal((60, 4))
+    y[10:20], y[55] = y[50], [1e-9, 0, 0, 0]  # equal ones, and one that loses to all others for a far row
+    x = np.concatenate([g.standard_normal((80, 4)), y[50:51], [[np.nan, 0, 0, 0]], 1e200 * g.standard_normal((3, 4)), 1e-200 * g.standard_normal((3, 4)), y[:9] + 1e-7])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    codes = [(f"c{k:03}", v.tolist()) for k, v in enumerate(y)] + [("a", None), ("b", [np.nan] * 4), ("z", [np.nan] * 4)]
+    book = spark.createDataFrame(codes, "code string, vec array<double>").repartition(4)
+    got = {r["id"]: (r["code"], r["dist"]) for r in tiles.nearest_code(rows, book, ["id"], tile=7).collect()}
+    assert len(got) == len(x)
+    for k, v in enumerate(x):
+        if np.isnan(v).any():
+            assert got[k][0] == "b" and np.isnan(got[k][1])
+            continue
+        d = np.round(2 - 2 * y @ v, 9)
+        assert got[k][0] == f"c{d.argmin():03}" and np.isclose(got[k][1], d.min(), rtol=1e-12, atol=1e-8), k
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0])], "id long, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match="lengths|size|mismatch"):
+        tiles.nearest_code(rows, rows.where("id = 1").selectExpr("id as code", "v as vec"), ["id"]).collect()
+
+
 def test_no_codebook_and_no_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     book = spark.createDataFrame([(3, [0.0, 1.0])], "code int, vec array<double>")
