@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..shipping import ship
 from .dealt import fresh, stored
@@ -25,8 +25,8 @@ from .shard import numbered
 
 #: Codes of a tile, tokens of a block, and rows of one matrix product.
 CODES, TOKENS, ROWS = 4096, 256, 1024
-#: Components, of 8 bytes each: of a tile or a block of rows at most, twice those a task has; of a range of the codebook; and the fewest for which a task is begun.
-BLOCK, RANGE, LEAST = 1 << 20, 1 << 21, 1 << 14
+#: Components, of 8 bytes each: of a tile or a block of rows at most, twice those a task has; and the fewest for which a task is begun.
+BLOCK, LEAST = 1 << 20, 1 << 14
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,26 +58,24 @@ def _met(first: DataFrame, second: DataFrame, cell: list[str], work) -> DataFram
 def _blocks(rows: DataFrame, name: str, vec: str, most: int, numbers: int) -> DataFrame:
     """``rows`` of each partition in their order, packed: ``block`` counts a partition's blocks from 0, ``names`` and ``matrix`` hold what is in one.
 
-    A block has at most ``most`` rows and some ``numbers`` components; ``place``
-    is that of its first row.
+    A block has at most ``most`` rows and some ``numbers`` components.
     """
     ship(rows.sparkSession)
-    given = rows.select(F.monotonically_increasing_id().alias("place"), F.col(name).alias("name"), F.col(vec).alias("vec"))
+    given = rows.select(F.col(name).alias("name"), F.col(vec).alias("vec"))
 
     def packed(number, slices):
         table = pa.Table.from_batches(slices).combine_chunks()
         names, vectors = (table.column(c).combine_chunks() for c in ("name", "vec"))
         if pc.min(pc.list_value_length(vectors)) != pc.max(pc.list_value_length(vectors)):
             raise ValueError("vectors of several lengths")
-        offsets = pa.array([0, len(names)], pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, names)
-        return pa.RecordBatch.from_arrays([table.column("place").chunk(0)[:1], pa.array([number], pa.int32()), lists, pa.array([_matrix(vectors).tobytes()], pa.binary())], ["place", "block", "names", "matrix"])
+        lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), lists, pa.array([_matrix(vectors).tobytes()], pa.binary())], ["block", "names", "matrix"])
 
     def work(batches):
         number, slices, n, room = 0, [], 0, None
         for batch in batches:
             if room is None and batch.num_rows:
-                room = max(1, min(most, numbers // max(1, len(batch.column(2)[0]))))
+                room = max(1, min(most, numbers // max(1, len(batch.column(1)[0]))))
             while batch.num_rows:
                 some = batch.slice(0, room - n)
                 batch = batch.slice(some.num_rows)
@@ -90,7 +88,7 @@ def _blocks(rows: DataFrame, name: str, vec: str, most: int, numbers: int) -> Da
             yield packed(number, slices)
 
     kind = given.schema["name"]
-    schema = StructType([StructField("place", LongType()), StructField("block", IntegerType()), StructField("names", ArrayType(kind.dataType, kind.nullable)), StructField("matrix", BinaryType())])
+    schema = StructType([StructField("block", IntegerType()), StructField("names", ArrayType(kind.dataType, kind.nullable)), StructField("matrix", BinaryType())])
     return given.mapInArrow(work, schema)
 
 
@@ -101,10 +99,9 @@ class _Nearest:
         self.names, self.x, n = names, x, len(x)
         with np.errstate(all="ignore"):
             self.short, self.length = x.astype(np.float32), np.sqrt((x * x).sum(1))
-        self.dist, self.rank, self.place = np.full(n, np.nan), np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max)
-        self.codes = pa.nulls(n, kind)
+        self.dist, self.rank, self.codes = np.full(n, np.nan), np.full(n, np.inf), pa.nulls(n, kind)
 
-    def meet(self, place: int, codes: pa.Array, y: np.ndarray, short: np.ndarray, length: float) -> None:
+    def meet(self, codes: pa.Array, y: np.ndarray, short: np.ndarray, length: float) -> None:
         """Products in 32 bits tell which rows may have a code of this tile that is as near as theirs; distances that decide have 64."""
         with np.errstate(all="ignore"):
             product = self.length * length
@@ -119,37 +116,44 @@ class _Nearest:
                 rank = np.where(np.isnan(d), np.inf, d)  # no number is farther than any
                 best = rank.argmin(1)
                 d, rank = (v[np.arange(len(own)), best] for v in (d, rank))
-                better = (rank < self.rank[own]) | (rank == self.rank[own]) & (place + best < self.place[own])
+                better = rank < self.rank[own]
+                tied = np.flatnonzero(rank == self.rank[own])
+                if len(tied):
+                    lower = pc.less(codes.take(pa.array(best[tied])), self.codes.take(pa.array(own[tied])))
+                    better[tied] = lower.fill_null(True).to_numpy(zero_copy_only=False)  # null: no code so far
                 own, best = own[better], best[better]
-                self.dist[own], self.rank[own], self.place[own] = d[better], rank[better], place + best
+                self.dist[own], self.rank[own] = d[better], rank[better]
                 at = np.arange(len(self.x))
                 at[own] = len(at) + np.arange(len(own))
                 self.codes = pa.concat_arrays([self.codes, codes.take(pa.array(best))]).take(pa.array(at))
 
 
-def nearest_code(rows: DataFrame, codebook: DataFrame, key: list[str], vec: str = "v", tile: int = CODES) -> DataFrame:
+def nearest_code(rows: DataFrame, codebook: DataFrame, key: list[str], vec: str | Column = "v", tile: int = CODES) -> DataFrame:
     """``key, code, dist`` of each row: the nearest code by squared distance of unit vectors, of equal ones the lower.
 
-    The codebook ``(code, vec)`` may have any size. ``key`` tells rows apart; rows
-    with the same key have one result, of the nearest of them. Nothing is copied
-    for a tile of the codebook: it is kept once, in the checkpoint folder, and
-    each task holds a block of rows and reads it tile by tile, so what is
-    exchanged and kept grows with both tables, not with their product. A null
+    The codebook ``(code, vec)`` may have any size; codes are numbers, strings or
+    times. ``key`` tells rows apart; rows with the same key have one result, of
+    the nearest of them. Nothing is copied for a tile of the codebook: it is kept
+    once, in the checkpoint folder, and each task holds a block of rows and reads
+    it tile by tile, so what is exchanged and kept grows with both tables, not
+    with their product. ``vec`` is computed after rows are exchanged. A null
     vector has no result and is no code, and no codebook gives none at all.
     """
     spark = rows.sparkSession
     (held,) = fresh(rows, "held")
-    named = rows.where(F.col(vec).isNotNull()).select(F.struct(*key).alias(held), F.col(vec).alias("vec"))
-    book = codebook.where(F.col("vec").isNotNull()).select("code", "vec")
-    numbers, ranged = (df.agg(F.sum(F.size("vec"))).first()[0] or 0 for df in (named, book))
+    vector = F.col(vec) if isinstance(vec, str) else vec
+    numbers = rows.where(vector.isNotNull()).agg(F.sum(F.size(vector))).first()[0] or 0
     parts = max(numbers * 2 // BLOCK, min(spark.sparkContext.defaultParallelism, numbers // LEAST)) + 1
-    ordered = book.repartitionByRange(ranged // RANGE + 1, "code").sortWithinPartitions("code")
-    kept = stored(_blocks(ordered, "code", "vec", tile, BLOCK)).toDF("place", "tile", "codes", "book")
-    own = _blocks(named.repartition(parts, held), held, "vec", BLOCK, BLOCK).select("block", "names", "matrix")
-    # each task has one partition of rows in memory, and all tiles go past it
-    met = kept.coalesce(1).crossJoin(own.hint("shuffle_replicate_nl"))
-    first, start = F.col("block") == 0, F.col("tile") == 0  # a tile is sent with the first block only, blocks with the first tile of a range
-    pairs = met.select("place", "block", F.when(first, F.col("codes")).alias("codes"), F.when(first, F.col("book")).alias("book"), F.when(start, F.col("names")).alias("names"), F.when(start, F.col("matrix")).alias("matrix"))
+    named = rows.repartition(parts, *key).where(vector.isNotNull()).select(F.struct(*key).alias(held), vector.alias("vec"))
+    book = codebook.where(F.col("vec").isNotNull()).select("code", "vec").sortWithinPartitions("code")
+    kept = stored(_blocks(book, "code", "vec", tile, BLOCK)).toDF("tile", "codes", "book")
+    own = _blocks(named, held, "vec", BLOCK, BLOCK)
+    # each task has one partition of rows in memory, and all tiles go past it: a block with its rows at the first tile of a partition, else its number only
+    kinds = F.explode(F.array(F.lit(True), F.lit(False))).alias("whole")
+    own = own.select("block", kinds, "names", "matrix").select("block", "whole", *[F.when(F.col("whole"), F.col(c)).alias(c) for c in ("names", "matrix")])
+    met = kept.coalesce(1).join(own.hint("shuffle_replicate_nl"), F.when(F.col("whole"), F.col("tile") == 0).otherwise(F.col("tile") > 0))
+    first = F.col("block") == 0  # a tile is sent with the first block only
+    pairs = met.select("block", F.when(first, F.col("codes")).alias("codes"), F.when(first, F.col("book")).alias("book"), "names", "matrix")
 
     def matrix(column, k, n):
         return np.frombuffer(column[k].as_buffer(), np.float64).reshape(n, -1)
@@ -157,17 +161,17 @@ def nearest_code(rows: DataFrame, codebook: DataFrame, key: list[str], vec: str
     def work(batches):
         found, tile = {}, None
         for batch in batches:
-            place, block, codes, book, names, x = batch.columns
+            block, codes, book, names, x = batch.columns
             for k in range(batch.num_rows):
                 if codes[k].is_valid:
                     values = codes[k].values
                     y = matrix(book, k, len(values))
                     with np.errstate(all="ignore"):
-                        tile = (place[k].as_py(), values, y, y.astype(np.float32), np.sqrt((y * y).sum(1)).max())
+                        tile = (values, y, y.astype(np.float32), np.sqrt((y * y).sum(1)).max())
                 number = block[k].as_py()
                 if number not in found:
                     own = names[k].values
-                    found[number] = _Nearest(own.take(pa.array(np.arange(len(own)))), matrix(x, k, len(own)).copy(), tile[1].type)  # copies, for batches to be freed
+                    found[number] = _Nearest(own.take(pa.array(np.arange(len(own)))), matrix(x, k, len(own)).copy(), tile[0].type)  # copies, for batches to be freed
                 found[number].meet(*tile)
         for one in found.values():
             yield pa.RecordBatch.from_arrays([one.names, one.codes, pa.array(one.dist)], [held, "code", "dist"])

@@ -382,9 +382,9 @@ d AS (SELECT a.vec_id, b.vec_id AS code, round(2 - 2 * list_inner_product(a.v, b
 SELECT vec_id, code, dist FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, code) = 1""")
 def j7(spark, sf_dir):
     """The nearest code among half of all vectors, tile by tile (J7 for a codebook of any size)."""
-    e = rows(spark, sf_dir).withColumn("v", V.l2_normalize(F.col("v")))
-    book = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("code"), F.col("v").alias("vec"))
-    return tiles.nearest_code(e, book, ["vec_id"], tile=512).select("vec_id", "code", "dist")
+    e, v = table(spark, sf_dir, "embeddings"), V.l2_normalize(V.doubles(F.col("embedding")))
+    book = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("code"), v.alias("vec"))
+    return tiles.nearest_code(e, book, ["vec_id"], v, tile=512).select("vec_id", "code", "dist")
 
 
 @entry("j9_long_attention", E + """, t AS (SELECT vec_id, vec_id // 1000 AS sequence, v FROM e), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (sequence))

@@ -46,10 +46,9 @@ def test_more_tiles_exchange_no_more(spark):
 
 
 @pytest.mark.parametrize("block", [12, 1 << 20])
-def test_blocks_and_ranges_and_odd_numbers(spark, block, monkeypatch):
-    """Equal codes in several tiles and ranges, codes with null or NaN, rows with NaN, and numbers that 32 bits don't hold."""
+def test_blocks_and_partitions_and_odd_numbers(spark, block, monkeypatch):
+    """Equal codes in several tiles and partitions, codes with null or NaN, rows with NaN, and numbers that 32 bits don't hold."""
     monkeypatch.setattr(tiles, "BLOCK", block)
-    monkeypatch.setattr(tiles, "RANGE", 40)
     g = np.random.default_rng(4)
     y = g.standard_normal((60, 4))
     y[10:20], y[55] = y[50], [1e-9, 0, 0, 0]  # equal ones, and one that loses to all others for a far row
