@@ -384,7 +384,10 @@ def j7(spark, sf_dir):
     """The nearest code among half of all vectors, tile by tile (J7 for a codebook of any size)."""
     e, v = table(spark, sf_dir, "embeddings"), V.l2_normalize(V.doubles(F.col("embedding")))
     book = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("code"), v.alias("vec"))
-    return tiles.nearest_code(e, book, ["vec_id"], v, tile=512).select("vec_id", "code", "dist")
+    near = tiles.nearest_code(e, book, ["vec_id"], v, tile=512).select("vec_id", "code", "dist")
+    lowest = e.where("vec_id % 2 = 1").agg(F.min("vec_id").alias("code")).where("code IS NOT NULL")
+    bare = e.where("embedding IS NULL").join(F.broadcast(lowest), how="inner")  # equally far from all codes
+    return near.unionByName(bare.select("vec_id", "code", F.lit(None).cast("double").alias("dist")))
 
 
 @entry("j9_long_attention", E + """, t AS (SELECT vec_id, vec_id // 1000 AS sequence, v FROM e), s AS (SELECT a.vec_id, b.v AS bv, exp(list_inner_product(a.v, b.v) / 8) AS w FROM t a JOIN t b USING (sequence))

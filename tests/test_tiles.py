@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from prismata.functions import draws as D
 from prismata.operators import quantize as Q
 from prismata.operators import shard, tiles
+from prismata.plans import registry
+
+from . import oracle
 
 
 @pytest.mark.parametrize("tile", [5, 64, 1000])
@@ -72,6 +75,16 @@ def test_vectors_of_several_lengths(spark):
         tiles.nearest_code(rows, rows.where("id = 1").selectExpr("id as code", "v as vec"), ["id"]).collect()
 
 
+def test_large_codebook_on_odd_rows(spark, sf, tmp_path):
+    """Rows and codes without a vector, with NaN, of length 0, and equal ones in several tiles, as SQL has them."""
+    con = oracle.connect(sf)
+    con.execute(f"""COPY (SELECT vec_id + k * 1000 AS vec_id, label, CASE WHEN vec_id IN (4, 5) THEN NULL WHEN vec_id IN (8, 9) THEN list_concat(['nan'::FLOAT], embedding[2:])
+        WHEN vec_id IN (12, 13) THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS embedding FROM embeddings, (SELECT unnest(range(3)) AS k)) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = oracle.rows_of(registry.QUERIES["j7_large_codebook"](spark, str(tmp_path)))
+    assert got == oracle.rows_of_sql(con, registry.ORACLE_SQL["j7_large_codebook"]) and len(got[1]) == 1500
+
+
 def test_no_codebook_and_no_rows(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     book = spark.createDataFrame([(3, [0.0, 1.0])], "code int, vec array<double>")
